@@ -94,7 +94,7 @@ def scan(docs: DataFrame, text: str = "text", near: int = NEAR, least: float = L
         F.count_if("phrase").alias("n_base"), F.min(base).alias("first_word"), F.max(base).alias("last_word"),
         joined(F.when(F.col("phrase"), F.col("label"))).alias("base_labels"), joined("label").alias("labels"), F.max("score").alias("score"),
     )
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("?")).alias("id"), "h", F.regexp_count("text", F.lit(SPLIT)).cast("long").alias("n_words"))
+    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("?")).alias("id"), "h", F.regexp_count(F.lower("text"), F.lit(SPLIT)).cast("long").alias("n_words"))
     return rows.join(found, ["id", "h"], "left").select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), F.col("first_word").cast("long").alias("first_word"), F.col("last_word").cast("long").alias("last_word"),
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),

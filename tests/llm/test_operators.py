@@ -188,19 +188,21 @@ def water_fill(sizes, cap=3):
 def test_mix_meets_targets(spark, odd_docs, odd):
     docs = odd_docs if odd else spark.read.parquet(f"{SF}/documents.parquet")
     rows = mixing.mix(docs, ["doc_id", "text", "source"]).collect()
-    sizes, taken, smallest = Counter(), Counter(), {}
+    sizes, taken, smallest, largest = Counter(), Counter(), {}, Counter()
     assert len(rows) == docs.count()
     for r in rows:
         assert r["size"] == len(spaced(r.text)) and 0 <= r.copies <= 3 and r.taken == r.copies * r["size"]
         sizes[r.source] += r["size"]
         taken[r.source] += r.taken
+        largest[r.source] = max(largest[r.source], r["size"])
         if r["size"]:
             smallest[r.source] = min(smallest.get(r.source, 10**9), r["size"])
     want = water_fill(dict(sizes))
     for r in rows:
         assert r.source_size == sizes[r.source] and r.target == pytest.approx(want[r.source])
     for s in sizes:
-        assert abs(taken[s] - want[s]) <= max(smallest.get(s, 0), 0.02 * want[s]) + 1e-6, s
+        coarse = largest[s] / 2 if odd else 0  # one document may be nearly all of a source
+        assert abs(taken[s] - want[s]) <= max(smallest.get(s, 0), 0.02 * want[s], coarse) + 1e-6, s
     again = mixing.mix(docs, ["doc_id"]).collect()
     assert sorted((r.doc_id or -1, r.copies) for r in again) == sorted((r.doc_id or -1, r.copies) for r in rows)
     assert mixing.mix(docs.limit(0), ["doc_id"]).count() == 0
