@@ -45,20 +45,22 @@ def words(text: Column) -> Column:
 
 
 def templates(spark: SparkSession) -> DataFrame:
-    """(template, phrase, label, grams, q, gram): every k-gram of every template and phrase."""
+    """(template, phrase, label, grams, q, gram): every k-gram of every template and phrase, and the mark that ends a
+    text (template -1), so that each text meets one row at least."""
     rows = [(p, True, label) for p, label in PHRASES.items()] + [(t, False, label) for label, t in TEMPLATES.items()]
     rows = [(i, phrase, label, len(text.split()) - K + 1, text.split()) for i, (text, phrase, label) in enumerate(rows)]
     columns = [
         F.struct(F.lit(i).alias("template"), F.lit(phrase).alias("phrase"), F.lit(label).alias("label"), F.lit(n).alias("grams"), F.lit(q).alias("q"), F.lit(" ".join(w[q : q + K])).alias("gram"))
-        for i, phrase, label, n, w in rows
+        for i, phrase, label, n, w in [*rows, (-1, False, "", 1, [])]
         for q in range(n)
     ]
     return spark.range(1).select(F.inline(F.array(*columns)))
 
 
 def matches(docs: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """(key, template, phrase, label, grams, p, q): every k-gram of every text that stands in a template."""
-    gram = lambda w: F.transform(w, lambda x, i: F.concat_ws(" ", x, *(F.get(w, i + j) for j in range(1, K))))
+    """(key, template, phrase, label, grams, p, q): every k-gram of every text that stands in a template, and for each
+    text a row of template -1 whose p is the number of its words. The texts are read once."""
+    gram = lambda w: F.concat(F.transform(w, lambda x, i: F.concat_ws(" ", x, *(F.get(w, i + j) for j in range(1, K)))), F.array(F.lit("")))
     grams = F.transform(F.array(words(F.col(text))), gram)[0]
     rolled = docs.select(*key, F.posexplode(grams).alias("p", "gram")).withColumn("hash", F.xxhash64("gram"))
     known = F.broadcast(templates(docs.sparkSession).withColumn("hash", F.xxhash64("gram")))  # some hundred rows
@@ -66,36 +68,33 @@ def matches(docs: DataFrame, key: list[str], text: str = "text") -> DataFrame:
 
 
 def spans(docs: DataFrame, key: list[str], text: str = "text", near: int = NEAR, least: float = LEAST) -> DataFrame:
-    """(key, label, phrase, first, last, score): every verified place, words from first to last, score the share of the
-    template's k-grams found. Repeated rows of one key and text are one. Null, empty and short texts have none."""
-    diagonal = matches(docs, key, text).distinct().withColumn("d", F.col("p") - F.col("q"))
-    votes = diagonal.groupBy(*key, "template", "phrase", "label", "grams", "d").agg(F.count("*").alias("votes"), F.collect_set("q").alias("q"), F.min("p").alias("first"), F.max("p").alias("last"))
-    phrases = votes.where("phrase AND votes = grams")
+    """(key, label, phrase, first, last, score, rows): every verified place, words from first to last, score the share
+    of the template's k-grams found. A row of label '' per key has the text's number of words as first, and how often
+    the key's row is repeated as rows. A key must tell texts apart."""
+    diagonal = matches(docs, key, text).withColumn("d", F.col("p") - F.col("q"))
+    votes = diagonal.groupBy(*key, "template", "phrase", "label", "grams", "d").agg(F.collect_set("q").alias("q"), F.min("p").alias("first"), F.max("p").alias("last"), F.count("*").alias("rows"))
     order = Window.partitionBy(*key, "template").orderBy("d")
-    apart = F.col("d") - F.lag("d").over(order) > near
-    merged = votes.where("NOT phrase").withColumn("new", F.coalesce(apart, F.lit(True)).cast("int"))
-    merged = merged.withColumn("span", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = merged.groupBy(*key, "template", "label", "grams", "span").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.size(F.array_distinct(F.flatten(F.collect_list("q")))).alias("held"))
-    score = F.col("held") / F.col("grams")
-    verified = merged.withColumn("score", score).where((F.col("score") >= least) & (F.col("last") - F.col("first") <= 2 * F.col("grams") + near))
-    one = [*key, "label", F.lit(True).alias("phrase"), "first", (F.col("last") + K - 1).alias("last"), F.lit(1.0).alias("score")]
-    return phrases.select(*one).unionByName(verified.select(*key, "label", F.lit(False).alias("phrase"), "first", (F.col("last") + K - 1).alias("last"), "score"))
+    apart = F.col("phrase") | (F.col("d") - F.lag("d").over(order) > near)
+    merged = votes.withColumn("span", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    held = F.size(F.array_distinct(F.flatten(F.collect_list("q"))))
+    merged = merged.groupBy(*key, "template", "phrase", "label", "grams", "span").agg(F.min("first").alias("first"), F.max("last").alias("last"), held.alias("held"), F.max("rows").alias("rows"))
+    compact = F.col("last") - F.col("first") <= 2 * F.col("grams") + near
+    verified = F.when(F.col("phrase"), F.col("held") == F.col("grams")).otherwise((F.col("held") >= least * F.col("grams")) & compact)
+    return merged.where(verified).select(*key, "label", "phrase", "first", (F.col("last") + K - 1).alias("last"), (F.col("held") / F.col("grams")).alias("score"), "rows")
 
 
 def scan(docs: DataFrame, text: str = "text", near: int = NEAR, least: float = LEAST) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of every document; null text counts
-    as empty. Rows are told apart by doc_id and text, so repeated rows each get the same result, null ids theirs."""
+    as empty. Rows are told apart by doc_id and text; repeated rows, also of null ids, each get the same result."""
     docs = docs.select("doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    docs = docs.withColumn("h", F.xxhash64("text"))
-    found = spans(docs.withColumn("id", F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))), ["id", "h"], "text", near, least)
+    found = spans(docs.withColumn("h", F.xxhash64("text")), ["doc_id", "h"], "text", near, least)
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    base = F.when(F.col("phrase"), F.col("first"))
-    found = found.groupBy("id", "h").agg(
+    base, real = F.when(F.col("phrase"), F.col("first").cast("long")), F.col("label") != ""
+    out = found.groupBy("doc_id", "h").agg(
+        F.max(F.when(~real, F.col("first"))).cast("long").alias("n_words"), F.max(F.when(~real, F.col("rows"))).alias("rows"),
         F.count_if("phrase").alias("n_base"), F.min(base).alias("first_word"), F.max(base).alias("last_word"),
-        joined(F.when(F.col("phrase"), F.col("label"))).alias("base_labels"), joined("label").alias("labels"), F.max("score").alias("score"),
-    )
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("?")).alias("id"), "h", F.regexp_count(F.lower("text"), F.lit(SPLIT)).cast("long").alias("n_words"))
-    return rows.join(found, ["id", "h"], "left").select(
-        "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), F.col("first_word").cast("long").alias("first_word"), F.col("last_word").cast("long").alias("last_word"),
-        F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),
+        joined(F.when(F.col("phrase"), F.col("label"))).alias("base_labels"), joined(F.when(real, F.col("label"))).alias("labels"),
+        F.coalesce(F.max(F.when(real, F.col("score"))), F.lit(0.0)).alias("score"),
     )
+    repeated = out.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
+    return repeated.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
