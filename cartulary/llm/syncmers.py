@@ -88,7 +88,7 @@ def with_next(docs: DataFrame, text: str, values: list[str], ranges: int) -> Dat
     return both.where("NOT __seen").drop("__r", "__h", "__seen")
 
 
-def edited(docs: DataFrame, part_rows: int = 20_000, most_ranges: int = 2000) -> DataFrame:
+def edited(docs: DataFrame, part_rows: int = 5_000, most_ranges: int = 2000) -> DataFrame:
     """(doc_id, n_chars, text, fingerprint, sketch, edited, edited_fingerprint, edited_sketch, next_sketch): every text
     with the edit that the contract fixes. Null text counts as empty; the only row of a table is its own next."""
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
