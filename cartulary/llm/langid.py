@@ -69,30 +69,32 @@ class Model:
         self.prob = n / n.sum(0)
         self.prob[-1] = 1e-7  # a letter that no piece covers
         self.prior = np.log(priors / priors.sum())
-        self.ids = {p: i for i, p in enumerate(pieces) if p}
-        self.most = max(map(len, self.ids), default=1)
+        #: Piece ids by text, and -1 for texts that only begin pieces.
+        self.ids = {p[:n]: -1 for p in pieces if p for n in range(1, len(p))} | {p: i for i, p in enumerate(pieces) if p}
 
     def word_scores(self, new: list[str]) -> np.ndarray:
         """Log probability of each word (with its mark) in each language: the forward algorithm, all words at once."""
-        hits: dict[int, tuple[list, list, list]] = {}
-        ids, most, unknown = self.ids, self.most, len(self.prob) - 1
+        hits: list[list[int]] = [[] for _ in range(max(map(len, new), default=0) + 1)]  # by end: word, start and piece in one number
+        get, unknown = self.ids.get, len(self.prob) - 1
         for w, word in enumerate(new):
             size = len(word)
             for i in range(size):
-                for j in range(i + 1, min(i + most, size) + 1):
-                    k = ids.get(word[i:j])
+                here = w << 21 | i << 16
+                k = get(word[i])
+                hits[i + 1].append(here | (unknown if k is None or k < 0 else k))
+                if k is None:
+                    continue
+                for j in range(i + 2, size + 1):
+                    k = get(word[i:j])
                     if k is None:
-                        if j > i + 1:
-                            continue
-                        k = unknown
-                    a, b, c = hits.setdefault(j, ([], [], []))
-                    a.append(w)
-                    b.append(i)
-                    c.append(k)
-        alpha = np.zeros((max(hits, default=0) + 1, len(new), len(self.langs)))
+                        break
+                    if k >= 0:
+                        hits[j].append(here | k)
+        alpha = np.zeros((len(hits), len(new), len(self.langs)))
         alpha[0] = 1
-        for j in sorted(hits):
-            w, i, k = (np.array(x) for x in hits[j])
+        for j in range(1, len(hits)):
+            found = np.array(hits[j], np.int64)
+            w, i, k = found >> 21, found >> 16 & 31, found & 0xFFFF
             starts = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
             alpha[j, w[starts]] = np.add.reduceat(alpha[i, w] * self.prob[k], starts)
         return np.log(alpha[[len(x) for x in new], np.arange(len(new))])
