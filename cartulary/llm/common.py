@@ -27,6 +27,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it: lineage ends there, and lost executors lose nothing."""
     path = f"{shared_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # Shuffle files of finished jobs go once the driver's JVM has collected their handles, which may take long.
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
