@@ -9,8 +9,13 @@ Most texts share nothing, so all random pivots are at distance 1 from them and e
 therefore come first from an exact rule. Sizes form classes, with windows that put a document also into the class of
 any smaller partner; in a class, shingles fall by hash into D + 3 segments, D being the largest possible symmetric
 difference of a linked pair. At least three segments of such a pair are equal, so the pair shares the hash of one that
-isn't empty, or both have three empty ones, which is a hash of its own. Documents that share a hash, directly or through
-others, form a region. Large regions are dealt into slices; a task joins two slices.
+isn't empty, or both have three empty ones, which is a hash of its own. Holders of a hash are compared by how many
+shingles fall into each of CLASSES classes: the sums of differences of two documents are a metric that never exceeds
+their symmetric difference, so pairs beyond D can't link. Documents left together, directly or through others, form a
+region. Large regions are dealt into slices; a task joins two slices.
+
+A hash that more than HOT documents hold is dropped for a document that has at most two such: with its at least three
+equal segments, every partner shares one of its other hashes.
 
 Equal sets are one class from the start. Only links that span a component leave a task, never all pairs.
 """
@@ -26,6 +31,7 @@ from cartulary.llm.common import connected_components, written
 
 #: Documents of a region slice; a task holds two. A Voronoi cell of LEAF documents is joined directly.
 SLICE, LEAF, PIVOTS = 800, 256, 16
+CLASSES, HOT, PAIRS = 256, 200, 20_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -185,8 +191,64 @@ def links(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     return [e for family in prefix_families(sets, num, den) if len(family) > 1 for e in voronoi(family, sets, num, den)]
 
 
+def class_counts(s: np.ndarray) -> bytes:
+    return np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=CLASSES), 255).astype(np.uint8).tobytes()
+
+
+def leaders(bucket: np.ndarray, sizes: np.ndarray, counts: np.ndarray, num: int, den: int) -> np.ndarray:
+    """For rows sorted by bucket: the first row that each is connected with by pairs of its bucket that may link."""
+    label, n = np.arange(len(bucket)), len(bucket)
+    widest = np.diff(np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])).max(initial=1)
+    left, right = [], []
+    for k in range(1, int(widest)):
+        i = np.flatnonzero(bucket[: n - k] == bucket[k:])
+        low, high = np.minimum(sizes[i], sizes[i + k]), np.maximum(sizes[i], sizes[i + k])
+        i = i[den * low >= num * high]
+        for part in np.split(i, range(PAIRS, len(i), PAIRS)):
+            apart = np.abs(counts[part] - counts[part + k]).sum(1, dtype=np.int64)
+            part = part[(den + num) * apart <= (den - num) * (sizes[part] + sizes[part + k])]
+            left.append(part)
+            right.append(part + k)
+    a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (left, right))
+    while True:
+        new = label.copy()
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def stars_of(num: int, den: int):
+    """Of rows (segment, doc_id, n_shingles, counts) in order of segment: (a, b), edges that connect what may link."""
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def edges(rows: pa.Table) -> pa.RecordBatch:
+            doc = rows.column("doc_id").to_numpy()
+            counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.uint8).reshape(-1, CLASSES).astype(np.int16)
+            of = leaders(rows.column("segment").to_numpy(), rows.column("n_shingles").to_numpy(), counts, num, den)
+            pairs = np.stack([doc, doc[of]])[:, of != np.arange(len(of))]
+            pairs = np.unique(pairs, axis=1)
+            return pa.RecordBatch.from_pydict({"a": pairs[0], "b": pairs[1]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+        held = None
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            segment = held.column("segment").to_numpy()
+            done = int(np.searchsorted(segment, segment[-1])) if len(segment) else 0
+            if done:
+                yield edges(held.slice(0, done))
+                held = held.slice(done).combine_chunks()
+        if held is not None and held.num_rows:
+            yield edges(held)
+
+    return stars
+
+
 def profiles(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n_shingles, a, b, segments): size, 128-bit hash and segment hashes of each document's set."""
+    """(doc_id, n_shingles, a, b, counts, segments): size, 128-bit hash, class counts and segment hashes of each set."""
 
     def profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -199,9 +261,10 @@ def profiles(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
             values = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
             columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1])]
-            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, values)], names=["doc_id", "n_shingles", "a", "b", "segments"])
+            columns += [pa.array([class_counts(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(offsets, values)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "a", "b", "counts", "segments"])
 
-    return docs.mapInArrow(profiled, "doc_id long, n_shingles long, a long, b long, segments array<long>")
+    return docs.mapInArrow(profiled, "doc_id long, n_shingles long, a long, b long, counts binary, segments array<long>")
 
 
 def components(docs: DataFrame, k: int, num: int, den: int, slice_docs: int = SLICE) -> DataFrame:
@@ -216,8 +279,13 @@ def components(docs: DataFrame, k: int, num: int, den: int, slice_docs: int = SL
     classes = own.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("a", "b").agg(F.min("doc_id").alias("first"))
     sets = classes.select(F.col("first").alias("doc_id")).join(own.select("doc_id", "segments"), "doc_id")
     rows = sets.select("doc_id", F.explode("segments").alias("segment"))
-    pivot = F.min("doc_id").over(Window.partitionBy("segment"))
-    stars = rows.select(F.col("doc_id").alias("a"), pivot.alias("b")).where("a <> b").distinct()
+    alone = F.count("*").over(Window.partitionBy("segment"))
+    shared = written(rows.withColumn("holders", alone).where("holders > 1"), "shared")
+    hot = F.count_if(F.col("holders") > HOT).over(Window.partitionBy("doc_id"))
+    kept = shared.withColumn("hot", hot).where((F.col("holders") <= HOT) | (F.col("hot") > 2))
+    counted = kept.select("doc_id", "segment").join(own.select("doc_id", "n_shingles", "counts").dropDuplicates(["doc_id"]), "doc_id")
+    ordered = counted.repartition("segment").sortWithinPartitions("segment", "doc_id")
+    stars = ordered.mapInArrow(stars_of(num, den), "a long, b long").distinct()
     regions = written(connected_components(stars, "regions"), "regions").withColumnRenamed("component", "region")
 
     slices = regions.groupBy("region").agg(F.ceil(F.count("*") / slice_docs).cast("int").alias("g"))
@@ -235,7 +303,7 @@ def components(docs: DataFrame, k: int, num: int, den: int, slice_docs: int = SL
     edges = met.groupBy("region", "x", "y").applyInArrow(joined, "a long, b long")
     found = written(connected_components(edges, "links"), "found")
     of_class = classes.join(found.withColumnRenamed("node", "first"), "first", "left").select("a", "b", F.coalesce("component", "first").alias("component"))
-    keyed = own.drop("segments").withColumn("linked", F.expr("n_shingles > 0 AND doc_id IS NOT NULL"))
+    keyed = own.drop("segments", "counts").withColumn("linked", F.expr("n_shingles > 0 AND doc_id IS NOT NULL"))
     out = keyed.join(of_class.withColumn("linked", F.lit(True)), ["a", "b", "linked"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
