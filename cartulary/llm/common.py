@@ -32,6 +32,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(batches, rows: int = 512):
+    """The Arrow batches, cut to at most `rows` rows: what a task makes of one stays small beside its text."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def text_bytes(df: DataFrame, text: str = "text") -> int:
     """Bytes of all texts: one scan of one column, one row back."""
     return df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartulary.llm.common import small
+
 LONGEST_RUN = 24
 #: Words whose scores a worker remembers; it forgets them all when there are more.
 CACHED_WORDS = 400_000
@@ -41,12 +43,12 @@ def piece_counts(docs: DataFrame, model: str) -> DataFrame:
         for batch in batches:
             for lang, part in batch.groupby("lang", sort=False):
                 total[lang, -1] += len(part)
-                seen = Counter()
-                for text in part["text"]:
-                    seen.update(words(text))
-                for ids, n in zip(cutter.encode(list(seen), num_threads=1), seen.values(), strict=True):
-                    for i in ids:
-                        total[lang, i] += n
+                texts = part["text"].tolist()
+                for at in range(0, len(texts), 512):
+                    seen = Counter(w for text in texts[at : at + 512] for w in words(text))
+                    for ids, n in zip(cutter.encode(list(seen), num_threads=1), seen.values(), strict=True):
+                        for i in ids:
+                            total[lang, i] += n
         yield pd.DataFrame([(a, b, n) for (a, b), n in total.items()], columns=["lang", "piece", "n"])
 
     got = docs.where("lang IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
@@ -126,7 +128,7 @@ def predict(docs: DataFrame, fitted: Model, keep: list[str]) -> DataFrame:
         m.__dict__.update(shipped.value)
         known: dict[str, int] = {}
         table = np.zeros((0, len(m.langs)))
-        for batch in batches:
+        for batch in small(batches):
             texts = [words(t) for t in batch.column("__text").to_pylist()]
             new = list({w for t in texts for w in t if w not in known})
             if len(known) + len(new) > CACHED_WORDS:

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartulary.llm.common import small
+
 RATE, BLOCK, SERIALS = 8000, 4096, (0x0A17, 0x0B29)
 #: Segments of at most 255 bytes on a page.
 PAGE_SEGMENTS = 64
@@ -142,7 +144,7 @@ def stored(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     keep = [c for c in keep if c not in ("n_bytes", "media")]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows = [padded(t) for t in batch.column("__text").to_pylist()]
             columns = [pa.array([n for n, _ in rows], pa.int64()), pa.array([write(p) for _, p in rows], pa.binary())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns], names=[*keep, "n_bytes", "media"])
@@ -159,7 +161,7 @@ def features(media: DataFrame, keep: list[str], column: str = "media") -> DataFr
     keep = [c for c in keep if c not in FEATURES.replace(",", "").split()[::2]]
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for raw in batch.column("__media").to_pylist():
                 payload, got = read(raw)

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartulary.llm.common import small
+
 #: Rows that one group packs. A group ends with at most OPEN_BINS sequences that are not full.
 GROUP_ROWS = 200_000
 OPEN_BINS = 1024
@@ -78,7 +80,7 @@ def token_pieces(docs: DataFrame, ranks: str, pattern: str, end_id: int = 2, lon
         with open(ranks, "rb") as f:
             merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=merges, special_tokens={}).encode_ordinary
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids = encode(text or "")
