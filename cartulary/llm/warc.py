@@ -183,7 +183,8 @@ def read(spark: SparkSession, manifest: DataFrame, split_bytes: int = SPLIT_BYTE
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types.types, strict=True)], schema=types)
 
     ranges = manifest.where("bytes > 0").select("path", "bytes", F.explode(F.expr(f"sequence(0L, bytes - 1, {split_bytes}L)")).alias("start"))
-    return ranges.repartition(F.col("path"), F.col("start")).mapInArrow(records, RECORDS)
+    # a range is a few bytes of plan but megabytes of work, so the number of tasks is given
+    return ranges.repartition(max(1, ranges.count())).mapInArrow(records, RECORDS)
 
 
 def archive_folder(spark: SparkSession) -> str:
