@@ -87,3 +87,9 @@ def test_texts(spark):
 def test_parent_stack(spark):
     levels = spark.createDataFrame([(1, i, v) for i, v in enumerate([0, 1, 2, 2, 1, 2, 0, 2])], "p int, o long, level int")
     assert [r.parent for r in hierarchy.parent_by_stack(levels, "p", "o", "level").orderBy("o").collect()] == [None, 0, 1, 1, 0, 4, None, None]
+
+
+def test_bench_names():
+    import bench
+
+    assert set(bench.HEADLINE) <= set(catalogue.QUERIES)
