@@ -56,7 +56,7 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     edges are stars. Minima are combined before the shuffle; each round's edges are a table in the shared folder.
     Loops only list their node; edges with a null end are left out.
     """
-    edges = edges.where("a IS NOT NULL AND b IS NOT NULL")
+    edges = written(edges.where("a IS NOT NULL AND b IS NOT NULL"), name)  # made once
     loops = edges.where("a = b").select(F.col("a").alias("node")).distinct()
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
     mark = F.count("*").alias("n"), F.sum((F.xxhash64("u", "v") % 1_000_000_007).cast("decimal(38,0)")).alias("s")
