@@ -119,3 +119,17 @@ def parent_by_stack(rows: DataFrame, page: str, ordinal: str, level: str) -> Dat
 def joined_code(parent_code: Column, code: Column, level: Column) -> Column:
     """parent-child, without a double prefix; codes of level 1 stay."""
     return F.when((level <= 1) | code.startswith(F.concat(parent_code, F.lit("-"))), code).otherwise(F.concat(parent_code, F.lit("-"), code))
+
+
+def full_codes(areas: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(id, full_code) of areas (id, parent_id, level, code): codes joined from the root down, see joined_code."""
+    own = areas.select(F.col("id").alias("ancestor"), "level", "code")
+    up = closure(areas, depth).join(own, "ancestor").groupBy(F.col("node").alias("id"))
+    path = up.agg(F.array_sort(F.collect_list(F.struct((-F.col("dist")).alias("place"), "level", "code"))).alias("path"))
+    joined = F.aggregate(F.slice("path", 2, depth), F.element_at("path", 1)["code"], lambda code, x: joined_code(code, x["code"], x["level"]))
+    return path.select("id", joined.alias("full_code"))
+
+
+def duplicate_codes(areas: DataFrame) -> DataFrame:
+    """(full_code, n) of full codes that more than one area has."""
+    return full_codes(areas).groupBy("full_code").agg(F.count("*").alias("n")).where("n > 1")

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartulary.functions import text
-from cartulary.operators import hierarchy, seats, territory
+from cartulary.operators import changes, cities, hierarchy, labels, report, seats, territory
 from cartulary.sources.areas import areas, table, with_areas
 
 QUERIES, ORACLES = {}, {}
@@ -239,3 +239,127 @@ def year_from_text(spark, sf_dir):
 def page_title_links(spark, sf_dir):
     links = F.size(F.regexp_extract_all("html", F.lit('<a href="'), F.lit(0))).cast("long")
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), links.alias("links"))
+
+
+LABELS = """, lab AS (SELECT lower(n_name) AS label FROM nation UNION SELECT '  '||n_name||' ' FROM nation UNION SELECT 'C'||s_suppkey FROM supplier UNION SELECT 'c'||c_custkey FROM customer WHERE c_custkey % 10 = 0
+UNION SELECT lpad(CAST(s_suppkey AS VARCHAR), 4, '0')||'1' FROM supplier UNION SELECT 'zz'||s_suppkey FROM supplier),
+hit AS (SELECT * FROM (SELECT label, id, level, CASE WHEN id = label THEN 1 WHEN lower(id) = lower(label) THEN 2 WHEN lower(name) = lower(label) THEN 3 WHEN lower(id) = lower(trim(label)) THEN 4 WHEN lower(name) = lower(trim(label)) THEN 5
+WHEN contains(lower(name), lower(trim(label))) THEN 6 WHEN contains(lower(id), lower(trim(label))) THEN 7 END AS tier FROM lab, area) WHERE tier IS NOT NULL)"""
+
+
+def asked_labels(spark, sf_dir):
+    """Labels as users write them: other case, blanks, ids, parts of names, and some that nothing has."""
+    nation, supplier, customer = (table(spark, sf_dir, t) for t in ("nation", "supplier", "customer"))
+    key = F.col("s_suppkey").cast("string")
+    own = supplier.select(F.explode(F.array(F.concat(F.lit("C"), key), F.concat(F.lpad(key, 4, "0"), F.lit("1")), F.concat(F.lit("zz"), key))).alias("label"))
+    named = nation.select(F.explode(F.array(F.lower("n_name"), F.concat(F.lit("  "), "n_name", F.lit(" ")))).alias("label"))
+    return own.unionByName(named).unionByName(customer.where("c_custkey % 10 = 0").select(F.concat(F.lit("c"), "c_custkey").alias("label")))
+
+
+def coded(tree):
+    return tree.withColumn("code", F.col("id"))
+
+
+@query(with_areas(LABELS + " SELECT label, id, tier FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY tier, CASE WHEN tier > 5 THEN -level ELSE 0 END, id) AS r FROM hit) WHERE r = 1"))
+def label_resolve_tiers(spark, sf_dir):
+    return labels.resolve(asked_labels(spark, sf_dir), coded(areas(spark, sf_dir)))
+
+
+@query(with_areas(LABELS + " SELECT label FROM lab WHERE label NOT IN (SELECT label FROM hit)"))
+def label_missing(spark, sf_dir):
+    return labels.missing(asked_labels(spark, sf_dir), coded(areas(spark, sf_dir)))
+
+
+@query(with_areas(""", o AS (SELECT 'c'||s_suppkey * 3 AS key, s_suppkey % 9 + 1 AS value FROM supplier UNION ALL SELECT upper(replace(s_name, 'Supplier', 'Customer')), s_suppkey % 5 + 11 FROM supplier UNION ALL SELECT n_name, n_nationkey + 100 FROM nation)
+SELECT id, coalesce((SELECT min(value) FROM o WHERE key = id), (SELECT min(value) FROM o WHERE key = name), (SELECT min(value) FROM o WHERE lower(key) = lower(id)), (SELECT min(value) FROM o WHERE lower(key) = lower(name)), 2) AS value FROM area"""))
+def override_lookup(spark, sf_dir):
+    supplier, key = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    given = supplier.select(F.concat(F.lit("c"), key * 3).alias("key"), (key % 9 + 1).alias("value"))
+    given = given.unionByName(supplier.select(F.upper(F.replace("s_name", F.lit("Supplier"), F.lit("Customer"))).alias("key"), (key % 5 + 11).alias("value")))
+    given = given.unionByName(table(spark, sf_dir, "nation").select(F.col("n_name").alias("key"), (F.col("n_nationkey") + 100).cast("long").alias("value")))
+    return labels.overridden(coded(areas(spark, sf_dir)), given, F.lit(2).cast("long"))
+
+
+@query("""SELECT o_orderkey AS id, arg_max(p.code, len(p.code)) AS parent FROM orders JOIN (SELECT CAST(c_custkey AS VARCHAR) AS code, c_custkey % 3 AS level FROM customer) p
+ON starts_with(CAST(o_orderkey AS VARCHAR), p.code) AND o_custkey % 4 > p.level GROUP BY 1""")
+def longest_prefix_parent(spark, sf_dir):
+    entities = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").cast("string").alias("code"), (F.col("o_custkey") % 4).alias("level"))
+    return labels.longest_prefix(entities, table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("code"), (F.col("c_custkey") % 3).alias("level")))
+
+
+CODES = """, n AS (SELECT id, parent_id||'-'||id AS full_code FROM area WHERE level = 2)"""
+
+
+@query(with_areas(CODES + " SELECT id, id AS full_code FROM area WHERE level < 2 UNION ALL SELECT * FROM n UNION ALL SELECT a.id, n.full_code||'-'||a.id FROM area a JOIN n ON n.id = a.parent_id"))
+def hier_codes(spark, sf_dir):
+    """Nations with even keys have codes that begin with the region's already."""
+    tree = areas(spark, sf_dir)
+    ready = (F.col("level") == 2) & F.col("id").rlike("[02468]$")
+    return hierarchy.full_codes(tree.withColumn("code", F.when(ready, F.concat("parent_id", F.lit("-"), "id")).otherwise(F.col("id"))))
+
+
+@query(with_areas(CODES + " SELECT n.full_code||'-'||entity_type AS full_code, count(*) AS n FROM area a JOIN n ON n.id = a.parent_id GROUP BY 1 HAVING count(*) > 1"))
+def dup_codes(spark, sf_dir):
+    return hierarchy.duplicate_codes(areas(spark, sf_dir).withColumn("code", F.when(F.col("level") == 3, F.col("entity_type")).otherwise(F.col("id"))))
+
+
+BLOCK = "a{0}.id AS L{0}_id, a{0}.name AS L{0}_name, a{0}.pop AS L{0}_pop, CAST(a{0}.km2 AS DOUBLE) AS L{0}_area, a{0}.rank_pop AS L{0}_rank_pop, a{0}.rank_area AS L{0}_rank_area, a{0}.pct_level AS L{0}_pct_level, round(CAST(a{0}.pop AS DOUBLE) / CAST(nullif(a{1}.pop, 0) AS DOUBLE) * 100, 2) AS L{0}_pct_parent, a{0}.total AS L{0}_seats"
+
+
+@query(with_areas(""", t AS (SELECT ancestor AS id, CAST(nullif(sum(coalesce(seats, 0)), 0) AS BIGINT) AS total FROM closure JOIN area ON id = node GROUP BY 1),
+x AS (SELECT area.*, total, row_number() OVER (PARTITION BY level ORDER BY coalesce(pop, 0) DESC, id) AS rank_pop, row_number() OVER (PARTITION BY level ORDER BY coalesce(km2, 0) DESC, id) AS rank_area,
+round(CAST(pop AS DOUBLE) / CAST(nullif(sum(pop) OVER (PARTITION BY level), 0) AS DOUBLE) * 100, 2) AS pct_level FROM area JOIN t USING (id))
+SELECT a3.id AS leaf, a0.name AS root, a0.pop AS root_pop, """ + ", ".join(BLOCK.format(n, n - 1) for n in (1, 2, 3)) + " FROM x a3 JOIN x a2 ON a2.id = a3.parent_id JOIN x a1 ON a1.id = a2.parent_id JOIN x a0 ON a0.id = a1.parent_id WHERE a3.level = 3"))
+def path_report(spark, sf_dir):
+    return report.path_report(areas(spark, sf_dir), range(1, 4))
+
+
+@query(with_areas(SPEC + """, m AS (SELECT territory, node FROM grown WHERE sign = 'include' EXCEPT SELECT territory, node FROM grown WHERE sign = 'subtract')
+SELECT s.territory, s.capital, m.node IS NOT NULL AS valid FROM (SELECT 't'||s_suppkey % 40 AS territory, 'c'||s_suppkey AS capital FROM supplier) s LEFT JOIN m ON m.territory = s.territory AND m.node = s.capital"""))
+def territory_capital_valid(spark, sf_dir):
+    """Whether each named capital lies in its territory."""
+    named = table(spark, sf_dir, "supplier").select(F.concat(F.lit("t"), F.col("s_suppkey") % 40).alias("territory"), F.concat(F.lit("c"), "s_suppkey").alias("capital"))
+    held = territory.members(spec(spark, sf_dir), areas(spark, sf_dir), 3).select("territory", F.col("node").alias("capital"), F.lit(True).alias("held"))
+    return named.join(held, ["territory", "capital"], "left").select("territory", "capital", F.col("held").isNotNull().alias("valid"))
+
+
+@query(with_areas(""", m AS (SELECT id, 'city-'||parent_id AS city FROM area WHERE level = 3 AND entity_type = 'BUILDING' AND parent_id LIKE '%1'),
+c AS (SELECT city, 'City of '||any_value(p.name) AS name, any_value(p.id) AS parent_id, CAST(coalesce(sum(a.pop), 0) AS BIGINT) AS pop, sum(a.km2) AS km2 FROM m JOIN area a USING (id) JOIN area p ON p.id = a.parent_id GROUP BY 1),
+u AS (SELECT a.id, a.name, a.level + CASE WHEN city IS NULL THEN 0 ELSE 1 END AS level, coalesce(city, a.parent_id) AS parent_id, entity_type, pop, CAST(km2 AS DOUBLE) AS area FROM area a LEFT JOIN m USING (id) UNION ALL SELECT city, name, 3, parent_id, 'City', pop, CAST(km2 AS DOUBLE) FROM c)
+SELECT *, round(CAST(pop AS DOUBLE) / nullif(area, 0), 4) AS density FROM u"""))
+def city_collapse(spark, sf_dir):
+    """In some nations the areas of one type become parts of a city."""
+    tree = areas(spark, sf_dir)
+    parts = tree.where("level = 3 AND entity_type = 'BUILDING' AND parent_id LIKE '%1'").select(F.concat(F.lit("city-"), "parent_id").alias("city"), "id")
+    towns = tree.where("level = 2 AND id LIKE '%1'").select(F.concat(F.lit("city-"), "id").alias("city"), F.concat(F.lit("City of "), "name").alias("name"), F.lit(3).alias("level"), F.col("id").alias("parent_id"), F.lit("City").alias("entity_type"))
+    rows = cities.rewritten(tree, parts, towns)
+    return rows.select("id", "name", "level", "parent_id", "entity_type", F.col("pop_latest").alias("pop"), F.col("area_km2").cast("double").alias("area"), F.round("density", 4).alias("density"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def anti_delete(spark, sf_dir):
+    """Customers left when those without an order are deleted."""
+    return changes.without_missing(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+@query("""SELECT coalesce(n.c_custkey, o.c_custkey) AS c_custkey, CASE WHEN n.c_custkey IS NULL THEN o.c_name ELSE n.c_name END AS c_name, CASE WHEN n.c_custkey IS NULL THEN o.c_mktsegment ELSE n.c_mktsegment END AS c_mktsegment,
+CASE WHEN o.c_custkey IS NULL THEN 'created' WHEN n.c_custkey IS NULL THEN 'absent' WHEN o.c_mktsegment IS DISTINCT FROM n.c_mktsegment THEN 'updated' ELSE 'kept' END AS status
+FROM (SELECT * FROM customer WHERE c_custkey % 5 <> 0) o FULL JOIN (SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey % 4 <> 0) n ON o.c_custkey = n.c_custkey""")
+def upsert_rows(spark, sf_dir):
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    new = customers.where("c_custkey % 4 <> 0").withColumn("c_mktsegment", F.when(F.col("c_custkey") % 3 > 0, F.col("c_mktsegment")))
+    return changes.merged(customers.where("c_custkey % 5 <> 0"), new, "c_custkey")
+
+
+@query("SELECT p_partkey, (p_partkey * 7919 % 100000000) / 100.0 AS value FROM part")
+def number_parse_locale(spark, sf_dir):
+    """Numbers written with comma or dot as the decimal sign come back as they were."""
+    k = F.col("p_partkey") * 7919 % 100000000
+    english = F.concat(F.format_number(F.floor(k / 100), 0), F.lit("."), F.lpad((k % 100).cast("string"), 2, "0"))
+    written = F.when(F.col("p_partkey") % 2 == 0, english).otherwise(F.concat(F.translate(english, ",.", ".,"), F.lit(" km")))
+    return table(spark, sf_dir, "part").select("p_partkey", text.locale_number(written).alias("value"))
+
+
+@query(r"SELECT c_custkey, trim(regexp_replace(strip_accents(lower(' Á  '||c_name||'   Ñandú ')), '\s+', ' ', 'g')) AS norm FROM customer")
+def norm_text(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", text.normalised(F.concat(F.lit(" Á  "), "c_name", F.lit("   Ñandú "))).alias("norm"))
