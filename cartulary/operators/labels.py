@@ -21,7 +21,11 @@ def equal_tiers(code: Column, name: Column, own: Column) -> list[Column]:
 
 def grams(text: Column) -> Column:
     """The distinct substrings of 1 to GRAM characters."""
-    of = [F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(text) - n + 1, F.lit(1))), lambda i, n=n: F.substr(text, i, F.lit(n))) for n in range(1, GRAM + 1)]
+    of = []
+    for n in range(1, GRAM + 1):
+        size = F.lit(n)
+        starts = F.sequence(F.lit(1), F.greatest(F.char_length(text) - n + 1, F.lit(1)))
+        of.append(F.transform(starts, lambda i: F.substr(text, i, size)))  # noqa: B023 - called at once
     return F.array_distinct(F.concat(*of))
 
 
