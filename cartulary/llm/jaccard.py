@@ -279,11 +279,13 @@ def components(docs: DataFrame, k: int, num: int, den: int, slice_docs: int = SL
     classes = own.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("a", "b").agg(F.min("doc_id").alias("first"))
     sets = classes.select(F.col("first").alias("doc_id")).join(own.select("doc_id", "segments"), "doc_id")
     rows = sets.select("doc_id", F.explode("segments").alias("segment"))
-    alone = F.count("*").over(Window.partitionBy("segment"))
-    shared = written(rows.withColumn("holders", alone).where("holders > 1"), "shared")
+    same = Window.partitionBy("segment")
+    held = rows.withColumn("holders", F.count("*").over(same)).withColumn("held_by", F.bit_xor(F.xxhash64("doc_id")).over(same))
+    shared = written(held.where("holders > 1").drop("segment"), "shared")
     hot = F.count_if(F.col("holders") > HOT).over(Window.partitionBy("doc_id"))
     kept = shared.withColumn("hot", hot).where((F.col("holders") <= HOT) | (F.col("hot") > 2))
-    counted = kept.select("doc_id", "segment").join(own.select("doc_id", "n_shingles", "counts").dropDuplicates(["doc_id"]), "doc_id")
+    # Segments with the same holders say the same: one of each stays. Those whose hashes meet are compared together.
+    counted = kept.select("doc_id", F.col("held_by").alias("segment")).distinct().join(own.select("doc_id", "n_shingles", "counts").dropDuplicates(["doc_id"]), "doc_id")
     ordered = counted.repartition("segment").sortWithinPartitions("segment", "doc_id")
     stars = ordered.mapInArrow(stars_of(num, den), "a long, b long").distinct()
     regions = written(connected_components(stars, "regions"), "regions").withColumnRenamed("component", "region")
