@@ -7,15 +7,17 @@ in another cell), and cells join recursively and exactly.
 
 Most texts share nothing, so all random pivots are at distance 1 from them and every window holds everything. Regions
 therefore come first from an exact rule. Sizes form classes, with windows that put a document also into the class of
-any smaller partner; in a class, shingles fall by hash into D + 3 segments, D being the largest possible symmetric
-difference of a linked pair. At least three segments of such a pair are equal, so the pair shares the hash of one that
-isn't empty, or both have three empty ones, which is a hash of its own. Holders of a hash are compared by how many
+any smaller partner; in a class, shingles fall by hash into D + T segments, D being the largest possible symmetric
+difference of a linked pair and T = 3 plus the empty segments that its sets may be expected to have. At least T segments
+of such a pair are equal, so the pair shares the hash of one that isn't empty, or both have T empty ones, which is a
+hash of its own. Holders of a hash are compared by how many
 shingles fall into each of CLASSES classes: the sums of differences of two documents are a metric that never exceeds
 their symmetric difference, so pairs beyond D can't link. Documents left together, directly or through others, form a
 region. Large regions are dealt into slices; a task joins two slices.
 
-A hash that more than HOT documents hold is dropped for a document that has at most two such: with its at least three
-equal segments, every partner shares one of its other hashes.
+Of each class, a document with e < T empty segments drops the T - 1 - e hashes that most documents hold (its spare). At
+least T - e hashes are shared with every partner there, and the least held of them is among the dropped ones of neither:
+the other shared ones stand before it. A document with T empty segments drops nothing.
 
 Equal sets are one class from the start. Only links that span a component leave a task, never all pairs.
 """
@@ -31,7 +33,7 @@ from cartulary.llm.common import connected_components, written
 
 #: Documents of a region slice; a task holds two. A Voronoi cell of LEAF documents is joined directly.
 SLICE, LEAF, PIVOTS = 800, 256, 16
-CLASSES, HOT, PAIRS = 256, 200, 20_000
+CLASSES, PAIRS = 256, 20_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -67,11 +69,23 @@ class Segments:
         while self.lows[-1] < 1 << 40:
             self.lows.append(max(self.lows[-1] + 1, self.lows[-1] * 13 // 10))
         self.lows = np.array(self.lows)
-
-    def of(self, s: np.ndarray) -> np.ndarray:
-        n, out = len(s), []
+        self.equal: dict[int, int] = {}
+
+    def least_equal(self, c: int, most: int) -> int:
+        """T of class c: 3, and more where its smallest sets would often leave that many of most + T segments empty."""
+        if c not in self.equal:
+            t = np.arange(3, most + 6)
+            m = most + t
+            mean = m * (1 - 1 / m) ** float(self.lows[c])
+            rare = np.flatnonzero(t - 0.5 - mean >= 3 * np.sqrt(mean))
+            self.equal[c] = int(t[rare[0]]) if len(rare) else 3
+        return self.equal[c]
+
+    def of(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes, and for each a tag: its class among those of the set, and the hashes to spare there (16 bits)."""
+        n, out, tags = len(s), [], []
         if not n:
-            return np.zeros(0, np.uint64)
+            return np.zeros(0, np.uint64), np.zeros(0, np.int32)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(s))])
         least = -(-n * self.num // self.den)
         first, last = np.searchsorted(self.lows, [least, n], "right") - 1
@@ -79,16 +93,19 @@ class Segments:
             most = (int(self.lows[c + 1]) - 1) * (self.den - self.num) // self.num
             if not most:
                 continue  # only equal sets link
-            m = most + 3
+            t = self.least_equal(c, most)
+            m = most + t
             at = np.searchsorted(s, (np.arange(1, m, dtype=np.float64) * (2.0**64 / m)).astype(np.uint64))
             at = np.concatenate([[0], at, [n]])
             filled = at[1:] > at[:-1]
             key = np.array([c], np.uint64) * _A
             parts = sums[at[1:]] - sums[at[:-1]] + key + np.arange(1, m + 1, dtype=np.uint64) * _C
             out.append(mixed(parts[filled]))
-            if m - filled.sum() >= 3:
+            empty = m - int(filled.sum())
+            if empty >= t:
                 out.append(mixed(key))
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            tags.append(np.full(sum(map(len, out)) - sum(map(len, tags)), (c - first) << 16 | min(max(t - 1 - empty, 0), 0xFFFF), np.int32))
+        return (np.concatenate(out), np.concatenate(tags)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
 
 
 def prefix_families(sets: list[np.ndarray], num: int, den: int) -> list[np.ndarray]:
@@ -248,7 +265,7 @@ def stars_of(num: int, den: int):
 
 
 def profiles(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n_shingles, a, b, counts, segments): size, 128-bit hash, class counts and segment hashes of each set."""
+    """(doc_id, n_shingles, a, b, counts, segments, tags): size, 128-bit hash, class counts and segments of each set."""
 
     def profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -258,13 +275,14 @@ def profiles(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             sets = [shingles(t, k) for t in batch.column("text").to_pylist()]
             digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
             found = [segments.of(s) for s in sets]
-            offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
-            values = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
+            offsets = np.concatenate([[0], np.cumsum([len(f) for f, _ in found])]).astype(np.int32)
+            values = np.concatenate([np.zeros(0, np.uint64), *(f for f, _ in found)]).view(np.int64)
+            tags = np.concatenate([np.zeros(0, np.int32), *(t for _, t in found)])
             columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1])]
-            columns += [pa.array([class_counts(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(offsets, values)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "a", "b", "counts", "segments"])
+            columns += [pa.array([class_counts(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(offsets, values), pa.ListArray.from_arrays(offsets, tags)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "a", "b", "counts", "segments", "tags"])
 
-    return docs.mapInArrow(profiled, "doc_id long, n_shingles long, a long, b long, counts binary, segments array<long>")
+    return docs.mapInArrow(profiled, "doc_id long, n_shingles long, a long, b long, counts binary, segments array<long>, tags array<int>")
 
 
 def components(docs: DataFrame, k: int, num: int, den: int, slice_docs: int = SLICE) -> DataFrame:
@@ -277,13 +295,13 @@ def components(docs: DataFrame, k: int, num: int, den: int, slice_docs: int = SL
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = written(profiles(docs, k, num, den), "profiles")
     classes = own.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("a", "b").agg(F.min("doc_id").alias("first"))
-    sets = classes.select(F.col("first").alias("doc_id")).join(own.select("doc_id", "segments"), "doc_id")
-    rows = sets.select("doc_id", F.explode("segments").alias("segment"))
+    sets = classes.select(F.col("first").alias("doc_id")).join(own.select("doc_id", "segments", "tags"), "doc_id")
+    rows = sets.select("doc_id", F.explode(F.arrays_zip("segments", "tags")).alias("s")).select("doc_id", F.col("s.segments").alias("segment"), F.col("s.tags").alias("tag"))
     same = Window.partitionBy("segment")
     held = rows.withColumn("holders", F.count("*").over(same)).withColumn("held_by", F.bit_xor(F.xxhash64("doc_id")).over(same))
     shared = written(held.where("holders > 1").drop("segment"), "shared")
-    hot = F.count_if(F.col("holders") > HOT).over(Window.partitionBy("doc_id"))
-    kept = shared.withColumn("hot", hot).where((F.col("holders") <= HOT) | (F.col("hot") > 2))
+    place = F.row_number().over(Window.partitionBy("doc_id", "tag").orderBy(F.desc("holders"), "held_by"))
+    kept = shared.repartition("doc_id").withColumn("place", place).where(F.col("place") > F.col("tag").bitwiseAND(0xFFFF))
     # Segments with the same holders say the same: one of each stays. Those whose hashes meet are compared together.
     counted = kept.select("doc_id", F.col("held_by").alias("segment")).distinct().join(own.select("doc_id", "n_shingles", "counts").dropDuplicates(["doc_id"]), "doc_id")
     ordered = counted.repartition("segment").sortWithinPartitions("segment", "doc_id")
@@ -305,7 +323,7 @@ def components(docs: DataFrame, k: int, num: int, den: int, slice_docs: int = SL
     edges = met.groupBy("region", "x", "y").applyInArrow(joined, "a long, b long")
     found = written(connected_components(edges, "links"), "found")
     of_class = classes.join(found.withColumnRenamed("node", "first"), "first", "left").select("a", "b", F.coalesce("component", "first").alias("component"))
-    keyed = own.drop("segments", "counts").withColumn("linked", F.expr("n_shingles > 0 AND doc_id IS NOT NULL"))
+    keyed = own.drop("segments", "tags", "counts").withColumn("linked", F.expr("n_shingles > 0 AND doc_id IS NOT NULL"))
     out = keyed.join(of_class.withColumn("linked", F.lit(True)), ["a", "b", "linked"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

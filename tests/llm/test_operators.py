@@ -396,6 +396,41 @@ def test_jaccard_components(spark, k, num, den):
     assert got == brute_components(rows, k, num, den)
 
 
+def one_segment_empty(m, n):
+    """A text of n three-word shingles that leaves exactly one of m segments empty."""
+    for seed in itertools.count():
+        rng = random.Random(seed)
+        t = [f"t{rng.randint(0, 10**6)}" for _ in range(n + 2)]
+        filled = np.unique(jaccard.shingles(" ".join(t), 3).astype(np.float64) * m // 2.0**64)
+        if len(filled) == m - 1:
+            return " ".join(t)
+
+
+def test_jaccard_of_short_texts_on_a_template(spark):
+    """Nine shingles in four segments, one of them empty: most that is shared with the template is held by all."""
+    base = one_segment_empty(4, 9)
+    rows = list(enumerate([f"{base} own{i}" for i in range(500)] + [base]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components(docs, 3, 9, 10).collect()}
+    assert got == brute_components(rows, 3, 9, 10)
+
+
+@pytest.mark.parametrize(("num", "den"), [(9, 10), (4, 5)])
+def test_linked_sets_keep_a_common_hash(num, den):
+    """Whatever order says which hashes the most documents hold, linked sets don't both drop all that they share."""
+    rng = random.Random(3)
+    segments = jaccard.Segments(num, den)
+    for n in [*range(4, 60), *range(60, 1200, 40)] * 5:
+        a = [rng.getrandbits(64) for _ in range(n)]
+        b = a[: -(-n * num // den)]  # as far apart as may be
+        order = rng.getrandbits(64)
+        kept = []
+        for x in (a, b):
+            h, tags = segments.of(np.array(sorted(x), np.uint64))
+            kept.append({k for tag in set(tags.tolist()) for k in sorted(h[tags == tag].tolist(), key=lambda k: k * 0x9E3779B97F4A7C15 % 2**64 ^ order)[tag & 0xFFFF :]})
+        assert len(b) == n or kept[0] & kept[1]
+
+
 def test_jaccard_on_given_rows(spark):
     rows = [(d, r.text) for d, r in texts(spark).items()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in entries.op7_jaccard_components(spark, SF).collect()}
