@@ -12,7 +12,8 @@ difference of a linked pair and T = 3 plus the empty segments that its sets may
 of such a pair are equal, so the pair shares the hash of one that isn't empty, or both have T empty ones, which is a
 hash of its own. Holders of a hash are compared by how many
 shingles fall into each of CLASSES classes: the sums of differences of two documents are a metric that never exceeds
-their symmetric difference, so pairs beyond D can't link. Documents left together, directly or through others, form a
+their symmetric difference, so pairs beyond D can't link. Many holders of a hash are dealt into slices, and a task compares two
+slices; each comparison takes what it reached out of the next ones. Documents left together, directly or through others, form a
 region. Large regions are dealt into slices; a task joins two slices.
 
 Of each class, a document with e < T empty segments drops the T - 1 - e hashes that most documents hold (its spare). At
@@ -34,6 +35,8 @@ from cartulary.llm.common import connected_components, written
 #: Documents of a region slice; a task holds two. A Voronoi cell of LEAF documents is joined directly.
 SLICE, LEAF, PIVOTS = 800, 256, 16
 CLASSES, PAIRS = 256, 20_000
+#: Holders of a hash in a slice, about; a task compares two. Buckets of more rows than WIDE are searched row by row.
+HOLDERS, WIDE = 4000, 256
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -238,14 +241,44 @@ def leaders(bucket: np.ndarray, sizes: np.ndarray, counts: np.ndarray, num: int,
         label = new
 
 
+def reached(side: np.ndarray, sizes: np.ndarray, counts: np.ndarray, num: int, den: int) -> np.ndarray:
+    """For rows of one bucket: the first row that each is connected with by pairs that may link. Rows of sides 1 and 2
+    are compared with the other side only. Rows that were reached are not compared again, so near copies, which one row
+    reaches, take a number of comparisons that grows with their number, not with its square."""
+    of = np.arange(len(side))
+    left = np.ones(len(side), bool)
+    for root in range(len(side)):
+        if not left[root]:
+            continue
+        left[root] = False
+        todo = [root]
+        while todo:
+            i = todo.pop()
+            near = np.flatnonzero(left & ((side != side[i]) | (side == 0)) & (den * np.minimum(sizes, sizes[i]) >= num * np.maximum(sizes, sizes[i])))
+            for part in np.split(near, range(PAIRS, len(near), PAIRS)):
+                apart = np.abs(counts[part] - counts[i]).sum(1, dtype=np.int64)
+                part = part[(den + num) * apart <= (den - num) * (sizes[part] + sizes[i])]
+                left[part] = False
+                of[part] = root
+                todo += part.tolist()
+    return of
+
+
 def stars_of(num: int, den: int):
-    """Of rows (segment, doc_id, n_shingles, counts) in order of segment: (a, b), edges that connect what may link."""
+    """Of rows (segment, side, doc_id, n_shingles, counts) in order of segment: (a, b), edges that connect what may link."""
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def edges(rows: pa.Table) -> pa.RecordBatch:
             doc = rows.column("doc_id").to_numpy()
             counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.uint8).reshape(-1, CLASSES).astype(np.int16)
-            of = leaders(rows.column("segment").to_numpy(), rows.column("n_shingles").to_numpy(), counts, num, den)
+            bucket, side, sizes = (rows.column(c).to_numpy() for c in ("segment", "side", "n_shingles"))
+            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+            wide = np.diff(cuts) > WIDE
+            few = np.flatnonzero(np.repeat(~wide, np.diff(cuts)))
+            of = np.arange(len(bucket))
+            of[few] = few[leaders(bucket[few], sizes[few], counts[few], num, den)]
+            for low, high in zip(cuts[:-1][wide], cuts[1:][wide], strict=True):
+                of[low:high] = low + reached(side[low:high], sizes[low:high], counts[low:high], num, den)
             pairs = np.stack([doc, doc[of]])[:, of != np.arange(len(of))]
             pairs = np.unique(pairs, axis=1)
             return pa.RecordBatch.from_pydict({"a": pairs[0], "b": pairs[1]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
@@ -285,7 +318,19 @@ def profiles(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return docs.mapInArrow(profiled, "doc_id long, n_shingles long, a long, b long, counts binary, segments array<long>, tags array<int>")
 
 
-def components(docs: DataFrame, k: int, num: int, den: int, slice_docs: int = SLICE) -> DataFrame:
+def dealt_holders(kept: DataFrame, most: int) -> DataFrame:
+    """(doc_id, segment, side) of (doc_id, held_by, holders): buckets of bounded size, in which all pairs of holders
+    meet. Up to `most` holders are one bucket; more are dealt into slices, and each two slices are one, with sides 1
+    and 2. Side 0 is compared with all."""
+    rows = kept.select("doc_id", "held_by", F.ceil(F.col("holders") / most).cast("int").alias("g")).distinct()
+    rows = rows.withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("g")).cast("int"))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    bucket = F.when(F.col("g") == 1, F.col("held_by")).otherwise(F.xxhash64("held_by", "g", F.least("i", "j"), F.greatest("i", "j")))
+    side = F.when(F.col("i") == F.col("j"), 0).when(F.col("i") < F.col("j"), 1).otherwise(2).cast("byte")
+    return rows.select("doc_id", bucket.alias("segment"), side.alias("side"))
+
+
+def components(docs: DataFrame, k: int, num: int, den: int, slice_docs: int = SLICE, slice_holders: int = HOLDERS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document of (doc_id, text).
 
     component_id is the smallest doc_id that links reach. Null or wordless text has the empty set, linked with nothing.
@@ -303,7 +348,7 @@ def components(docs: DataFrame, k: int, num: int, den: int, slice_docs: int = SL
     place = F.row_number().over(Window.partitionBy("doc_id", "tag").orderBy(F.desc("holders"), "held_by"))
     kept = shared.repartition("doc_id").withColumn("place", place).where(F.col("place") > F.col("tag").bitwiseAND(0xFFFF))
     # Segments with the same holders say the same: one of each stays. Those whose hashes meet are compared together.
-    counted = kept.select("doc_id", F.col("held_by").alias("segment")).distinct().join(own.select("doc_id", "n_shingles", "counts").dropDuplicates(["doc_id"]), "doc_id")
+    counted = dealt_holders(kept, slice_holders).join(own.select("doc_id", "n_shingles", "counts").dropDuplicates(["doc_id"]), "doc_id")
     ordered = counted.repartition("segment").sortWithinPartitions("segment", "doc_id")
     stars = ordered.mapInArrow(stars_of(num, den), "a long, b long").distinct()
     regions = written(connected_components(stars, "regions"), "regions").withColumnRenamed("component", "region")

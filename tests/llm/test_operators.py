@@ -431,6 +431,37 @@ def test_linked_sets_keep_a_common_hash(num, den):
         assert len(b) == n or kept[0] & kept[1]
 
 
+def test_holders_are_dealt_into_bounded_buckets(spark):
+    """Of 3,000 holders of one hash, no bucket holds more than about two slices, and all pairs meet on sides that differ."""
+    rows = [(i, 7, 3000) for i in range(3000)] + [(i, 8, 4) for i in range(4)]
+    buckets = defaultdict(list)
+    for r in jaccard.dealt_holders(spark.createDataFrame(rows, "doc_id long, held_by long, holders long"), 300).collect():
+        buckets[r.segment].append((r.doc_id, r.side))
+    assert len(buckets) == 56 and max(map(len, buckets.values())) < 2 * 400
+    met = np.zeros((3000, 3000), bool)
+    for held in buckets.values():
+        doc, side = np.array(sorted(held)).T
+        met[np.ix_(doc, doc)] |= (side[:, None] != side) | (side == 0)
+    assert met.all()
+
+
+def test_reached_equals_leaders():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 3, (8, jaccard.CLASSES))
+    counts = (base[rng.integers(0, 8, 400)] + (rng.random((400, jaccard.CLASSES)) < 0.05)).astype(np.int16)
+    sizes = counts.sum(1, dtype=np.int64)
+    for num, den in ((9, 10), (4, 5), (24, 25)):
+        of = jaccard.reached(np.zeros(400, np.int8), sizes, counts, num, den)
+        assert (of == jaccard.leaders(np.zeros(400, np.int64), sizes, counts, num, den)).all()
+
+
+def test_jaccard_of_dealt_holders(spark):
+    rows = variants(11)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components(docs, 3, 9, 10, slice_holders=60).collect()}
+    assert got == brute_components(rows, 3, 9, 10)
+
+
 def test_jaccard_on_given_rows(spark):
     rows = [(d, r.text) for d, r in texts(spark).items()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in entries.op7_jaccard_components(spark, SF).collect()}
