@@ -24,7 +24,7 @@ BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|
 
 
 def pack(docs: DataFrame) -> DataFrame:
-    return packing.pack_documents(docs, tokenizer_file("byte_bpe_50k.tiktoken"), BYTE_PATTERN)
+    return packing.pack_documents(docs, tokenizer_file("byte_bpe_50k.tiktoken"), BYTE_PATTERN, added=packing.added_tokens(tokenizer_file("byte_bpe_50k.json")))
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ groups whose number grows with the number of rows, and each group is packed on i
 need no packing and are never shuffled.
 """
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -64,12 +65,21 @@ def best_fit(lengths: list[int], size: int, open_bins: int = OPEN_BINS) -> tuple
     return number, offset
 
 
-def token_pieces(docs: DataFrame, ranks: str, pattern: str, end_id: int = 2, longest: int = 1024) -> DataFrame:
+def added_tokens(file: str) -> dict[str, int]:
+    """Strings that a `tokenizers` file maps to ids of their own wherever they stand in a text."""
+    with open(file, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in added):
+        raise ValueError(f"added tokens of {file} that aren't matched as they stand")
+    return {t["content"]: t["id"] for t in added}
+
+
+def token_pieces(docs: DataFrame, ranks: str, pattern: str, end_id: int = 2, longest: int = 1024, added: dict[str, int] | None = None) -> DataFrame:
     """PIECES of every document: its ids, then end_id, cut to at most `longest`. Null text counts as empty.
 
     ranks: file of the byte-level vocabulary as ranks; it gives the ids that the same vocabulary gives as a
     `tokenizers` file (tests compare them), several times faster on texts whose words rarely repeat.
-    Strings of special tokens are ordinary text.
+    added: strings that have ids of their own in that file.
     """
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,11 +89,11 @@ def token_pieces(docs: DataFrame, ranks: str, pattern: str, end_id: int = 2, lon
 
         with open(ranks, "rb") as f:
             merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=merges, special_tokens={}).encode_ordinary
+        encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=merges, special_tokens=added or {}).encode
         for batch in small(batches):
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = encode(text or "")
+                ids = encode(text or "", allowed_special="all", disallowed_special=())
                 ids.append(end_id)
                 raw = memoryview(np.array(ids, dtype="<u4").tobytes())
                 rows += [(doc_id, i, s, n, zlib.crc32(raw[4 * s : 4 * (s + n)])) for i, (s, n) in enumerate(cut(len(ids), longest))]
@@ -116,9 +126,9 @@ def pack(pieces: DataFrame, rows: int, longest: int = 1024, open_bins: int = OPE
     return out.unionByName(whole.withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")}))
 
 
-def pack_documents(docs: DataFrame, ranks: str, pattern: str, end_id: int = 2, longest: int = 1024) -> DataFrame:
+def pack_documents(docs: DataFrame, ranks: str, pattern: str, end_id: int = 2, longest: int = 1024, added: dict[str, int] | None = None) -> DataFrame:
     """Tokenises and packs all documents. The pieces are a table in the shared folder, so each text is tokenised once."""
     from cartulary.llm.common import written
 
-    pieces = written(token_pieces(docs, ranks, pattern, end_id, longest), "pieces")
+    pieces = written(token_pieces(docs, ranks, pattern, end_id, longest, added), "pieces")
     return pack(pieces, pieces.where(F.col("length") < longest).count(), longest)

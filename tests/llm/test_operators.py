@@ -51,6 +51,19 @@ def test_packing_equals_tokenizers(spark):
     assert len({r.sequence_id for r in rows}) <= least * 1.05 + 2
 
 
+def test_packing_of_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(entries.tokenizer_file("byte_bpe_50k.json"))
+    texts = ["a<|endoftext|>b", "<|endoftext|>", " <|endoftext|> \n<|endoftext|><|endoftext|> x", "<|endoftext|", "one  <|endoftext|>  two's <|endofprompt|>", "<<|endoftext|>>  "]
+    rows = entries.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in rows}
+    for i, text in enumerate(texts):
+        ids = [*plain.encode(text, add_special_tokens=False).ids, 2]
+        assert got[i] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    assert 50256 in plain.encode(texts[0], add_special_tokens=False).ids
+
+
 def check_sequences(rows, size):
     sequences = defaultdict(list)
     for r in rows:
