@@ -2,9 +2,9 @@
 
 A text is read as units: runs without white space, cut after UNIT characters. A k-mer is K units in a row; it is a
 closed syncmer if the smallest hash among its inner pairs of units stands at its first or last pair. Whether it is
-depends on its own units alone, so equal passages get equal anchors wherever they stand. The fingerprint keeps the
-SKETCH anchors with the smallest hashes, each with its position; two fingerprints are matched by hash, and matches count
-only near the median of their position differences.
+depends on its own units alone, so equal passages get equal anchors wherever they stand. The fingerprint keeps all
+anchors, each with its position; two fingerprints are matched by hash, and matches count only near the median of their
+position differences.
 
 DataFrame functions only; each text is read whole, in its row.
 """
@@ -12,7 +12,9 @@ DataFrame functions only; each text is read whole, in its row.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-UNIT, K, SKETCH = 6, 5, 64
+UNIT, K = 6, 5
+#: Anchors that a fingerprint may hold: as many as an array.
+SKETCH = 2**31 - 1
 
 
 def let(value: Column, use) -> Column:
@@ -21,7 +23,7 @@ def let(value: Column, use) -> Column:
 
 
 def anchors(text: Column) -> Column:
-    """array<struct<h, p>>, by h: the SKETCH smallest anchors of a text and the unit where each first stands. A text of
+    """array<struct<h, p>>, by h: all anchors of a text and the unit where each first stands. A text of
     fewer than K units is one anchor, an empty one has none; of white space alone, the text is its only unit."""
     units = F.regexp_extract_all(text, F.lit(rf"\S{{1,{UNIT}}}"), F.lit(0))
 
@@ -37,7 +39,7 @@ def anchors(text: Column) -> Column:
         empty = F.filter(short, lambda _: F.lit(False))
         return F.when(F.size(u) >= K, let(pairs, of_pairs)).when(text == "", empty).otherwise(short)
 
-    first = lambda s: F.slice(F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["h"] != x["h"])), 1, SKETCH)
+    first = lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["h"] != x["h"]))
     return let(F.array_sort(let(units, of_units)), first)
 
 
@@ -46,15 +48,14 @@ def written_out(sketch: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1: twice the matching anchors over all that both sketches could hold. Two empty ones are alike."""
-    hashes = F.transform(b, lambda y: y["h"])
-    diffs = let(hashes, lambda hs: F.array_sort(F.transform(F.filter(a, lambda x: F.array_contains(hs, x["h"])), lambda x: x["p"] - F.get(b, (F.array_position(hs, x["h"]) - 1).cast("int"))["p"])))
+    """0 to 1: twice the matching anchors over all that both sketches hold. Two empty ones are alike."""
+    of_side = lambda s, side: F.transform(s, lambda x: F.struct(x["h"], F.lit(side).alias("side"), x["p"]))
+    met = lambda s: F.zip_with(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))), F.slice(s, 2, F.size(s)), lambda x, y: F.when(x["h"] == y["h"], x["p"] - y["p"]))
+    common = let(F.array_sort(F.concat(of_side(a, 0), of_side(b, 1))), met)  # equal hashes, one of each side, are neighbours
+    diffs = F.array_sort(F.filter(common, lambda d: d.isNotNull()))
     reach = 16 + F.floor(F.coalesce(F.array_max(F.transform(a, lambda x: x["p"])), F.lit(0)) / 10)
     matched = let(diffs, lambda d: let(F.get(d, (F.size(d) / 2).cast("int")), lambda m: F.size(F.filter(d, lambda x: F.abs(x - m) <= reach))))
-    top = F.lit(2**63 - 1)
-    cut = F.least(*(F.when(F.size(s) >= SKETCH, F.element_at(s, -1)["h"]).otherwise(top) for s in (a, b)))
-    both = let(cut, lambda c: F.size(F.filter(a, lambda x: x["h"] <= c)) + F.size(F.filter(b, lambda x: x["h"] <= c)))
-    return F.coalesce(F.try_divide(2.0 * matched, both), F.lit(1.0))
+    return F.coalesce(F.try_divide(2.0 * matched, F.size(a) + F.size(b)), F.lit(1.0))
 
 
 def fingerprints(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
@@ -93,10 +94,9 @@ def edited(docs: DataFrame, part_rows: int = 5_000, most_ranges: int = 2000) ->
     with the edit that the contract fixes. Null text counts as empty; the only row of a table is its own next."""
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ranges = min(most_ranges, max(1, -(-docs.count() // part_rows)))
-    own = docs.withColumn("sketch", anchors(F.col("text")))
-    rows = with_next(own, "text", ["sketch"], ranges)
+    rows = with_next(docs, "text", [], ranges)  # sketches are larger than texts, so they are made behind the shuffle
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("cut", F.floor(F.col("n_chars") / 3).cast("int"))
     head = F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - F.col("cut")).cast("int"))
     rows = rows.withColumn("edited", F.concat(head, F.substring(F.col("next_text"), F.lit(1), F.col("cut"))))
-    rows = rows.withColumns({"edited_sketch": anchors(F.col("edited")), "next_sketch": F.coalesce(F.col("next_sketch"), anchors(F.col("next_text")))})
+    rows = rows.withColumns({f"{c}sketch": anchors(F.col(f"{t}")) for c, t in (("", "text"), ("edited_", "edited"), ("next_", "next_text"))})
     return rows.withColumns({"fingerprint": written_out(F.col("sketch")), "edited_fingerprint": written_out(F.col("edited_sketch"))})

@@ -557,6 +557,22 @@ def test_syncmers_equal_brute_force(spark):
     assert {x.p for x in sketch} <= set(brute_anchors(pairs))
 
 
+def test_syncmers_of_long_texts(spark):
+    """Of 12,000 words no anchor is left out, and a passage of 600 shared words is seen in the likeness."""
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randint(0, 10**5)}"
+    passage = [word() for _ in range(600)]
+    a, b = (" ".join([*(word() for _ in range(3000)), *passage, *(word() for _ in range(8400))]) for _ in range(2))
+    df = spark.createDataFrame([(a, b)], "a string, b string").select(syncmers.anchors(F.col("a")).alias("a"), syncmers.anchors(F.col("b")).alias("b"))
+    r = df.select("a", "b", syncmers.likeness(F.col("a"), F.col("b")).alias("near")).first()
+    assert min(len(r.a), len(r.b)) > 4000
+    at = {x.h: x.p for x in r.b}
+    diffs = sorted(x.p - at[x.h] for x in r.a if x.h in at)
+    reach = 16 + max(x.p for x in r.a) // 10
+    matched = sum(abs(d - diffs[len(diffs) // 2]) <= reach for d in diffs)
+    assert matched > 200 and r.near == 2 * matched / (len(r.a) + len(r.b))
+
+
 def test_syncmers_of_odd_rows(spark, odd_docs):
     rows = syncmers.edited(odd_docs, part_rows=3).collect()
     assert len(rows) == 12
