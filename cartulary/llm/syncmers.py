@@ -1,8 +1,10 @@
 """Document fingerprints from closed syncmers.
 
-A text is read as units: runs without white space, cut after UNIT characters. A k-mer is K units in a row; it is a
+A text is read as units: runs without white space of at most LONG characters, cut after UNIT characters, and the single
+characters of longer runs, so that no unit depends on more than LONG characters around it. A k-mer is K units in a row; it is a
 closed syncmer if the smallest hash among its inner pairs of units stands at its first or last pair. Whether it is
-depends on its own units alone, so equal passages get equal anchors wherever they stand. The fingerprint keeps all
+depends on its own units alone, so equal passages get equal anchors wherever they stand, but for those in a run of at
+most LONG characters at their ends. The fingerprint keeps all
 anchors, each with its position; two fingerprints are matched by hash, and matches count only near the median of their
 position differences.
 
@@ -12,7 +14,10 @@ DataFrame functions only; each text is read whole, in its row.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-UNIT, K = 6, 5
+UNIT, K, LONG = 6, 5, 16
+#: The units of a run by where they begin, each with what may follow in a run of at most LONG; else one character.
+_SHORT = (rf"(?<=(?<!\S)\S{{{at}}})(?=\S{{1,{LONG - at}}}+(?!\S))\S{{1,{UNIT}}}" for at in range(0, LONG, UNIT))
+UNITS = "|".join([*_SHORT, r"\S"])
 #: Anchors that a fingerprint may hold: as many as an array.
 SKETCH = 2**31 - 1
 
@@ -25,7 +30,7 @@ def let(value: Column, use) -> Column:
 def anchors(text: Column) -> Column:
     """array<struct<h, p>>, by h: all anchors of a text and the unit where each first stands. A text of
     fewer than K units is one anchor, an empty one has none; of white space alone, the text is its only unit."""
-    units = F.regexp_extract_all(text, F.lit(rf"\S{{1,{UNIT}}}"), F.lit(0))
+    units = F.regexp_extract_all(text, F.lit(UNITS), F.lit(0))
 
     def of_pairs(h: Column) -> Column:  # h: hashes of pairs of neighbouring units
         kmer = lambda i: [F.get(h, i + j) for j in range(K - 1)]

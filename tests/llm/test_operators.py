@@ -573,6 +573,20 @@ def test_syncmers_of_long_texts(spark):
     assert matched > 200 and r.near == 2 * matched / (len(r.a) + len(r.b))
 
 
+def test_syncmers_without_blanks(spark):
+    """One more character in front leaves the anchors of a text without blanks; words and short runs are cut as before."""
+    rng = random.Random(6)
+    for letters in ("".join(map(chr, range(0x4E00, 0x5200))), "abcdefghijklmnopqrstuvwxyz0123456789+/", "𝒳𝒴𝒵𐍈𐍉abc漢字"):
+        text = "".join(rng.choice(letters) for _ in range(3000))
+        cut = text[1000:2000]
+        df = spark.createDataFrame([(text, "x" + text, cut)], "a string, b string, c string")
+        a, b, c = ({x.h for x in s} for s in df.select(*(syncmers.anchors(F.col(x)) for x in "abc")).first())
+        assert len(a & b) >= len(a) - 2 and len(c & a) == len(c) > 300
+    words = "one sevenses twelveletter sixteencharacter seventeencharacte é𝒳 x"
+    units = spark.createDataFrame([(words,)], "t string").select(F.regexp_extract_all("t", F.lit(syncmers.UNITS), F.lit(0))).first()[0]
+    assert units == [u for w in words.split() for u in (re.findall(".{1,6}", w) if len(w) <= 16 else w)]
+
+
 def test_syncmers_of_odd_rows(spark, odd_docs):
     rows = syncmers.edited(odd_docs, part_rows=3).collect()
     assert len(rows) == 12
