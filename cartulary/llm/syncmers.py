@@ -45,7 +45,7 @@ def anchors(text: Column) -> Column:
         return F.when(F.size(u) >= K, let(pairs, of_pairs)).when(text == "", empty).otherwise(short)
 
     first = lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["h"] != x["h"]))
-    return let(F.array_sort(let(units, of_units)), first)
+    return let(F.sort_array(let(units, of_units)), first)
 
 
 def written_out(sketch: Column) -> Column:
@@ -56,10 +56,10 @@ def likeness(a: Column, b: Column) -> Column:
     """0 to 1: twice the matching anchors over all that both sketches hold. Two empty ones are alike."""
     of_side = lambda s, side: F.transform(s, lambda x: F.struct(x["h"], F.lit(side).alias("side"), x["p"]))
     met = lambda s: F.zip_with(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))), F.slice(s, 2, F.size(s)), lambda x, y: F.when(x["h"] == y["h"], x["p"] - y["p"]))
-    common = let(F.array_sort(F.concat(of_side(a, 0), of_side(b, 1))), met)  # equal hashes, one of each side, are neighbours
-    diffs = F.array_sort(F.filter(common, lambda d: d.isNotNull()))
+    common = let(F.sort_array(F.concat(of_side(a, 0), of_side(b, 1))), met)  # equal hashes, one of each side, are neighbours
+    diffs = F.sort_array(F.filter(common, lambda d: d.isNotNull()))
     reach = 16 + F.floor(F.coalesce(F.array_max(F.transform(a, lambda x: x["p"])), F.lit(0)) / 10)
-    matched = let(diffs, lambda d: let(F.get(d, (F.size(d) / 2).cast("int")), lambda m: F.size(F.filter(d, lambda x: F.abs(x - m) <= reach))))
+    matched = let(diffs, lambda d: let(F.get(d, (F.size(d) / 2).cast("int")), lambda m: let(reach, lambda r: F.size(F.filter(d, lambda x: F.abs(x - m) <= r)))))
     return F.coalesce(F.try_divide(2.0 * matched, F.size(a) + F.size(b)), F.lit(1.0))
 
 
