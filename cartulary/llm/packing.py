@@ -9,8 +9,9 @@ need no packing and are never shuffled.
 """
 
 import json
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,9 @@ from cartulary.llm.common import small
 #: Rows that one group packs. A group ends with at most OPEN_BINS sequences that are not full.
 GROUP_ROWS = 200_000
 OPEN_BINS = 1024
+#: Runs of white space (Unicode's) of at least this length are encoded apart from the rest of their text.
+LONG_BLANK = 1000
+_BLANKS = re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LONG_BLANK},}}")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PIECE_TYPES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
@@ -74,6 +78,41 @@ def added_tokens(file: str) -> dict[str, int]:
     return {t["content"]: t["id"] for t in added}
 
 
+def encoder(ranks: str, pattern: str, added: dict[str, int]) -> Callable[[str], list[int]]:
+    """Ids of a text. Of a long run of white space the pattern takes all at a text's end or before an added token, and
+    all but the last character elsewhere; that piece is merged by itself, since the pattern would need a stack as deep
+    as the run is long."""
+    import base64
+
+    import tiktoken
+
+    with open(ranks, "rb") as f:
+        merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=merges, special_tokens=added)
+    special = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
+
+    def plain(text: str) -> list[int]:
+        ids, at = [], 0
+        for run in _BLANKS.finditer(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            ids += own.encode_ordinary(text[at : run.start()])
+            ids += own._encode_single_piece(text[run.start() : end])
+            at = end
+        return ids + own.encode_ordinary(text[at:])
+
+    def encode(text: str) -> list[int]:
+        if not _BLANKS.search(text):
+            return own.encode(text, allowed_special="all", disallowed_special=())
+        ids, at = [], 0
+        for found in special.finditer(text) if special else ():
+            ids += plain(text[at : found.start()])
+            ids.append(added[found[0]])
+            at = found.end()
+        return ids + plain(text[at:])
+
+    return encode
+
+
 def token_pieces(docs: DataFrame, ranks: str, pattern: str, end_id: int = 2, longest: int = 1024, added: dict[str, int] | None = None) -> DataFrame:
     """PIECES of every document: its ids, then end_id, cut to at most `longest`. Null text counts as empty.
 
@@ -83,17 +122,11 @@ def token_pieces(docs: DataFrame, ranks: str, pattern: str, end_id: int = 2, lon
     """
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import base64
-
-        import tiktoken
-
-        with open(ranks, "rb") as f:
-            merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=merges, special_tokens=added or {}).encode
+        encode = encoder(ranks, pattern, added or {})
         for batch in small(batches):
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = encode(text or "", allowed_special="all", disallowed_special=())
+                ids = encode(text or "")
                 ids.append(end_id)
                 raw = memoryview(np.array(ids, dtype="<u4").tobytes())
                 rows += [(doc_id, i, s, n, zlib.crc32(raw[4 * s : 4 * (s + n)])) for i, (s, n) in enumerate(cut(len(ids), longest))]
