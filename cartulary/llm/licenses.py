@@ -1,9 +1,11 @@
 """License scans by diagonal voting.
 
 All rolling k-grams of a document's words are joined, by hash and words, to the positions they have in license templates.
-A match of document position p and template position q votes for the diagonal p - q. Votes are counted per diagonal,
-neighbouring diagonals (words inserted or lost) are merged, and the merged span is verified: the share of the template's
-k-grams that it holds, each compared word by word. Phrases are templates that must match whole, on one diagonal.
+A match of document position p and template position q votes for the diagonal p - q. Votes are counted per diagonal;
+around each one the neighbouring diagonals (words inserted or lost) are merged, and the merged span is verified: the
+share of the template's k-grams that it holds, each compared word by word. Of verified spans whose diagonals are
+neighbours the best one stays, so what stands beside a license can't hide it. Phrases are templates that must match
+whole, on one diagonal.
 
 DataFrame functions only. The templates are fixed, so is the broadcast side's size; matches are grouped by document.
 """
@@ -12,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 K = 3
-#: Diagonals at most this far apart, and spans with at least this share of a template's k-grams, count.
+#: Diagonals at most this far from a span's middle one, and spans with at least this share of a template's k-grams, count.
 NEAR, LEAST = 8, 0.6
 
 # The phrases, with their labels, that are always reported.
@@ -73,14 +75,14 @@ def spans(docs: DataFrame, key: list[str], text: str = "text", near: int = NEAR,
     the key's row is repeated as rows. A key must tell texts apart."""
     diagonal = matches(docs, key, text).withColumn("d", F.col("p") - F.col("q"))
     votes = diagonal.groupBy(*key, "template", "phrase", "label", "grams", "d").agg(F.collect_set("q").alias("q"), F.min("p").alias("first"), F.max("p").alias("last"), F.count("*").alias("rows"))
-    order = Window.partitionBy(*key, "template").orderBy("d")
-    apart = F.col("phrase") | (F.col("d") - F.lag("d").over(order) > near)
-    merged = votes.withColumn("span", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    held = F.size(F.array_distinct(F.flatten(F.collect_list("q"))))
-    merged = merged.groupBy(*key, "template", "phrase", "label", "grams", "span").agg(F.min("first").alias("first"), F.max("last").alias("last"), held.alias("held"), F.max("rows").alias("rows"))
-    compact = F.col("last") - F.col("first") <= 2 * F.col("grams") + near
-    verified = F.when(F.col("phrase"), F.col("held") == F.col("grams")).otherwise((F.col("held") >= least * F.col("grams")) & compact)
-    return merged.where(verified).select(*key, "label", "phrase", "first", (F.col("last") + K - 1).alias("last"), (F.col("held") / F.col("grams")).alias("score"), "rows")
+    # a span is the diagonals around one of them: at most grams + 2 * near positions long, whatever else the text holds
+    around = Window.partitionBy(*key, "template", "phrase").orderBy("d").rangeBetween(-near, near)
+    spanned = votes.withColumns({"own": F.size("q"), "all": F.when(F.col("phrase"), F.col("q")).otherwise(F.array_distinct(F.flatten(F.collect_list("q").over(around))))})
+    spanned = spanned.withColumns({f"{c}_span": F.when(F.col("phrase"), F.col(c)).otherwise(f(c).over(around)) for c, f in (("first", F.min), ("last", F.max))})
+    rank = F.struct(F.size("all").alias("held"), "own", (-F.col("d")).alias("d"))
+    best = spanned.withColumn("rank", rank).where(F.when(F.col("phrase"), F.col("rank.held") == F.col("grams")).otherwise(F.col("rank.held") >= least * F.col("grams")))
+    best = best.withColumn("top", F.col("phrase") | (F.col("rank") == F.max("rank").over(around))).where("top")
+    return best.select(*key, "label", "phrase", F.col("first_span").alias("first"), (F.col("last_span") + K - 1).alias("last"), (F.col("rank.held") / F.col("grams")).alias("score"), "rows")
 
 
 def scan(docs: DataFrame, text: str = "text", near: int = NEAR, least: float = LEAST) -> DataFrame:
