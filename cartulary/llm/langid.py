@@ -2,13 +2,16 @@
 
 The pieces are a fixed public vocabulary. Each language has a probability for each piece; a forward algorithm sums the
 probabilities of all ways to cut a word into pieces, and a text's score is the sum over its words. Words are runs of
-letters in lower case, behind a word-start mark; runs longer than LONGEST_RUN are cut there, so every text is read whole.
+letters (Unicode's categories L, with the marks M behind them) in lower case, behind a word-start mark; runs longer than
+LONGEST_RUN are cut there, so every text is read whole.
 
 Learning: pieces are counted per task (at most vocabulary x languages rows each), summed by Spark, and only those sums
 - bounded by the vocabulary's 32,000 pieces times the languages - reach the driver and the executors.
 """
 
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,11 +27,26 @@ LONGEST_RUN = 24
 #: Words whose scores a worker remembers; it forgets them all when there are more.
 CACHED_WORDS = 400_000
 MARK = "▁"
-_RUN = re.compile(rf"[^\W\d_]{{1,{LONGEST_RUN}}}")
+
+
+def characters(categories: str, last: int = sys.maxunicode) -> str:
+    """The inside of a regular expression's brackets: code points whose category begins with one of the letters."""
+    held = np.array([unicodedata.category(chr(c))[0] in categories for c in range(last + 1)])
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], held, [False]]).astype(np.int8)))
+    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2], edges[1::2], strict=True))
+
+
+_RUN = re.compile(f"[{characters('L')}][{characters('LM')}]{{0,{LONGEST_RUN - 1}}}")
+#: Texts without marks, numbers other than digits and code points above FFFF have the same runs by a quicker pattern.
+_RARE = re.compile(f"[{characters('MN', 0xFFFF).removeprefix(chr(92) + 'U00000030-' + chr(92) + 'U00000039')}\U00010000-\U0010ffff]")
+_COMMON = re.compile(rf"[^\W\d_]{{1,{LONGEST_RUN}}}")
 
 
 def words(text: str | None) -> list[str]:
-    return [w for w in _RUN.findall(text.lower())] if text else []
+    if not text:
+        return []
+    text = text.lower()
+    return (_RUN if _RARE.search(text) else _COMMON).findall(text)
 
 
 def piece_counts(docs: DataFrame, model: str) -> DataFrame:
