@@ -2,7 +2,8 @@
 
 Archives are files of gzip members, one record each. Reading tasks get byte ranges. A task scans its range for gzip
 magic, validates a candidate by decoding the start of the member and finding a WARC version line, and owns the records
-that start inside its range, decoding past its end where the last one needs it. Behind a member the next one starts.
+that start inside its range, decoding past its end where the last one needs it. Behind a member the next one starts: what
+doesn't decode there is damage, and so is a file whose records aren't as many as its manifest says.
 
 Writers give every attempt a file name of its own and return it; a manifest table, committed by Spark, lists the files
 of the attempts that counted, so lost executors leave no records twice.
@@ -61,12 +62,18 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 def roles(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     """Adds payload, digest and refers_to (null: response). Of equal payloads of at least least_bytes, that with the
-    largest page_id is the response. Null html counts as empty, null ids never are a group's response unless alone."""
+    largest page_id is the response. Null html counts as empty, null ids never are a group's response unless alone.
+
+    Groups are found by ids and digests; payloads meet only their own page's answer, so none gathers at a common digest.
+    """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     pages = pages.withColumn("digest", F.sha1("payload"))
-    groups = pages.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
-    groups = groups.where("n > 1 AND first IS NOT NULL").select("digest", "first")
-    return pages.join(groups, "digest", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))).drop("first")
+    ids = pages.where(F.octet_length("payload") >= least_bytes).select("page_id", "digest")
+    groups = ids.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL")
+    other = ids.join(groups.select("digest", "first"), "digest").where("NOT page_id <=> first").distinct()
+    page = [F.coalesce("page_id", F.lit(0)).alias("k"), F.col("page_id").isNull().alias("none"), "digest"]
+    asked, known = pages.select("*", *page[:2]), other.select(*page, F.col("first").alias("refers_to"))
+    return asked.join(known, ["k", "none", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
 
 
 def write(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -97,51 +104,53 @@ def write(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) ->
 
 
 def members(file, start: int, end: int, size: int) -> Iterator[bytes]:
-    """The decoded members that start in [start, end) of an open file of `size` bytes."""
-    at, buffer, base = start, b"", start  # buffer holds the file from base on
+    """The decoded members that start in [start, end) of an open file of `size` bytes. ValueError at damage: at the
+    file's start, behind a member, and where a member's first bytes decode but the rest doesn't."""
+    at, buffer, base = start, bytearray(), start  # buffer holds the file from base on
+    follows = start == 0  # a member must stand at `at`
 
-    def more(to: int) -> None:
-        nonlocal buffer
+    def upto(to: int) -> bool:
+        """Reads until buffer reaches `to` or the file's end; true if it reaches `to`."""
         while base + len(buffer) < min(to, size):
             file.seek(base + len(buffer))
-            got = file.read(min(CHUNK, size - base - len(buffer)))
+            got = file.read(min(max(CHUNK, to - base - len(buffer)), size - base - len(buffer)))
             if not got:
                 raise EOFError(f"file ends before byte {size}")
-            buffer += got
-
-    while at < end:
-        buffer, base = buffer[at - base :], at
-        more(at + CHUNK)
-        hit = buffer.find(MAGIC)
-        if hit < 0 or at + hit >= end:
-            if base + len(buffer) >= min(end + len(MAGIC), size) or hit >= 0:
-                return
-            at += max(1, len(buffer) - len(MAGIC) + 1)
-            continue
-        at += hit
-        buffer, base = buffer[hit:], at
-        more(at + CHUNK)
-        unpack = zlib.decompressobj(31)
+            buffer.extend(got)
+        return base + len(buffer) >= to
+
+    def begins(at: int) -> bool:
+        upto(at + 4096)
+        head = bytes(buffer[at - base : at - base + 4096])
         try:
-            if not unpack.decompress(buffer[:4096], 16).startswith(b"WARC/1."):
-                at += 1
-                continue
+            return head.startswith(MAGIC) and zlib.decompressobj(31).decompress(head, 16).startswith(b"WARC/1.")
         except zlib.error:
-            at += 1
+            return False
+
+    while at < size and (at < end or follows):
+        if at - base > 4 * CHUNK:
+            del buffer[: at - base]
+            base = at
+        if not begins(at):
+            if follows:
+                raise ValueError(f"no record at byte {at}, where one must follow")
+            upto(at + 1 + CHUNK)
+            hit = buffer.find(MAGIC, at + 1 - base)
+            at = base + hit if hit >= 0 else max(at + 1, base + len(buffer) - len(MAGIC) + 1)
             continue
-        unpack, parts, pos = zlib.decompressobj(31), [], 0
+        if at >= end:
+            return  # the next range's
+        unpack, parts, pos = zlib.decompressobj(31), [], at
         try:
             while not unpack.eof:
-                if pos >= len(buffer):
-                    if base + len(buffer) >= size:
-                        raise EOFError(f"the record at byte {at} is cut")
-                    more(base + len(buffer) + CHUNK)
-                parts.append(unpack.decompress(buffer[pos : pos + CHUNK]))
-                pos += len(buffer[pos : pos + CHUNK])
-        except zlib.error:
-            at += 1
-            continue
-        at += pos - len(unpack.unused_data)
+                if not upto(pos + 1):
+                    raise ValueError(f"the record at byte {at} is cut")
+                part = bytes(buffer[pos - base : pos - base + CHUNK])
+                parts.append(unpack.decompress(part))
+                pos += len(part)
+        except zlib.error as e:
+            raise ValueError(f"the record at byte {at} is damaged") from e
+        at, follows = pos - len(unpack.unused_data), True
         yield b"".join(parts)
 
 
@@ -152,15 +161,18 @@ def parsed(raw: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[: int(fields["content-length"])]
 
 
-RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
+RECORDS = "archive string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
 
 def read(spark: SparkSession, manifest: DataFrame, split_bytes: int = SPLIT_BYTES, payloads: bool = True) -> DataFrame:
-    """RECORDS of the archives in manifest (path, bytes). A response's digest is computed from what was read and must
-    equal its header's; a revisit's digest and length are its header's, its payload null (as all are without payloads)."""
+    """RECORDS of the archives in manifest (path, bytes, records). A response's digest is computed from what was read and must
+    equal its header's; a revisit's digest and length are its header's, its payload null (as all are without payloads).
+
+    The rows are a table in the shared folder, and each archive's must be as many as its manifest says: else ValueError.
+    """
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
+        types = pa.schema([("archive", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
         for batch in batches:
             for path, size, start in zip(*(batch.column(c).to_pylist() for c in ("path", "bytes", "start")), strict=True):
                 store, at = fs.FileSystem.from_uri(path)
@@ -175,7 +187,7 @@ def read(spark: SparkSession, manifest: DataFrame, split_bytes: int = SPLIT_BYTE
                         if whole and (hashlib.sha1(payload).hexdigest() != named or len(payload) != length):
                             raise ValueError(f"wrong payload in {fields['warc-record-id']}")
                         refers = page_of(fields["warc-refers-to"]) if not whole else None
-                        rows.append((page_of(fields["warc-record-id"]), fields.get("warc-target-uri"), fields["warc-type"], refers, length, named, payload if whole and payloads else None))
+                        rows.append((path, page_of(fields["warc-record-id"]), fields.get("warc-target-uri"), fields["warc-type"], refers, length, named, payload if whole and payloads else None))
                         if len(rows) >= 500:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types.types, strict=True)], schema=types)
                             rows = []
@@ -184,7 +196,12 @@ def read(spark: SparkSession, manifest: DataFrame, split_bytes: int = SPLIT_BYTE
 
     ranges = manifest.where("bytes > 0").select("path", "bytes", F.explode(F.expr(f"sequence(0L, bytes - 1, {split_bytes}L)")).alias("start"))
     # a range is a few bytes of plan but megabytes of work, so the number of tasks is given
-    return ranges.repartition(max(1, ranges.count())).mapInArrow(records, RECORDS)
+    found = written(ranges.repartition(max(1, ranges.count())).mapInArrow(records, RECORDS), "records")
+    seen = found.groupBy(F.col("archive").alias("path")).agg(F.count("*").alias("seen"))
+    wrong = manifest.join(seen, "path", "left").where(F.coalesce("seen", F.lit(0)) != F.col("records")).select("path", "records", "seen").limit(5).collect()
+    if wrong:
+        raise ValueError(f"archives whose records aren't all there: {wrong}")
+    return found
 
 
 def archive_folder(spark: SparkSession) -> str:
