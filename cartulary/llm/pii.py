@@ -1,8 +1,9 @@
 """Personal data: patterns propose spans, checksums and ranges confirm them, nearby words adjust the score.
 
 Spans are found by splitting a text at a pattern and listing the pattern's matches: the lengths of both, added up, are
-the positions in code points. Patterns have no nested open-ended repeats, so long texts take time in proportion; a text
-is searched for a kind only if it holds a character or run that the kind needs. DataFrame functions only.
+the positions in code points. Patterns have no nested open-ended repeats; a text is searched for a kind only if it holds
+a character or run that the kind needs. Running sums go by blocks, and what stands around a span is taken from parts of
+PART characters, so texts with very many spans take time about in proportion. DataFrame functions only.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -33,6 +34,7 @@ CONTEXT = {
     "ssn": "ssn|social|security|taxpayer",
 }
 NEAR, RAISE, LEAST = 40, 0.2, 0.5
+PART = 256
 
 
 def let(value: Column, use) -> Column:
@@ -40,18 +42,50 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def running(values: Column, combine, kind: str = "int") -> Column:
+    """array: values combined from the first to each, by blocks of about the root of their number. `combine` must be
+    associative. An empty array gives an empty one."""
+    none = F.expr(f"CAST(array() AS array<{kind}>)")
+
+    def within(block: Column) -> Column:
+        step = lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, x).otherwise(combine(F.get(acc, F.size(acc) - 1), x))))
+        return F.aggregate(block, none, step)
+
+    def of(v: Column) -> Column:
+        side = F.ceil(F.sqrt(F.size(v))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), side - 1), lambda b: within(F.slice(v, b * side + 1, side)))
+
+        def joined(rows: Column) -> Column:
+            ends = within(F.filter(F.transform(rows, lambda r: F.get(r, F.size(r) - 1)), lambda x: x.isNotNull()))
+            moved = lambda before: F.transform(rows, lambda r, i: F.when(i == 0, r).otherwise(F.transform(r, lambda x: combine(F.get(before, i - 1), x))))
+            return F.flatten(let(ends, moved))
+
+        return F.when(F.size(v) == 0, none).otherwise(let(blocks, joined))
+
+    return let(values, of)
+
+
 def located(text: Column, pattern: str) -> Column:
     """array<struct<start, end, value>> of the leftmost matches that don't overlap, in code points, end exclusive."""
-    start = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<struct<start: int, end: int, value: string>>)").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.char_length(x["part"])
-        end = begin + F.char_length(x["value"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
+    def placed(found: Column) -> Column:
+        lengths = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda p, v: F.char_length(p) + F.char_length(v))
+        spans = lambda ends: F.zip_with(ends, found, lambda e, v: F.struct((e - F.char_length(v)).alias("start"), e.alias("end"), v.alias("value")))
+        return let(running(lengths, lambda a, b: a + b), spans)
 
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = lambda f: F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(f)), f, lambda p, v: F.struct(p.alias("part"), v.alias("value")))
-    return let(found, lambda f: F.aggregate(between(f), start, step, lambda acc: acc["out"]))
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
+
+
+def parts(text: Column) -> Column:
+    """The text in parts of PART characters; `cut` takes what it needs from a few of them."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PART}}}"), F.lit(0))
+
+
+def cut(of: Column, start: Column, end: Column) -> Column:
+    """The characters from start to end (exclusive, not before start) of a text in parts."""
+    first = F.floor(start / PART).cast("int")
+    run = F.slice(of, first + 1, F.floor(end / PART).cast("int") - first + 1)
+    return F.substring(F.array_join(run, ""), start - first * PART + 1, end - start)
 
 
 def digits(value: Column) -> Column:
@@ -94,13 +128,15 @@ def found(text: Column, kind: str) -> Column:
     none = F.expr("CAST(array() AS array<struct<start: int, end: int, value: string>>)")
     proposed = F.when(text.contains("@") if kind == "email" else text.rlike(NEEDS[kind]), located(text, PATTERNS[kind])).otherwise(none)
     good = F.filter(proposed, lambda s: confirmed(kind, s["value"]))
-    around = lambda s: F.concat(
-        F.substring(text, F.greatest(s["start"] - NEAR, F.lit(0)) + 1, F.least(s["start"], F.lit(NEAR))), F.lit(" "), F.substring(text, s["end"] + 1, F.lit(NEAR))
-    )
-    near = lambda s: F.lower(around(s)).rlike(rf"\b(?:{CONTEXT[kind]})")
-    score = lambda s: F.lit(SCORES[kind]) + F.when(near(s), RAISE).otherwise(0.0)
-    scored = F.transform(good, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.least(score(s), F.lit(1.0)).alias("score")))
-    return F.filter(scored, lambda s: s["score"] >= LEAST)
+
+    def scored(spans: Column, of: Column) -> Column:
+        around = lambda s: F.concat(cut(of, F.greatest(s["start"] - NEAR, F.lit(0)), s["start"]), F.lit(" "), cut(of, s["end"], s["end"] + NEAR))
+        near = lambda s: F.lower(around(s)).rlike(rf"\b(?:{CONTEXT[kind]})")
+        score = lambda s: F.lit(SCORES[kind]) + F.when(near(s), RAISE).otherwise(0.0)
+        return F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.least(score(s), F.lit(1.0)).alias("score")))
+
+    held = let(good, lambda g: let(F.when(F.size(g) > 0, parts(text)).otherwise(F.expr("CAST(array() AS array<string>)")), lambda of: scored(g, of)))
+    return F.filter(held, lambda s: s["score"] >= LEAST)
 
 
 def detect(docs: DataFrame, keep: list[str], text: str = "text", kinds: tuple[str, ...] = tuple(PATTERNS)) -> DataFrame:
@@ -116,16 +152,19 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     """The columns of docs with every span of text replaced by its kind in angle brackets; overlapping spans are one, of
     the kind that starts first. Null text stays null; other rows and columns stay as they are."""
     rows = detect(docs.select(F.struct("*").alias("doc"), text), ["doc"], text)
-    body = F.col(f"doc.{text}")
-    sorted_spans = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    body = F.col(f"doc.{text}").cast("string")
+
+    def replaced(spans: Column) -> Column:  # in order of their starts
+        def with_ends(upto: Column) -> Column:  # the furthest end of the spans so far
+            before = lambda i: F.when(i == 0, 0).otherwise(F.get(upto, i - 1))
+            clean = lambda of: F.transform(spans, lambda s, i: F.when(s["start"] >= before(i), F.concat(cut(of, before(i), s["start"]), F.lit("<"), s["kind"], F.lit(">"))).otherwise(""))
+            whole = lambda of: F.concat(F.array_join(clean(of), ""), cut(of, F.get(upto, F.size(upto) - 1), F.char_length(body)))
+            return let(parts(body), whole)
 
-    def step(acc: Column, s: Column) -> Column:
-        clean = F.concat(acc["out"], F.substring(body, acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), s["kind"], F.lit(">"))
-        return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), clean.alias("out"))).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
+        return let(running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b)), with_ends)
 
-    new = F.aggregate(sorted_spans, start, step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.lit(2**31 - 1) - acc["at"] - 1)))
-    rows = rows.withColumn("__new", F.when(F.size("spans") > 0, new).otherwise(body))
+    ordered = F.sort_array(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    rows = rows.withColumn("__new", F.when(F.size("spans") > 0, let(ordered, replaced)).otherwise(body))
     return rows.select(*(F.col("__new").alias(c) if c == text else F.col("doc")[c].alias(c) for c in docs.columns))
 
 
