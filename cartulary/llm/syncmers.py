@@ -11,6 +11,8 @@ position differences.
 DataFrame functions only; each text is read whole, in its row.
 """
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,8 +80,11 @@ def with_next(docs: DataFrame, text: str, values: list[str], ranges: int) -> Dat
     one another in the order of a hash of their text; null ids come last.
     """
     cuts = [i / ranges for i in range(1, ranges)]
-    bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", cuts, 10_000)).first()[0] or [])) if cuts else []
-    below = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("doc_id"))) if bounds else F.lit(0)
+    bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", cuts, max(10_000, 10 * ranges))).first()[0] or [])) if cuts else []
+    known = F.from_json(F.lit(json.dumps(bounds)), "array<bigint>")  # folded to one literal
+    # how many bounds are at most an id, by bisection
+    halves = F.array(*(F.lit(1 << b) for b in reversed(range(len(bounds).bit_length()))))
+    below = F.aggregate(halves, F.lit(0), lambda n, h: n + F.when(F.get(known, n + h - 1) <= F.col("doc_id"), h).otherwise(0)) if bounds else F.lit(0)
     number = F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(len(bounds) - below).cast("int")  # along descending ids
     rows = docs.withColumns({"__r": number, "__h": F.xxhash64(text), "__seen": F.lit(False)})
     first = F.min_by(F.col(text), F.struct(F.bitwise_not("doc_id"), "__h")).alias(text)
@@ -94,11 +99,11 @@ def with_next(docs: DataFrame, text: str, values: list[str], ranges: int) -> Dat
     return both.where("NOT __seen").drop("__r", "__h", "__seen")
 
 
-def edited(docs: DataFrame, part_rows: int = 5_000, most_ranges: int = 2000) -> DataFrame:
+def edited(docs: DataFrame, part_rows: int = 5_000) -> DataFrame:
     """(doc_id, n_chars, text, fingerprint, sketch, edited, edited_fingerprint, edited_sketch, next_sketch): every text
     with the edit that the contract fixes. Null text counts as empty; the only row of a table is its own next."""
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ranges = min(most_ranges, max(1, -(-docs.count() // part_rows)))
+    ranges = max(1, -(-docs.count() // part_rows))
     rows = with_next(docs, "text", [], ranges)  # sketches are larger than texts, so they are made behind the shuffle
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("cut", F.floor(F.col("n_chars") / 3).cast("int"))
     head = F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - F.col("cut")).cast("int"))
