@@ -18,6 +18,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; only where that is unset (one machine, tests) a new temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that all executors reach")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -27,11 +29,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it: lineage ends there, and lost executors lose nothing."""
     path = f"{shared_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    # Shuffle files of finished jobs go once the driver's JVM has collected their handles, which may take long.
-    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def rewritten(df: DataFrame, name: str, old: DataFrame) -> DataFrame:
+    """As written; then `old`, a table that `written` made and nothing else reads any more, is deleted."""
+    new = written(df, name)
+    spark = df.sparkSession
+    for folder in {file.rpartition("/")[0] for file in old.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return new
+
+
 def small(batches, rows: int = 512):
     """The Arrow batches, cut to at most `rows` rows: what a task makes of one stays small beside its text."""
     for batch in batches:
@@ -67,7 +77,7 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), name)
+        now = rewritten(small.union(least.select("u", F.col("m").alias("v"))).distinct(), name, now)
         before, last = last, now.agg(*mark).first()
         if before == last:
             break

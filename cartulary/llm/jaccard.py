@@ -1,12 +1,10 @@
 """Exact n-gram Jaccard join and its connected components.
 
-A document is the set of its distinct k-word shingles; two link when the Jaccard similarity is at least num / den.
-Jaccard distance is a metric, and the join inside a region uses it: pivots create Voronoi cells, a document also enters
-every cell whose pivot is at most 2 * eps further than its own (the triangle inequality: no partner within eps can lie
-in another cell), and cells join recursively and exactly.
+A document is the set of its distinct k-word shingles; two link when the Jaccard similarity is at least num / den. The
+links come from a metric-space join (module voronoi): pivots, Voronoi cells, windows, recursion, all exact.
 
-Most texts share nothing, so all random pivots are at distance 1 from them and every window holds everything. Regions
-therefore come first from an exact rule. Sizes form classes, with windows that put a document also into the class of
+Most texts share nothing, so all random pivots are at distance 1 from them. Regions for the join therefore come first
+from an exact filter. Sizes form classes, with windows that put a document also into the class of
 any smaller partner; in a class, shingles fall by hash into D + T segments, D being the largest possible symmetric
 difference of a linked pair and T = 3 plus the empty segments that its sets may be expected to have. At least T segments
 of such a pair are equal, so the pair shares the hash of one that isn't empty, or both have T empty ones, which is a
@@ -14,13 +12,13 @@ hash of its own. Holders of a hash are compared by how many
 shingles fall into each of CLASSES classes: the sums of differences of two documents are a metric that never exceeds
 their symmetric difference, so pairs beyond D can't link. Many holders of a hash are dealt into slices, and a task compares two
 slices; each comparison takes what it reached out of the next ones. Documents left together, directly or through others, form a
-region. Large regions are dealt into slices; a task joins two slices.
+region.
 
 Of each class, a document with e < T empty segments drops the T - 1 - e hashes that most documents hold (its spare). At
 least T - e hashes are shared with every partner there, and the least held of them is among the dropped ones of neither:
 the other shared ones stand before it. A document with T empty segments drops nothing.
 
-Equal sets are one class from the start. Only links that span a component leave a task, never all pairs.
+Equal sets are one node from the start. Only links that span a component leave a task, never all pairs.
 """
 
 from collections.abc import Iterator
@@ -30,10 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cartulary.llm import voronoi
 from cartulary.llm.common import connected_components, written
 
-#: Documents of a region slice; a task holds two. A Voronoi cell of LEAF documents is joined directly.
-SLICE, LEAF, PIVOTS = 800, 256, 16
 CLASSES, PAIRS = 256, 20_000
 #: Holders of a hash in a slice, about; a task compares two. Buckets of more rows than WIDE are searched row by row.
 HOLDERS, WIDE = 4000, 256
@@ -111,104 +108,11 @@ class Segments:
         return (np.concatenate(out), np.concatenate(tags)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
 
 
-def prefix_families(sets: list[np.ndarray], num: int, den: int) -> list[np.ndarray]:
-    """Indices of documents by family: linked documents share one of their rarest shingles (prefix filter)."""
-    sizes = np.array([len(s) for s in sets])
-    _, flat, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    doc = np.repeat(np.arange(len(sets)), sizes)
-    by = np.lexsort((flat, df[flat], doc))
-    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    prefix = sizes - -(-sizes * num // den) + 1
-    chosen = place < prefix[doc]
-    token, owner = flat[by][chosen], doc[chosen]
-    by = np.lexsort((owner, token))
-    token, owner = token[by], owner[by]
-    label = np.arange(len(sets))
-    starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-    group = np.cumsum(np.r_[False, token[1:] != token[:-1]])
-    while True:  # each round gives all holders of a token their smallest label
-        least = np.minimum.reduceat(label[owner], starts)[group]
-        new = label.copy()
-        np.minimum.at(new, owner, least)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    order = np.argsort(label, kind="stable")
-    return np.split(order, np.flatnonzero(np.diff(label[order])) + 1)
-
-
-def intersections(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of each of sets with each of others."""
-    universe = np.unique(np.concatenate([np.zeros(0, np.uint64), *others]))
-    both = [np.concatenate([np.zeros(0, np.uint64), *x]) for x in (sets, others)]
-    at = [np.searchsorted(universe, b) for b in both]
-    rows = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (sets, others)]
-    held = [np.flatnonzero((i < len(universe)) & (universe[np.minimum(i, len(universe) - 1)] == b)) if len(universe) else np.zeros(0, int) for i, b in zip(at, both, strict=True)]
-    columns = np.bincount(at[0][held[0]], minlength=len(universe)) > 0
-    number = np.cumsum(columns) - 1
-    out = np.zeros((len(sets), len(others)), np.float32)
-    for low in range(0, int(columns.sum()), 4096):
-        part = []
-        for k, x in enumerate((sets, others)):
-            col = at[k][held[k]]
-            ok = columns[col] & (number[col] >= low) & (number[col] < low + 4096)
-            m = np.zeros((len(x), 4096), np.float32)
-            m[rows[k][held[k]][ok], number[col[ok]] - low] = 1
-            part.append(m)
-        out += part[0] @ part[1].T
-    return out
-
-
-def direct(index: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Links that span the components of a cell, found by comparing its documents block by block."""
-    sizes = np.array([len(sets[i]) for i in index])
-    mine = [sets[i] for i in index]
-    flat = np.concatenate(mine)
-    value, back, df = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = df[back] > 1  # others meet no one
-    cuts = np.cumsum(sizes)[:-1]
-    kept = [s[k] for s, k in zip(mine, np.split(shared, cuts), strict=True)]
-    inter = intersections(kept, kept).astype(np.int64)
-    linked = den * inter >= num * (sizes[:, None] + sizes[None, :] - inter)
-    return [(int(index[a]), int(index[b])) for a, b in spanning(linked)]
-
-
-def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
-    left, out = np.ones(len(linked), bool), []
-    for root in range(len(linked)):
-        if not left[root]:
-            continue
-        left[root] = False
-        todo = [root]
-        while todo:
-            a = todo.pop()
-            near = np.flatnonzero(linked[a] & left)
-            left[near] = False
-            out += [(a, int(b)) for b in near]
-            todo += near.tolist()
-    return out
-
-
-def voronoi(index: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Spanning links of index, by pivots, cells and windows; a split that doesn't shrink the work is joined directly."""
-    if len(index) <= LEAF:
-        return direct(index, sets, num, den)
-    pivots = index[np.linspace(0, len(index) - 1, PIVOTS).astype(int)]
-    sizes = np.array([len(sets[i]) for i in index])
-    inter = intersections([sets[i] for i in index], [sets[i] for i in pivots])
-    distance = 1 - inter / (sizes[:, None] + np.array([len(sets[i]) for i in pivots])[None, :] - inter)
-    window = distance <= distance.min(1, keepdims=True) + 2 * (1 - num / den) + 1e-6
-    held = window.sum(0)
-    if held.max() > 0.7 * len(index) or held.sum() > 2 * len(index):
-        return direct(index, sets, num, den)
-    return [e for k in range(PIVOTS) if held[k] > 1 for e in voronoi(index[window[:, k]], sets, num, den)]
-
-
-def links(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    if len(sets) < 2:
-        return []
-    return [e for family in prefix_families(sets, num, den) if len(family) > 1 for e in voronoi(family, sets, num, den)]
+def digest(s: np.ndarray) -> int:
+    """A set's 64-bit hash, by which equal sets are one."""
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
 def class_counts(s: np.ndarray) -> bytes:
@@ -265,11 +169,11 @@ def reached(side: np.ndarray, sizes: np.ndarray, counts: np.ndarray, num: int, d
 
 
 def stars_of(num: int, den: int):
-    """Of rows (segment, side, doc_id, n_shingles, counts) in order of segment: (a, b), edges that connect what may link."""
+    """Of rows (segment, side, node, n_shingles, counts) in order of segment: (a, b), edges that connect what may link."""
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def edges(rows: pa.Table) -> pa.RecordBatch:
-            doc = rows.column("doc_id").to_numpy()
+            node = rows.column("node").to_numpy()
             counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.uint8).reshape(-1, CLASSES).astype(np.int16)
             bucket, side, sizes = (rows.column(c).to_numpy() for c in ("segment", "side", "n_shingles"))
             cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
@@ -279,7 +183,7 @@ def stars_of(num: int, den: int):
             of[few] = few[leaders(bucket[few], sizes[few], counts[few], num, den)]
             for low, high in zip(cuts[:-1][wide], cuts[1:][wide], strict=True):
                 of[low:high] = low + reached(side[low:high], sizes[low:high], counts[low:high], num, den)
-            pairs = np.stack([doc, doc[of]])[:, of != np.arange(len(of))]
+            pairs = np.stack([node, node[of]])[:, of != np.arange(len(of))]
             pairs = np.unique(pairs, axis=1)
             return pa.RecordBatch.from_pydict({"a": pairs[0], "b": pairs[1]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
@@ -298,83 +202,83 @@ def stars_of(num: int, den: int):
 
 
 def profiles(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n_shingles, a, b, counts, segments, tags): size, 128-bit hash, class counts and segments of each set."""
+    """(doc_id, n_shingles, node, counts, segments, tags): size, hash, class counts and segments of each set. A set that
+    the same task has met before, an empty one and that of a null doc_id get no segments."""
 
     def profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        segments = Segments(num, den)
+        segments, met = Segments(num, den), set()
+        nothing = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         for batch in batches:
             sets = [shingles(t, k) for t in batch.column("text").to_pylist()]
-            digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
-            found = [segments.of(s) for s in sets]
+            nodes, found = [digest(s) for s in sets], []
+            for doc_id, s, node in zip(batch.column("doc_id").to_pylist(), sets, nodes, strict=True):
+                found.append(nothing if doc_id is None or node in met else segments.of(s))
+                if doc_id is not None:
+                    met.add(node)
             offsets = np.concatenate([[0], np.cumsum([len(f) for f, _ in found])]).astype(np.int32)
             values = np.concatenate([np.zeros(0, np.uint64), *(f for f, _ in found)]).view(np.int64)
             tags = np.concatenate([np.zeros(0, np.int32), *(t for _, t in found)])
-            columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1])]
+            columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64())]
             columns += [pa.array([class_counts(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(offsets, values), pa.ListArray.from_arrays(offsets, tags)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "a", "b", "counts", "segments", "tags"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "node", "counts", "segments", "tags"])
 
-    return docs.mapInArrow(profiled, "doc_id long, n_shingles long, a long, b long, counts binary, segments array<long>, tags array<int>")
+    return docs.mapInArrow(profiled, "doc_id long, n_shingles long, node long, counts binary, segments array<long>, tags array<int>")
 
 
 def dealt_holders(kept: DataFrame, most: int) -> DataFrame:
-    """(doc_id, segment, side) of (doc_id, held_by, holders): buckets of bounded size, in which all pairs of holders
+    """(node, segment, side) of (node, held_by, holders): buckets of bounded size, in which all pairs of holders
     meet. Up to `most` holders are one bucket; more are dealt into slices, and each two slices are one, with sides 1
     and 2. Side 0 is compared with all."""
-    rows = kept.select("doc_id", "held_by", F.ceil(F.col("holders") / most).cast("int").alias("g")).distinct()
-    rows = rows.withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("g")).cast("int"))
+    rows = kept.select("node", "held_by", F.ceil(F.col("holders") / most).cast("int").alias("g")).distinct()
+    rows = rows.withColumn("i", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
     rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     bucket = F.when(F.col("g") == 1, F.col("held_by")).otherwise(F.xxhash64("held_by", "g", F.least("i", "j"), F.greatest("i", "j")))
     side = F.when(F.col("i") == F.col("j"), 0).when(F.col("i") < F.col("j"), 1).otherwise(2).cast("byte")
-    return rows.select("doc_id", bucket.alias("segment"), side.alias("side"))
+    return rows.select("node", bucket.alias("segment"), side.alias("side"))
 
 
-def components(docs: DataFrame, k: int, num: int, den: int, slice_docs: int = SLICE, slice_holders: int = HOLDERS) -> DataFrame:
+def components(docs: DataFrame, k: int, num: int, den: int, slice_holders: int = HOLDERS, **sizes: int) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document of (doc_id, text).
 
     component_id is the smallest doc_id that links reach. Null or wordless text has the empty set, linked with nothing.
     Rows with a null doc_id link with nothing and get a null component_id. Repeated rows come out as often as they come
-    in. An empty table gives none.
+    in; different texts of one doc_id each have their own set and component. An empty table gives none. Shingles and
+    whole sets are told apart by 64-bit hashes. sizes: of pivots, leaf and slice_docs, see voronoi.joined.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = written(profiles(docs, k, num, den), "profiles")
-    classes = own.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("a", "b").agg(F.min("doc_id").alias("first"))
-    sets = classes.select(F.col("first").alias("doc_id")).join(own.select("doc_id", "segments", "tags"), "doc_id")
-    rows = sets.select("doc_id", F.explode(F.arrays_zip("segments", "tags")).alias("s")).select("doc_id", F.col("s.segments").alias("segment"), F.col("s.tags").alias("tag"))
+    real = own.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    first = real.groupBy("node").agg(F.min("doc_id").alias("first"))
+    # One row per set and hash: a set comes at most once from each task
+    rows = real.select("node", F.explode(F.arrays_zip("segments", "tags")).alias("s")).select("node", F.col("s.segments").alias("segment"), F.col("s.tags").alias("tag"))
+    rows = rows.repartition("segment").groupBy("segment", "node", "tag").agg(F.lit(1).alias("one"))
     same = Window.partitionBy("segment")
-    held = rows.withColumn("holders", F.count("*").over(same)).withColumn("held_by", F.bit_xor(F.xxhash64("doc_id")).over(same))
-    shared = written(held.where("holders > 1").drop("segment"), "shared")
-    place = F.row_number().over(Window.partitionBy("doc_id", "tag").orderBy(F.desc("holders"), "held_by"))
-    kept = shared.repartition("doc_id").withColumn("place", place).where(F.col("place") > F.col("tag").bitwiseAND(0xFFFF))
+    held = rows.withColumn("holders", F.count("*").over(same)).withColumn("held_by", F.bit_xor(F.xxhash64("node")).over(same))
+    shared = written(held.where("holders > 1").drop("segment", "one"), "shared")
+    place = F.row_number().over(Window.partitionBy("node", "tag").orderBy(F.desc("holders"), "held_by"))
+    kept = shared.repartition("node").withColumn("place", place).where(F.col("place") > F.col("tag").bitwiseAND(0xFFFF))
     # Segments with the same holders say the same: one of each stays. Those whose hashes meet are compared together.
-    counted = dealt_holders(kept, slice_holders).join(own.select("doc_id", "n_shingles", "counts").dropDuplicates(["doc_id"]), "doc_id")
-    ordered = counted.repartition("segment").sortWithinPartitions("segment", "doc_id")
+    counted = dealt_holders(kept, slice_holders).join(real.select("node", "n_shingles", "counts").dropDuplicates(["node"]), "node")
+    ordered = counted.repartition("segment").sortWithinPartitions("segment", "node")
     stars = ordered.mapInArrow(stars_of(num, den), "a long, b long").distinct()
-    regions = written(connected_components(stars, "regions"), "regions").withColumnRenamed("component", "region")
-
-    slices = regions.groupBy("region").agg(F.ceil(F.count("*") / slice_docs).cast("int").alias("g"))
-    dealt = regions.join(slices, "region").withColumn("i", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.struct(F.least("i", j).alias("x"), F.greatest("i", j).alias("y")))
-    tasks = dealt.select(F.col("node").alias("doc_id"), "region", F.explode(pairs).alias("p")).select("doc_id", "region", "p.x", "p.y")
+    regions = written(connected_components(stars, "regions").join(first, "node").select(F.col("component").alias("region"), "node", F.col("first").alias("doc_id")), "regions")
 
-    def joined(group: pa.Table) -> pa.Table:
-        texts = dict(zip(group.column("doc_id").to_pylist(), group.column("text").to_pylist(), strict=True))
-        ids = sorted(texts)
-        found = links([shingles(texts[i], k) for i in ids], num, den)
-        return pa.Table.from_pydict({"a": [ids[x] for x, _ in found], "b": [ids[y] for _, y in found]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+    def sets_of(texts: list[str | None]) -> tuple[list[np.ndarray], list[int]]:
+        sets = [shingles(t, k) for t in texts]
+        return sets, [digest(s) for s in sets]
 
-    met = docs.join(tasks.hint("shuffle_hash"), "doc_id")
-    edges = met.groupBy("region", "x", "y").applyInArrow(joined, "a long, b long")
-    found = written(connected_components(edges, "links"), "found")
-    of_class = classes.join(found.withColumnRenamed("node", "first"), "first", "left").select("a", "b", F.coalesce("component", "first").alias("component"))
-    keyed = own.drop("segments", "tags", "counts").withColumn("linked", F.expr("n_shingles > 0 AND doc_id IS NOT NULL"))
-    out = keyed.join(of_class.withColumn("linked", F.lit(True)), ["a", "b", "linked"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    edges = voronoi.joined(docs, regions, sets_of, num, den, **sizes)
+    found = written(connected_components(edges.select("a", "b"), "links").join(first, "node"), "found")
+    least = found.groupBy("component").agg(F.min("first").alias("least"))
+    of_set = found.join(least, "component").select("node", "least", F.lit(True).alias("linked"))
+    keyed = own.select("doc_id", "n_shingles", "node", F.expr("n_shingles > 0 AND doc_id IS NOT NULL").alias("linked"))
+    copies = first.select("node", "first", F.lit(True).alias("linked"))
+    out = keyed.join(copies, ["node", "linked"], "left").join(of_set, ["node", "linked"], "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("least", "first", "doc_id").alias("component_id"))
 
 
 def near_duplicates_removed(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """The columns of docs; of each component only the document with the smallest doc_id stays, once if its row is
-    repeated. Documents with a null doc_id stay."""
+    repeated (each of its texts, if it has several). Documents with a null doc_id stay."""
     kept = components(docs, k, num, den).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id IS NULL"))

@@ -15,7 +15,7 @@ source than one part. DataFrame functions only.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartulary.llm.common import WORD, written
+from cartulary.llm.common import WORD, rewritten, written
 
 SALTS = 1024
 #: Newton steps at most, and the relative miss at which they stop. Rounding evens out what is left.
@@ -67,7 +67,7 @@ def multipliers(histogram: DataFrame, sources: DataFrame, cap: float) -> DataFra
         step = F.greatest(F.least(F.coalesce(step, F.col("lam")), F.col("lam") + reach), F.col("lam") - reach)
         new = F.when((step > low) & (step < high), step).otherwise((F.greatest(low, F.col("lam") - reach) + F.least(high, F.col("lam") + reach)) / 2)
         miss = F.abs("over") / (1 + F.col("target"))
-        state = written(got.select("k", "target", F.when(miss <= MISS, F.col("lam")).otherwise(new).alias("lam"), low.alias("low"), high.alias("high"), miss.alias("miss")), "newton")
+        state = rewritten(got.select("k", "target", F.when(miss <= MISS, F.col("lam")).otherwise(new).alias("lam"), low.alias("low"), high.alias("high"), miss.alias("miss")), "newton", state)
         miss = state.agg(F.max("miss")).first()[0] or 0
         if miss <= MISS:
             return state.select("k", "lam")
