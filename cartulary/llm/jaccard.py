@@ -249,12 +249,12 @@ def components(docs: DataFrame, k: int, num: int, den: int, slice_holders: int =
     own = written(profiles(docs, k, num, den), "profiles")
     real = own.where("n_shingles > 0 AND doc_id IS NOT NULL")
     first = real.groupBy("node").agg(F.min("doc_id").alias("first"))
-    # One row per set and hash: a set comes at most once from each task
     rows = real.select("node", F.explode(F.arrays_zip("segments", "tags")).alias("s")).select("node", F.col("s.segments").alias("segment"), F.col("s.tags").alias("tag"))
-    rows = rows.repartition("segment").groupBy("segment", "node", "tag").agg(F.lit(1).alias("one"))
-    same = Window.partitionBy("segment")
-    held = rows.withColumn("holders", F.count("*").over(same)).withColumn("held_by", F.bit_xor(F.xxhash64("node")).over(same))
-    shared = written(held.where("holders > 1").drop("segment", "one"), "shared")
+    # A set may come from several tasks: its copies count as holders, alike for all of a segment, and are left out after
+    same, h = Window.partitionBy("segment"), F.xxhash64("node")
+    held_by = F.xxhash64(F.sum(h.bitwiseAND(0xFFFFFFFF)).over(same), F.sum(F.shiftright(h, 32)).over(same))
+    held = rows.withColumns({"holders": F.count("*").over(same), "held_by": held_by, "several": F.min("node").over(same) != F.max("node").over(same)})
+    shared = written(held.where("several").drop("segment", "several"), "shared")
     place = F.row_number().over(Window.partitionBy("node", "tag").orderBy(F.desc("holders"), "held_by"))
     kept = shared.repartition("node").withColumn("place", place).where(F.col("place") > F.col("tag").bitwiseAND(0xFFFF))
     # Segments with the same holders say the same: one of each stays. Those whose hashes meet are compared together.

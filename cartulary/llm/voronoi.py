@@ -25,7 +25,7 @@ from cartulary.llm.common import connected_components, written
 
 #: Pivots of a cell at each level (for cells above MANY documents more, with the root of their number), documents of a
 #: cell that one task joins, and of a slice.
-PIVOTS, MANY, LEAF, SLICE = 64, 4096, 512, 1000
+PIVOTS, MANY, LEAF, SLICE = 64, 4096, 1500, 1500
 #: Levels at most, and what a cell's children may hold of it, the largest and all together: beyond, slices join it.
 LEVELS, LARGEST, ALL = 16, 0.9, 3.0
 #: A cell stays whole for the next level if no more than this share of the others is left outside its largest part.
