@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cartulary.llm import common, entries, jaccard, langid, licenses, mixing, ogg, packing, pii, ppm, syncmers, warc
+from cartulary.llm import common, entries, jaccard, langid, licenses, mixing, ogg, packing, pii, ppm, syncmers, voronoi, warc
 
 SF = "/root/testdata/sf0.001"
 ASCII_LOWER = {i: i + 32 for i in range(65, 91)}
@@ -64,6 +65,19 @@ def test_packing_of_added_tokens(spark):
     assert 50256 in plain.encode(texts[0], add_special_tokens=False).ids
 
 
+def test_packing_of_long_white_space(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(entries.tokenizer_file("byte_bpe_50k.json"))
+    encode = packing.encoder(entries.tokenizer_file("byte_bpe_50k.tiktoken"), entries.BYTE_PATTERN, packing.added_tokens(entries.tokenizer_file("byte_bpe_50k.json")))
+    rng = random.Random(1)
+    blanks = "".join(rng.choice(" \n\t\r\u3000\xa0\u2003 ") for _ in range(30_000))
+    texts = [" " * 1_000_000, "\n" * 1_000_000 + "x", "a" + " " * 2000 + "b", "a" + " " * 2000 + "<|endoftext|>  b" + "\n" * 1500, "x" + blanks + "y's", "\x1c" * 2000 + " a", " " * 10_000_000 + "end"]
+    for text in texts:
+        assert encode(text) == plain.encode(text, add_special_tokens=False).ids
+    assert {r.doc_id: r.length for r in entries.pack(spark.createDataFrame([(0, texts[1][:5000])], "doc_id long, text string")).where("piece = 0").collect()}
+
+
 def check_sequences(rows, size):
     sequences = defaultdict(list)
     for r in rows:
@@ -77,32 +91,25 @@ def check_sequences(rows, size):
 
 
 def test_best_fit_against_a_list_of_bins():
+    """Open bins in the order in which they reached their free space: of equally full ones the last is used and closed."""
     rng = random.Random(5)
     for bins_open in (1, 3, 50):
         lengths = [rng.randint(1, 30) for _ in range(400)]
         number, offset = packing.best_fit(lengths, 30, bins_open)
-        free: dict[int, int] = {}
+        bins: list[list[int]] = []  # [free, number], latest last
         used = 0
         for n, b, o in zip(lengths, number, offset, strict=True):
-            fits = {k: f for k, f in free.items() if f >= n}
+            fits = [x for x in bins if x[0] >= n]
             if fits:
-                assert free[b] == min(fits.values())
+                chosen = [x for x in fits if x[0] == min(f for f, _ in fits)][-1]
+                bins.remove(chosen)
             else:
-                assert b == used
-                used, free[b] = used + 1, 30
-            assert o == 30 - free[b]
-            free[b] -= n
-            if not free[b]:
-                del free[b]
-            if len(free) > bins_open:
-                fullest = min(free.values())
-                later = set(number[len(offset) :])
-                closed = [k for k, f in free.items() if f == fullest]
-                # any of equally full bins may close; follow the one that the packing doesn't use again
-                again = {x for x in number if x in closed}
-                del free[closed[-1] if len(closed) == 1 or later or again else closed[0]]
-                if len(closed) > 1:
-                    return
+                chosen, used = [30, used], used + 1
+            assert (b, o) == (chosen[1], 30 - chosen[0])
+            if chosen[0] > n:
+                bins.append([chosen[0] - n, chosen[1]])
+            if len(bins) > bins_open:
+                bins.remove([x for x in bins if x[0] == min(f for f, _ in bins)][-1])
 
 
 def test_packing_of_odd_rows(spark, odd_docs):
@@ -221,6 +228,13 @@ def test_mix_meets_targets(spark, odd_docs, odd):
     assert mixing.mix(docs.limit(0), ["doc_id"]).count() == 0
 
 
+def test_mix_of_many_sizes(spark):
+    """A source of 6,000 distinct sizes: copies end within a small document of the target."""
+    rows = [(i, "w " * (i % 6000 + 1), "a") for i in range(0, 7000, 2)] + [(10_000 + i, "w " * 3000, "b") for i in range(500)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), ["doc_id"]).groupBy("target").agg(F.sum("taken").alias("t"), F.min("size").alias("s")).collect()
+    assert len(got) == 2 and all(abs(r.t - r.target) <= r.s for r in got)
+
+
 def test_mix_solves_the_dual(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = mixing.mix(docs, ["doc_id", "source"]).collect()
@@ -314,6 +328,41 @@ def test_licenses(spark, licensed):
     assert licenses.scan(licensed.limit(0)).count() == 0
 
 
+def brute_labels(text, near, least):
+    """Labels and best share, by counting every diagonal's neighbourhood."""
+    k, words = licenses.K, re.findall(licenses.SPLIT, text.lower())
+    grams = defaultdict(list)
+    for p in range(len(words) - k + 1):
+        grams[tuple(words[p : p + k])].append(p)
+    got = {}
+    for label, template in licenses.TEMPLATES.items():
+        t = template.split()
+        at = defaultdict(set)
+        for q in range(len(t) - k + 1):
+            for p in grams[tuple(t[q : q + k])]:
+                at[p - q].add(q)
+        best = max((len(set().union(*(at[e] for e in at if abs(e - d) <= near))) for d in list(at)), default=0) / (len(t) - k + 1)
+        if best >= least:
+            got[label] = best
+    return got
+
+
+def test_license_labels_equal_brute_force(spark):
+    rng = random.Random(4)
+    apache, mit = licenses.TEMPLATES["apache-2-notice"], licenses.TEMPLATES["mit-text"]
+    texts = ["apache license version " * 20 + apache, "licensed under the " * 20 + apache, apache + " " + "licensed under the " * 500 + mit, apache.replace("not", "not ever and ever"), (mit + " ") * 3]
+    pool = [" ".join(t.split()[i : i + n]) for t in licenses.TEMPLATES.values() for i in range(0, 30, 7) for n in (4, 9, 20)]
+    texts += [" ".join(rng.choice(pool) for _ in range(rng.randint(1, 12))) for _ in range(60)]
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = brute_labels(texts[r.doc_id], licenses.NEAR, licenses.LEAST)
+        base = set(filter(None, r.base_labels.split(",")))
+        assert set(filter(None, r.labels.split(","))) == set(want) | base, texts[r.doc_id]
+        assert abs(r.score - max([*want.values(), *(1.0 for _ in base)], default=0.0)) < 1e-9
+    assert all("apache-2-notice" in r.labels for r in rows if r.doc_id in (0, 1, 2))
+
+
 def test_licenses_on_given_rows(spark):
     docs = texts(spark)
     for r in licenses.scan(spark.read.parquet(f"{SF}/documents.parquet")).collect():
@@ -354,10 +403,31 @@ def test_warc_false_magic():
         a = list(warc.members(io.BytesIO(whole), 0, cut, len(whole)))
         b = list(warc.members(io.BytesIO(whole), cut, len(whole), len(whole)))
         assert len(a + b) == 2
-    assert len(list(warc.members(io.BytesIO(noise + one), 0, len(noise + one), len(noise + one)))) == 1
+    assert len(list(warc.members(io.BytesIO(noise + one), 1, len(noise + one), len(noise + one)))) == 1
+    with pytest.raises(ValueError, match="must follow"):
+        list(warc.members(io.BytesIO(noise + one), 0, 10, len(noise + one)))
     assert warc.page_of(warc.record_id(-5)) == -5 and warc.page_of(warc.record_id(None)) is None
 
 
+def test_warc_damage(spark, tmp_path):
+    """Zeroed bytes anywhere in a record raise, whatever range they fall into; so does a record that is gone."""
+    pages = spark.createDataFrame([(i, "u", f"page {i} " + random.Random(i).randbytes(300).hex()) for i in range(40)], "page_id long, url string, html string").repartition(1)
+    manifest = warc.write(warc.roles(pages), f"file://{tmp_path}/archives")
+    assert warc.read(spark, manifest, split_bytes=999).count() == 40
+    path = manifest.first().path.removeprefix("file://")
+    with open(path, "rb") as f:
+        whole = f.read()
+    for at in (0, 700, len(whole) // 2, len(whole) - 30):
+        with open(path, "wb") as f:
+            f.write(whole[:at] + bytes(20) + whole[at + 20 :])
+        with pytest.raises(Exception, match="damaged|must follow|cut|aren't all there|wrong payload"):
+            warc.read(spark, manifest, split_bytes=999).count()
+    with open(path, "wb") as f:
+        f.write(whole)
+    with pytest.raises(ValueError, match="aren't all there"):
+        warc.read(spark, manifest.withColumn("records", F.col("records") + 1))
+
+
 # Jaccard
 
 
@@ -405,7 +475,7 @@ def variants(seed):
 def test_jaccard_components(spark, k, num, den):
     rows = variants(k)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components(docs, k, num, den, slice_docs=150).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components(docs, k, num, den, pivots=6, leaf=20, slice_docs=30).collect()}
     assert got == brute_components(rows, k, num, den)
 
 
@@ -448,8 +518,8 @@ def test_holders_are_dealt_into_bounded_buckets(spark):
     """Of 3,000 holders of one hash, no bucket holds more than about two slices, and all pairs meet on sides that differ."""
     rows = [(i, 7, 3000) for i in range(3000)] + [(i, 8, 4) for i in range(4)]
     buckets = defaultdict(list)
-    for r in jaccard.dealt_holders(spark.createDataFrame(rows, "doc_id long, held_by long, holders long"), 300).collect():
-        buckets[r.segment].append((r.doc_id, r.side))
+    for r in jaccard.dealt_holders(spark.createDataFrame(rows, "node long, held_by long, holders long"), 300).collect():
+        buckets[r.segment].append((r.node, r.side))
     assert len(buckets) == 56 and max(map(len, buckets.values())) < 2 * 400
     met = np.zeros((3000, 3000), bool)
     for held in buckets.values():
@@ -492,23 +562,78 @@ def test_jaccard_of_odd_rows(spark, odd_docs):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 8, 9, 11]
 
 
-def test_voronoi_cells_equal_direct():
-    rng = random.Random(1)
-    sets = []
-    for _ in range(60):
-        base = [rng.getrandbits(60) for _ in range(50)]
-        for _ in range(12):
-            sets.append(np.unique(np.array([x if rng.random() > 0.03 else rng.getrandbits(60) for x in base], np.uint64)))
-    index = np.arange(len(sets))
+@pytest.mark.parametrize("copies", [150, 205, 1000])
+def test_jaccard_of_many_holders(spark, copies):
+    """Two texts of 9 and 10 shingles that share one filled segment, which many others hold, link at any number of holders."""
+    base = one_segment_empty(4, 9)
+    rows = list(enumerate([f"{base} own{i}" for i in range(copies)])) + [(5000, base), (6000, base.upper() + " last")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 9, 10).collect()}
+    assert got == brute_components(rows, 3, 9, 10)
 
-    def groups(found):
-        label = list(range(len(sets)))
-        for a, b in found:
-            x, y = label[a], label[b]
-            label = [min(x, y) if v in (x, y) else v for v in label]
-        return label
 
-    assert groups(jaccard.voronoi(index, sets, 9, 10)) == groups(jaccard.direct(index, sets, 9, 10))
+def parts_of(nodes, links):
+    """The smallest node that links reach, of each node."""
+    label = {n: n for n in nodes}
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        label[max(a, b)] = min(a, b)
+    return {n: root(n) for n in nodes}
+
+
+def test_voronoi_cells_split(spark):
+    """Sixty clusters in one region: pivots and cells of several levels find what comparing all finds."""
+    rng = random.Random(5)
+    rows = []
+    for c in range(60):
+        for _ in range(15):
+            t = [f"c{c}w{i}" for i in range(100)]
+            for _ in range(rng.choice([0, 2, 6, 9])):
+                t[rng.randrange(100)] = f"z{rng.randint(0, 10**6)}"
+            rows.append(" ".join(t))
+    rng.shuffle(rows)
+
+    def sets_of(texts):
+        sets = [jaccard.shingles(t, 1) for t in texts]
+        return sets, [jaccard.digest(x) for x in sets]
+
+    sets, nodes = sets_of(rows)
+    linked, _ = voronoi.measured(sets, sets, 9, 10)
+    want = parts_of(nodes, [(nodes[a], nodes[b]) for a, b in zip(*np.nonzero(linked), strict=True)])
+    local = voronoi.Local(sets, 9, 10)
+    assert local.splits > 3 and parts_of(nodes, [(nodes[a], nodes[b]) for a, b in local.links]) == want
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    regions = spark.createDataFrame([(1, n, i) for n, i in {n: i for i, n in enumerate(nodes)}.items()], "region long, node long, doc_id long")
+    found = voronoi.joined(docs, regions, sets_of, 9, 10, pivots=24, leaf=100, slice_docs=200).collect()
+    assert parts_of(nodes, [(r.a, r.b) for r in found]) == want
+    assert {"pivot 1", "pivot 2", "cell"} <= {r.how for r in found} and "slices" not in {r.how for r in found}
+
+
+def test_voronoi_windows_hold_all_partners():
+    rng = np.random.default_rng(1)
+    for eps in (0.1, 0.2):
+        points = np.array([np.unique(rng.integers(0, 200, 40)) for _ in range(200)], dtype=object)
+        sets = [x.astype(np.uint64) for x in points] + [np.unique(np.concatenate([x[2:], rng.integers(300, 400, 1)])).astype(np.uint64) for x in points]
+        linked, _ = voronoi.measured(sets, sets, round(100 * (1 - eps)), 100)
+        _, distance = voronoi.measured(sets, sets[:12], 9, 10)
+        home, holds = voronoi.cells_of(distance, eps)
+        assert holds[np.arange(len(sets)), home].all()
+        for a, b in zip(*np.nonzero(linked), strict=True):
+            assert holds[b, home[a]] or holds[a, home[b]]
+
+
+def test_jaccard_of_one_id_with_two_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a), (1, b), (2, b + " more"), (3, a + " more"), (4, a)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 9, 10).collect())
+    assert got == [(1, 58, 1), (1, 58, 1), (2, 59, 1), (3, 59, 1), (4, 58, 1)]
+    kept = jaccard.near_duplicates_removed(spark.createDataFrame(rows, "doc_id long, text string"), 3, 9, 10)
+    assert sorted(r.text[0] for r in kept.collect()) == ["a", "b"]
 
 
 def test_connected_components(spark):
@@ -587,6 +712,14 @@ def test_syncmers_without_blanks(spark):
     assert units == [u for w in words.split() for u in (re.findall(".{1,6}", w) if len(w) <= 16 else w)]
 
 
+def test_next_over_many_ranges(spark):
+    """Each of 2,003 rows sees the one that follows, whatever the number of ranges."""
+    docs = spark.range(2003).select((F.col("id") * 7 - 5000).alias("doc_id"), F.col("id").cast("string").alias("text"))
+    for ranges in (1, 2, 61, 500):
+        after = {r.text: r.next_text for r in syncmers.with_next(docs, "text", [], ranges).collect()}
+        assert len(after) == 2003 and all(after[str(i)] == str((i - 1) % 2003) for i in range(2003))
+
+
 def test_syncmers_of_odd_rows(spark, odd_docs):
     rows = syncmers.edited(odd_docs, part_rows=3).collect()
     assert len(rows) == 12
@@ -646,6 +779,23 @@ def test_personal_data(spark, odd_docs):
     assert added == {("iban", "GB82 WEST 1234 5698 7654 32"), ("iban", "DE89370400440532013000"), ("ssn", "078-05-1120"), ("ssn", "123-45-6789")}
 
 
+def test_running(spark):
+    rows = [([],), ([5],), ([3, 1, 4, 1, 5, 9, 2, 6, 5, 3, 5],), (list(range(1000)),)]
+    got = spark.createDataFrame(rows, "a array<int>").select("a", pii.running(F.col("a"), lambda a, b: a + b).alias("s"), pii.running(F.col("a"), lambda a, b: F.greatest(a, b)).alias("m")).collect()
+    for r in got:
+        assert r.s == list(itertools.accumulate(r.a)) and r.m == list(itertools.accumulate(r.a, max))
+
+
+def test_very_many_spans(spark):
+    """Sixteen thousand addresses in one text: as found one by one, and all of them redacted."""
+    n = 16_000
+    text = "é𝒳 " + " ".join(f"mail a{i}@b{i}.com" for i in range(n))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    spans = pii.detect(docs, ["doc_id"]).first().spans
+    assert [(x.kind, x.start, x.end) for x in spans] == base_spans(text)
+    assert pii.redacted(docs).first().text == "é𝒳 " + " ".join(["mail <email>"] * n)
+
+
 def test_redaction(spark, odd_docs):
     docs = spark.createDataFrame([(1, "x a@b.cd y +1 743 555 3824.", "k"), (2, None, "k"), (3, "none", None)], "doc_id long, text string, spans string")
     out = pii.redacted(docs)
@@ -675,6 +825,16 @@ def test_language_of_odd_rows(spark, odd_docs):
     assert {r.lang_pred for r in langid.predict(odd_docs, none, ["doc_id"]).collect()} == {"und"}
 
 
+def test_letters_make_words():
+    assert langid.words("½ ² ① Ⅷ ١٢ 12_!") == []
+    assert langid.words("Été नमस्ते abc1def") == ["été", "नमस्ते", "abc", "def"]
+    rng = random.Random(3)
+    for _ in range(3000):
+        text = "".join(chr(rng.choice([rng.randrange(0x250), rng.randrange(0xD800), rng.randrange(0xE000, 0x20000)])) for _ in range(8)).lower()
+        letters = [unicodedata.category(c)[0] for c in text]
+        assert bool(langid.words(text)) == ("L" in letters)
+
+
 def test_forward_sums_all_segmentations():
     pieces = [None, "▁a", "▁", "a", "b", "ab", "ba", "▁ab"]
     m = langid.Model([("x", i, i + 1) for i in range(1, 8)] + [("y", 4, 9), ("x", -1, 3)], pieces)
