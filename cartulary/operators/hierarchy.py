@@ -9,14 +9,30 @@ from pyspark.sql import functions as F
 DEPTH = 5
 
 
-def closure(areas: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(ancestor, node, dist) for every pair, itself included: joins unrolled, so the plan is static and cycles end."""
-    children = areas.select("id", "parent_id")
-    hops = [areas.select(F.col("id").alias("ancestor"), F.col("id").alias("node"), F.lit(0).alias("dist"))]
+def climbed(areas: DataFrame, *columns: str, depth: int = DEPTH) -> DataFrame:
+    """(node, steps): each area with its chain of ancestors, itself first, as array<struct<id, dist, columns...>>.
+
+    One left join a hop, to the areas that are parents: they are few beside the leaves, and no row is copied. A chain ends
+    at a missing parent and at `depth`, so cycles end.
+    """
+    held = areas.select(F.col("parent_id").alias("id")).where("id IS NOT NULL").distinct()
+    step = lambda d: F.struct(F.col("id"), F.lit(d).alias("dist"), *columns)
+    inner = areas.join(held, "id", "left_semi")
+    chain = areas.select(F.col("id").alias("node"), F.col("parent_id").alias("up0"), step(0).alias("s0"))
     for d in range(1, depth + 1):
-        step = hops[-1].join(children, F.col("node") == F.col("parent_id"))
-        hops.append(step.select("ancestor", F.col("id").alias("node"), F.lit(d).alias("dist")))
-    return reduce(DataFrame.unionByName, hops)
+        above = inner.select(F.col("id").alias(f"id{d}"), F.col("parent_id").alias(f"up{d}"), step(d).alias(f"s{d}"))
+        chain = chain.join(above, F.col(f"up{d - 1}") == F.col(f"id{d}"), "left").drop(f"up{d - 1}", f"id{d}")
+    return chain.select("node", F.filter(F.array(*(f"s{d}" for d in range(depth + 1))), lambda s: s.isNotNull()).alias("steps"))
+
+
+def closure(areas: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(ancestor, node, dist) for every pair, itself included."""
+    return climbed(areas, depth=depth).select("node", F.explode("steps").alias("s")).select(F.col("s.id").alias("ancestor"), "node", F.col("s.dist").alias("dist"))
+
+
+def first_step(steps: str, test) -> Column:
+    """The nearest of a chain's steps that passes the test; null if none does."""
+    return F.get(F.filter(steps, test), F.lit(0))
 
 
 def descendants_at_level(areas: DataFrame, level: int) -> DataFrame:
@@ -49,14 +65,26 @@ def closest_level(level: Column, target: Column) -> Column:
     return F.struct(F.abs(level - target), level > target, level)
 
 
+def roots(areas: DataFrame) -> DataFrame:
+    """(id, root): the last area of each chain, a country's topmost one."""
+    return climbed(areas).select(F.col("node").alias("id"), F.element_at("steps", -1)["id"].alias("root"))
+
+
+def atomic_levels(areas: DataFrame) -> DataFrame:
+    """(root, deepest): the deepest level of each country."""
+    return areas.join(roots(areas), "id").groupBy("root").agg(F.max("level").alias("deepest"))
+
+
 def candidate_levels(areas: DataFrame, legal: int | None = None) -> DataFrame:
-    """(id, chosen): the level at which each area's most populated descendant is sought; areas without one are left out."""
-    deepest = areas.agg(F.max("level").alias("deepest"))
+    """(id, chosen): the level at which each area's most populated descendant is sought; areas without one are left out.
+    The target is the legal level above it, else the deepest one of the area's country."""
+    up = climbed(areas, "level").withColumn("root", F.element_at("steps", -1)["id"])
+    deepest = up.groupBy("root").agg(F.max(F.get("steps", F.lit(0))["level"]).alias("deepest"))
+    own = up.select("root", F.get("steps", F.lit(0))["level"].alias("node_level"), F.explode(F.slice("steps", 2, DEPTH)).alias("s")).join(deepest, "root")
+    below = own.select(F.col("s.id").alias("id"), F.col("s.level").alias("level"), "node_level", "deepest").distinct()
     legal_level = F.lit(legal) if legal is not None else F.col("deepest")
     target = F.when(F.col("level") < legal_level, legal_level).otherwise(F.col("deepest"))
-    roots = areas.crossJoin(F.broadcast(deepest)).withColumn("target", target).where("target > level")  # one row
-    nodes = areas.select(F.col("id").alias("node"), F.col("level").alias("node_level"))
-    below = closure(areas).where("dist > 0").join(nodes, "node").withColumnRenamed("ancestor", "id").join(roots.select("id", "level", "target"), "id").where("node_level > level")
+    below = below.withColumn("target", target).where("target > level AND node_level > level")
     return below.groupBy("id").agg(F.min_by("node_level", closest_level(F.col("node_level"), F.col("target"))).alias("chosen"))
 
 
@@ -71,9 +99,7 @@ def most_populated(areas: DataFrame, legal: int | None = None) -> DataFrame:
 
 def inherited(areas: DataFrame, column: str) -> DataFrame:
     """(id, column): the nearest known value up the tree, the area's own first."""
-    values = areas.where(F.col(column).isNotNull()).select(F.col("id").alias("ancestor"), column)
-    found = closure(areas).join(values, "ancestor").groupBy(F.col("node").alias("id")).agg(F.min_by(column, "dist").alias(column))
-    return areas.select("id").join(found, "id", "left")
+    return climbed(areas, column).select(F.col("node").alias("id"), first_step("steps", lambda s: s[column].isNotNull())[column].alias(column))
 
 
 def seat_totals(areas: DataFrame, column: str = "representatives") -> DataFrame:
@@ -83,13 +109,12 @@ def seat_totals(areas: DataFrame, column: str = "representatives") -> DataFrame:
 
 
 def recursive_seats(areas: DataFrame, column: str = "representatives") -> DataFrame:
-    """(id, seats): the own value, else the sum of the children's if above 0, else null. A value hides what is below it."""
-    known = areas.where(F.col(column).isNotNull()).select(F.col("id").alias("top"))
-    pairs = closure(areas)
-    inner = pairs.where("dist > 0").join(known.withColumnRenamed("top", "node"), "node").select("ancestor", F.col("node").alias("mid"))
-    hidden = inner.join(pairs.where("dist > 0").select(F.col("ancestor").alias("mid"), "node"), "mid").select("ancestor", "node").distinct()
-    values = areas.where(F.col(column).isNotNull()).select(F.col("id").alias("node"), column)
-    sums = pairs.join(values, "node").join(hidden, ["ancestor", "node"], "left_anti").where("dist > 0").groupBy(F.col("ancestor").alias("id")).agg(F.sum(column).alias("sum"))
+    """(id, seats): the own value, else the sum of the children's if above 0, else null. A value hides what is below it:
+    each one climbs to the areas above, up to the first that has its own."""
+    up = climbed(areas, column).where(F.get("steps", F.lit(0))[column].isNotNull())
+    blocker = first_step("steps", lambda s: (s["dist"] > 0) & s[column].isNotNull())["dist"]
+    fed = F.filter("steps", lambda s: (s["dist"] > 0) & (s["dist"] < F.coalesce(blocker, F.lit(DEPTH + 1))))
+    sums = up.select(F.get("steps", F.lit(0))[column].alias("n"), F.explode(fed).alias("s")).groupBy(F.col("s.id").alias("id")).agg(F.sum("n").alias("sum"))
     return areas.join(sums, "id", "left").select("id", F.coalesce(column, F.when(F.col("sum") > 0, F.col("sum"))).alias("seats"))
 
 
@@ -101,10 +126,21 @@ def container_rollup(areas: DataFrame) -> DataFrame:
 
 def paths(areas: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(leaf, path): root to leaf, path an array of (level, id); ordering by path is depth first."""
-    parents = areas.select(F.col("parent_id").alias("id")).where("id IS NOT NULL").distinct()
-    leaves = areas.join(parents, "id", "left_anti").select(F.col("id").alias("leaf"))
-    up = closure(areas, depth).select(F.col("node").alias("leaf"), F.col("ancestor").alias("id")).join(areas.select("id", "level"), "id")
-    return leaves.join(up, "leaf").groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("level", "id"))).alias("path"))
+    parents = areas.select(F.col("parent_id").alias("leaf")).where("leaf IS NOT NULL").distinct()
+    up = climbed(areas, "level", depth=depth).select(F.col("node").alias("leaf"), F.sort_array(F.transform("steps", lambda s: F.struct(s["level"].alias("level"), s["id"].alias("id")))).alias("path"))
+    return up.join(parents, "leaf", "left_anti")
+
+
+def rolled_up(areas: DataFrame, containers: str, depth: int = DEPTH) -> DataFrame:
+    """(id, pop, area, density) of every container (a boolean column): sums over what lies below it, deepest first, so
+    that containers of containers hold their contents' sums. An area that is no container counts with its own values and
+    hides what is below it."""
+    up = climbed(areas, containers, depth=depth).where(~F.get("steps", F.lit(0))[containers])
+    blocker = first_step("steps", lambda s: (s["dist"] > 0) & ~s[containers])["dist"]
+    fed = F.filter("steps", lambda s: (s["dist"] > 0) & (s["dist"] < F.coalesce(blocker, F.lit(depth + 1))))
+    values = areas.select(F.col("id").alias("node"), "pop_latest", "area_km2")
+    sums = up.select("node", F.explode(fed).alias("s")).join(values, "node").groupBy(F.col("s.id").alias("id")).agg(F.coalesce(F.sum("pop_latest"), F.lit(0)).alias("pop"), F.sum("area_km2").alias("area"))
+    return sums.withColumn("density", F.try_divide(F.col("pop").cast("double"), F.nullif(F.col("area"), F.lit(0)).cast("double")))
 
 
 def parent_by_stack(rows: DataFrame, page: str, ordinal: str, level: str) -> DataFrame:
@@ -123,9 +159,7 @@ def joined_code(parent_code: Column, code: Column, level: Column) -> Column:
 
 def full_codes(areas: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(id, full_code) of areas (id, parent_id, level, code): codes joined from the root down, see joined_code."""
-    own = areas.select(F.col("id").alias("ancestor"), "level", "code")
-    up = closure(areas, depth).join(own, "ancestor").groupBy(F.col("node").alias("id"))
-    path = up.agg(F.array_sort(F.collect_list(F.struct((-F.col("dist")).alias("place"), "level", "code"))).alias("path"))
+    path = climbed(areas, "level", "code", depth=depth).select(F.col("node").alias("id"), F.reverse("steps").alias("path"))
     joined = F.aggregate(F.slice("path", 2, depth), F.element_at("path", 1)["code"], lambda code, x: joined_code(code, x["code"], x["level"]))
     return path.select("id", joined.alias("full_code"))
 

@@ -1,10 +1,11 @@
 """Wide path reports: a row per leaf, a block of columns per level."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartulary.functions.text import percentage
-from cartulary.operators.hierarchy import closure, paths, seat_totals
+from cartulary.operators.hierarchy import climbed, first_step, seat_totals
+from cartulary.operators.ranking import ranked
 
 FIELDS = ("id", "name", "pop", "area", "rank_pop", "rank_area", "pct_level", "pct_parent", "seats")
 
@@ -14,14 +15,18 @@ def blocks(areas: DataFrame) -> DataFrame:
     sums = areas.groupBy("level").agg(F.sum("pop_latest").alias("level_pop"))
     parents = areas.select(F.col("id").alias("parent_id"), F.col("pop_latest").alias("parent_pop"))
     rows = areas.join(sums, "level").join(parents, "parent_id", "left").join(seat_totals(areas), "id")
-    place = lambda c: F.row_number().over(Window.partitionBy("level").orderBy(F.coalesce(c, F.lit(0)).desc(), "id")).cast("long")
-    values = (F.col("id"), F.col("name"), F.col("pop_latest"), F.col("area_km2").cast("double"), place("pop_latest"), place("area_km2"), percentage(F.col("pop_latest"), F.col("level_pop")), percentage(F.col("pop_latest"), F.col("parent_pop")), F.nullif(F.col("total"), F.lit(0)))
-    return rows.select("id", "level", F.struct(*(v.alias(f) for v, f in zip(values, FIELDS, strict=True))).alias("block"))
+    for name, value in (("rank_pop", "pop_latest"), ("rank_area", "area_km2")):
+        rows = ranked(rows, "level", [F.coalesce(value, F.lit(0)).desc(), F.col("id")], name)
+    values = (F.col("id"), F.col("name"), F.col("pop_latest"), F.col("area_km2").cast("double"), F.col("rank_pop"), F.col("rank_area"), percentage(F.col("pop_latest"), F.col("level_pop")), percentage(F.col("pop_latest"), F.col("parent_pop")), F.nullif(F.col("total"), F.lit(0)))
+    return rows.select("id", "parent_id", "level", F.struct(*(v.alias(f) for v, f in zip(values, FIELDS, strict=True))).alias("block"))
 
 
 def path_report(areas: DataFrame, levels: range) -> DataFrame:
     """(leaf, root, root_pop, L<n>_<field> ...): leaves whose root is missing have no row; levels off a path are null."""
-    up = paths(areas).select("leaf").join(closure(areas).withColumnRenamed("node", "leaf"), "leaf").withColumnRenamed("ancestor", "id")
-    wide = up.join(blocks(areas), "id").groupBy("leaf").agg(*(F.max_by(F.when(F.col("level") == n, F.col("block")), F.col("level") == n).alias(f"L{n}") for n in (0, *levels)))
+    told = blocks(areas)
+    parents = areas.select(F.col("parent_id").alias("leaf")).where("leaf IS NOT NULL").distinct()
+    up = climbed(told, "level", "block").withColumnRenamed("node", "leaf").join(parents, "leaf", "left_anti")
+    of = lambda n: first_step("steps", lambda s: s["level"] == n)["block"].alias(f"L{n}")
+    wide = up.select("leaf", *(of(n) for n in (0, *levels)))
     shown = [F.col(f"L{n}.{f}").alias(f"L{n}_{f}") for n in levels for f in FIELDS]
     return wide.where("L0 IS NOT NULL").select("leaf", F.col("L0.name").alias("root"), F.col("L0.pop").alias("root_pop"), *shown)

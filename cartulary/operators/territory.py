@@ -7,9 +7,11 @@ from cartulary.operators.hierarchy import closure
 
 
 def expanded(chosen: DataFrame, areas: DataFrame, atomic: int) -> DataFrame:
-    """(territory, node): the chosen (territory, id) as areas of the atomic level."""
+    """(territory, node): the chosen (territory, id) as areas of the atomic level. An area below that level fails."""
     levels = areas.select("id", "level")
-    steps = chosen.join(levels, "id").select("territory", F.col("id").alias("ancestor"), (F.lit(atomic) - F.col("level")).alias("dist"))
+    deeper = F.raise_error(F.concat(F.lit("below the atomic level: "), F.col("id"))).cast("int")
+    dist = F.when(F.col("level") > atomic, deeper).otherwise(F.lit(atomic) - F.col("level"))
+    steps = chosen.join(levels, "id").select("territory", F.col("id").alias("ancestor"), dist.alias("dist"))
     return steps.join(closure(areas), ["ancestor", "dist"]).select("territory", "node").distinct()
 
 

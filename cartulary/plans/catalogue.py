@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from cartulary.functions import text
 from cartulary.operators import changes, cities, hierarchy, labels, report, seats, territory
+from cartulary.operators.ranking import ranked
 from cartulary.sources.areas import areas, table, with_areas
 
 QUERIES, ORACLES = {}, {}
@@ -44,11 +45,11 @@ def ancestors_of_leaf(spark, sf_dir):
     return hierarchy.closure(tree).join(leaves, "node", "left_semi").select("node", "ancestor")
 
 
-@query(with_areas(""", g AS (SELECT 's'||(l_orderkey % 500) AS grp, 'c'||o_custkey AS node FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1 GROUP BY ALL), n AS (SELECT grp, count(*) AS n FROM g GROUP BY 1),
+@query(with_areas(""", g AS (SELECT 's'||(l_orderkey % 500) AS grp, 'c'||o_custkey AS node FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL), n AS (SELECT grp, count(*) AS n FROM g GROUP BY 1),
 s AS (SELECT grp, ancestor, count(*) AS held FROM g JOIN closure c ON c.node = g.node GROUP BY 1, 2)
 SELECT grp AS "group", ancestor FROM (SELECT s.grp, ancestor, row_number() OVER (PARTITION BY s.grp ORDER BY level DESC, ancestor DESC) AS r FROM s JOIN n ON n.grp = s.grp AND held = n JOIN area ON id = ancestor) WHERE r = 1"""))
 def lca_of_groups(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     groups = lines.select(F.concat(F.lit("s"), F.col("l_orderkey") % 500).alias("group"), F.concat(F.lit("c"), "o_custkey").alias("node"))
     return hierarchy.lowest_common_ancestor(groups, areas(spark, sf_dir))
 
@@ -107,8 +108,10 @@ def area_list_page(spark, sf_dir):
 
 
 def ranks(spark, sf_dir, by):
-    place = lambda c: F.row_number().over(Window.partitionBy(by).orderBy(F.coalesce(c, F.lit(0)).desc(), "level", "id")).cast("long")
-    return areas(spark, sf_dir).select("id", place("area_km2").alias("by_area"), place("pop_latest").alias("by_pop"))
+    rows = areas(spark, sf_dir)
+    for name, value in (("by_area", "area_km2"), ("by_pop", "pop_latest")):
+        rows = ranked(rows, by, [F.coalesce(value, F.lit(0)).desc(), F.col("level"), F.col("id")], name)
+    return rows.select("id", "by_area", "by_pop")
 
 
 RANKS = "SELECT id, row_number() OVER (PARTITION BY {0} ORDER BY coalesce(km2, 0) DESC, level, id) AS by_area, row_number() OVER (PARTITION BY {0} ORDER BY coalesce(pop, 0) DESC, level, id) AS by_pop FROM area"
@@ -204,13 +207,14 @@ SELECT leaf, path, row_number() OVER (PARTITION BY split_part(path, '>', 3) ORDE
 def path_report_blanked(spark, sf_dir):
     """Root-to-leaf paths; a nation is shown on its first row only."""
     rows = hierarchy.paths(areas(spark, sf_dir)).select("leaf", F.array_join(F.transform("path", lambda x: x["id"]), ">").alias("path"))
-    first = Window.partitionBy(F.split_part("path", F.lit(">"), F.lit(3))).orderBy("path")
-    return rows.select("leaf", "path", (F.row_number().over(first) == 1).alias("shows_nation"))
+    rows = rows.withColumn("nation", F.split_part("path", F.lit(">"), F.lit(3)))
+    first = rows.groupBy("nation").agg(F.min("path").alias("first"))  # no nation's rows in one window
+    return rows.join(first, "nation").select("leaf", "path", (F.col("path") == F.col("first")).alias("shows_nation"))
 
 
-@query(with_areas("SELECT parent_id AS id, string_agg(name, ' | ' ORDER BY name) AS names FROM area WHERE parent_id IS NOT NULL AND entity_type <> 'BUILDING' GROUP BY 1"))
+@query(with_areas("SELECT parent_id AS id, string_agg(name, ' | ' ORDER BY name) AS names FROM area WHERE parent_id IS NOT NULL GROUP BY 1"))
 def capitals_string(spark, sf_dir):
-    named = areas(spark, sf_dir).where("parent_id IS NOT NULL AND entity_type <> 'BUILDING'")
+    named = areas(spark, sf_dir).where("parent_id IS NOT NULL")
     return named.groupBy(F.col("parent_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_list("name")), " | ").alias("names"))
 
 
@@ -224,15 +228,17 @@ def upsert_status(spark, sf_dir):
     return old.join(new, "c_custkey", "full").select("c_custkey", status.alias("status"))
 
 
-@query("SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name||' ('||p_brand||')'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part")
+@query("SELECT p_partkey, regexp_replace(regexp_replace(strip_accents(lower(p_name||' (Čačak, Şırnak Đà) '||p_brand)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part")
 def slugify(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", text.slug(F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")"))).alias("slug"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.slug(F.concat("p_name", F.lit(" (Čačak, Şırnak Đà) "), "p_brand")).alias("slug"))
 
 
-@query("SELECT o_orderkey, year(o_orderdate) AS iso, year(o_orderdate) AS loose FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_custkey % 4 < 3 THEN year(o_orderdate) END AS year FROM orders")
 def year_from_text(spark, sf_dir):
-    date = F.date_format("o_orderdate", "yyyy-MM-dd")
-    return table(spark, sf_dir, "orders").select("o_orderkey", text.year(date).cast("long").alias("iso"), text.year(F.concat(F.lit("census "), date)).cast("long").alias("loose"))
+    """Years out of ISO dates, of words before a year, of a year before words; none where there is no year."""
+    date, i = F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_custkey") % 4
+    written = F.when(i == 0, date).when(i == 1, F.concat(F.lit("census "), F.substring(date, 1, 4))).when(i == 2, F.concat(F.substring(date, 1, 4), F.lit("-13-45 estimate of 1801"))).otherwise("no 199 year")
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.year(written).cast("long").alias("year"))
 
 
 @query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, '<a href=\"')) AS links FROM pages")
@@ -351,15 +357,21 @@ def upsert_rows(spark, sf_dir):
     return changes.merged(customers.where("c_custkey % 5 <> 0"), new, "c_custkey")
 
 
-@query("SELECT p_partkey, (p_partkey * 7919 % 100000000) / 100.0 AS value FROM part")
+@query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN v WHEN 1 THEN v WHEN 2 THEN CAST(w AS DOUBLE) WHEN 3 THEN w / 10.0 WHEN 4 THEN CASE WHEN w < 1000000 THEN w / 1000.0 END ELSE w / 1000.0 END AS value
+FROM (SELECT p_partkey, (p_partkey * 7919 % 100000000) / 100.0 AS v, p_partkey * 7919 % 90000000 + 10000 AS w FROM part)""")
 def number_parse_locale(spark, sf_dir):
-    """Numbers written with comma or dot as the decimal sign come back as they were."""
-    k = F.col("p_partkey") * 7919 % 100000000
+    """Numbers as pages write them: both signs, commas that part thousands, a comma as the decimal sign, several dots (no
+    number), and a lone dot. They come back as they were."""
+    k, w, i = F.col("p_partkey") * 7919 % 100000000, F.col("p_partkey") * 7919 % 90000000 + 10000, F.col("p_partkey") % 6
     english = F.concat(F.format_number(F.floor(k / 100), 0), F.lit("."), F.lpad((k % 100).cast("string"), 2, "0"))
-    written = F.when(F.col("p_partkey") % 2 == 0, english).otherwise(F.concat(F.translate(english, ",.", ".,"), F.lit(" km")))
+    grouped = F.format_number(w, 0)
+    tenths = F.concat(F.floor(w / 10).cast("string"), F.lit(","), (w % 10).cast("string"))
+    dotted = F.concat(F.floor(w / 1000).cast("string"), F.lit("."), F.lpad((w % 1000).cast("string"), 3, "0"))
+    several = F.when(w < 1000000, dotted).otherwise(F.translate(grouped, ",", "."))
+    written = F.when(i == 0, english).when(i == 1, F.concat(F.translate(english, ",.", ".,"), F.lit(" km"))).when(i == 2, F.concat(grouped, F.lit(" km²"))).when(i == 3, tenths).when(i == 4, several).otherwise(F.concat(F.lit("~ "), dotted))
     return table(spark, sf_dir, "part").select("p_partkey", text.locale_number(written).alias("value"))
 
 
-@query(r"SELECT c_custkey, trim(regexp_replace(strip_accents(lower(' Á  '||c_name||'   Ñandú ')), '\s+', ' ', 'g')) AS norm FROM customer")
+@query(r"SELECT c_custkey, trim(regexp_replace(strip_accents(lower(' Á  '||c_name||'   Ñandú Şırnak Čačak Łódź İzmir '||c_mktsegment||' Đà Nẵng ')), '\s+', ' ', 'g')) AS norm FROM customer")
 def norm_text(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", text.normalised(F.concat(F.lit(" Á  "), "c_name", F.lit("   Ñandú "))).alias("norm"))
+    return table(spark, sf_dir, "customer").select("c_custkey", text.normalised(F.concat(F.lit(" Á  "), "c_name", F.lit("   Ñandú Şırnak Čačak Łódź İzmir "), "c_mktsegment", F.lit(" Đà Nẵng "))).alias("norm"))

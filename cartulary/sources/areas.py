@@ -1,9 +1,21 @@
 """The area tree over the given tables: world, regions, nations, customers as municipalities."""
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the folder that spark.checkpoint.dir names; a temporary one only on one machine."""
+    context = df.sparkSession.sparkContext
+    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
+        if not context.master.startswith("local"):
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that all executors reach")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
+    return df.checkpoint()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -28,7 +40,8 @@ def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = nations.unionByName(regions).withColumnRenamed("parent_id", "id")
     root = world.select(F.lit("w").alias("id"), F.lit("World").alias("name"), F.lit(0).alias("level"), F.lit(None).cast("string").alias("parent_id"), F.lit("Country").alias("entity_type"), "pop_latest", "hectares", F.lit(None).cast("long").alias("representatives"), F.lit(3).alias("municipal_level"))
     tree = leaves.unionByName(inner.join(sums, "id", "left")).unionByName(root)
-    return tree.withColumn("area_km2", (F.col("hectares").cast("decimal(14,0)") / 100).cast("decimal(12,2)")).drop("hectares")
+    tree = tree.withColumn("area_km2", (F.col("hectares").cast("decimal(14,0)") / 100).cast("decimal(12,2)")).drop("hectares")
+    return checkpointed(tree)  # plans climb the tree and read it several times
 
 
 #: The same tree for DuckDB, and its closure.

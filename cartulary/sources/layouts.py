@@ -4,7 +4,6 @@ A small parser turns a page's HTML into nested columns (its head section and the
 `ts`); what those mean is said in DataFrame expressions. Pages are independent, so the work is as wide as their number.
 """
 
-import tempfile
 from html.parser import HTMLParser
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cartulary.functions.text import locale_number, year
 from cartulary.operators.hierarchy import parent_by_stack
+from cartulary.sources.areas import checkpointed
 
 LAYOUTS = ("admin", "table", "double", "cities", "infosection")
 SCHEMA = """section struct<name string, kind string, pop string, date string, area string, density string>,
@@ -238,14 +238,6 @@ def roots(read: DataFrame, rows: DataFrame) -> DataFrame:
     return plain.select(*KEYS, chosen.alias("root")).where("root IS NOT NULL")
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the checkpoint folder (a temporary one only where none is set)."""
-    context = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-    return df.checkpoint()
-
-
 def extracted(pages: DataFrame) -> DataFrame:
     """Areas of pages (page_id, html, url, country_code, level, layout), a row each.
 
@@ -253,8 +245,8 @@ def extracted(pages: DataFrame) -> DataFrame:
     Null or table-less HTML gives no row; an unknown layout is an error; page_id must be unique.
     """
     known = F.when(F.col("layout").isin(*LAYOUTS), F.col("layout")).otherwise(F.raise_error(F.concat(F.lit("unknown layout: "), F.coalesce("layout", F.lit("null")))))
-    read = kept(pages.select("page_id", F.col("url").alias("page_url"), "country_code", F.col("level").cast("int").alias("page_level"), known.alias("layout"), F.udf(described, SCHEMA)("html").alias("page")))
-    rows = kept(parsed_rows(read))
+    read = checkpointed(pages.select("page_id", F.col("url").alias("page_url"), "country_code", F.col("level").cast("int").alias("page_level"), known.alias("layout"), F.udf(described, SCHEMA, useArrow=True)("html").alias("page")))
+    rows = checkpointed(parsed_rows(read))
     root = roots(read, rows)
     top = root.select(*KEYS, F.lit(-1).cast("long").alias("row"), F.col("page_level").alias("level"), *(F.col(f"root.{c}").alias(c) for c in ENTITY))
     codes = root.select("page_id", F.col("root.code").alias("root_code"))
