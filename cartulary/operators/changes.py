@@ -2,7 +2,7 @@
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,3 +25,28 @@ def without_missing(old: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 def write_csv(report: DataFrame, path: str, *order: str) -> None:
     """Semicolon-separated UTF-8 with a header, in order from part to part: sorted by ranges, not in one task."""
     report.orderBy(*order).write.option("sep", ";").option("header", True).option("encoding", "UTF-8").csv(path)
+
+
+def page(rows: DataFrame, order: list[str], asked: str | int | None, size: int = 50) -> DataFrame:
+    """One page of rows in order: what is no number means the first page, one beyond the end (or below 1) the last."""
+    text = str(asked).strip()
+    last = max(1, -(-rows.count() // size))
+    number = int(text) if text.lstrip("-").isdigit() else 1
+    number = number if 1 <= number <= last else last
+    return rows.orderBy(*order).offset((number - 1) * size).limit(size)
+
+
+def searched(rows: DataFrame, text: str, columns: list[str]) -> DataFrame:
+    """Rows of which one of the columns holds the text, in any case; % and _ stand for themselves."""
+    return rows.where(reduce(lambda a, b: a | b, (F.contains(F.lower(c), F.lower(F.lit(text))) for c in columns)))
+
+
+#: Words of pages that sites show instead of what was asked for.
+BLOCKED = ("captcha", "just a moment", "access denied", "cloudflare")
+
+
+def fetch_status(code: Column, html: Column) -> Column:
+    """What a fetched page is: missing (404 or no text), blocked (403, or a challenge's words in its first part), ok."""
+    head = F.lower(F.substring(html, 1, 4000))
+    challenged = reduce(lambda a, b: a | b, (F.contains(head, F.lit(w)) for w in BLOCKED))
+    return F.when((code == 404) | html.isNull(), "missing").when((code == 403) | challenged, "blocked").otherwise("ok")

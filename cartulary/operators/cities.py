@@ -33,3 +33,8 @@ def rewritten(areas: DataFrame, communes: DataFrame, cities: DataFrame) -> DataF
     density = F.try_divide(F.col("pop_latest").cast("double"), F.nullif(F.col("area_km2"), F.lit(0)).cast("double"))
     old = placed.select("id", "name", (F.col("level") + F.coalesce("shift", F.lit(0))).alias("level"), F.coalesce("city", "parent_id").alias("parent_id"), "entity_type", "pop_latest", "area_km2", density.alias("density"))
     return old.unionByName(new)
+
+
+def latest(rows: DataFrame, key: str, date: str, year: str) -> DataFrame:
+    """(key, date, year): the latest known date and census year of each key's rows, null where none is known."""
+    return rows.groupBy(key).agg(F.max(date).alias(date), F.max(year).alias(year))

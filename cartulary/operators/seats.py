@@ -43,16 +43,16 @@ def dhondt(areas: DataFrame, group: str, total: Column, minimum: Column, maximum
 
 def won_at(quotient: Column) -> Column:
     """Seats beyond its minimum that an area wins while quotients down to this one win; null without a quotient."""
-    return F.least(F.col("most"), F.greatest(F.floor(F.col("pop") / quotient) - F.col("low"), F.lit(0))).cast("long")
+    return F.when(quotient > 0, F.least(F.col("most"), F.greatest(F.floor(F.try_divide(F.col("pop"), quotient)) - F.col("low"), F.lit(0)))).cast("long")
 
 
 def narrowed(rows: DataFrame, bounds: DataFrame, group: str) -> DataFrame:
     """Bounds (group, rest, hi, lo) of the last quotient that wins, narrowed to a step of a grid: one aggregate over all
     areas, for all groups at once. At hi fewer than rest win; at lo at least so many, or lo is null: quotients of 0 win."""
-    grid = lambda j: F.col("hi") * F.pow(F.col("lo") / F.col("hi"), F.lit(j / GRID))
+    grid = lambda j: F.col("hi") * F.pow(F.try_divide("lo", "hi"), F.lit(j / GRID))
     at = rows.drop("rest").join(bounds, group).groupBy(group).agg(F.first("rest").alias("rest"), F.first("hi").alias("hi"), F.first("lo").alias("lo"), F.array(*(F.sum(won_at(grid(j))) for j in range(GRID + 1))).alias("n"))
     first = F.get(F.filter(F.sequence(F.lit(0), F.lit(GRID)), lambda j: F.get("n", j) >= F.col("rest")), F.lit(0))
-    near = lambda j: F.col("hi") * F.pow(F.col("lo") / F.col("hi"), j / GRID)
+    near = lambda j: F.col("hi") * F.pow(F.try_divide("lo", "hi"), j / GRID)
     found = at.withColumn("j", first)
     hi = F.when(F.col("lo").isNull(), F.col("hi")).when(F.col("j").isNull(), F.col("lo")).when(F.col("j") > 0, near(F.col("j") - 1)).otherwise(F.col("hi"))
     lo = F.when(F.col("j").isNotNull(), near(F.col("j")))

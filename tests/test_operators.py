@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cartulary.operators import changes, cities, hierarchy, labels
+from cartulary.operators import changes, cities, hierarchy, labels, seats, territory
 
 AREAS = "id string, code string, name string, level int, parent_id string, entity_type string, pop_latest long, a string"
 
@@ -63,3 +63,97 @@ def test_merge_and_csv(spark, tmp_path):
     changes.write_csv(got, str(tmp_path / "out"), "k")
     back = spark.read.option("sep", ";").option("header", True).csv(str(tmp_path / "out"))
     assert sorted(tuple(r) for r in back.collect()) == [("1", "a", "absent"), ("2", None, "kept"), ("3", "d", "updated"), ("4", "é;", "created")]
+
+
+def test_folding():
+    import unicodedata
+
+    from cartulary.functions import text
+
+    for c, plain in {**dict(zip(text._ONE, text._TO, strict=True)), **text._MANY}.items():
+        assert plain == "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+
+
+def test_text_of_hostile_inputs(spark):
+    from cartulary.functions import text
+
+    words = {"Şırnak Čačak Łódź": "sırnak cacak łodz", "  Málaga   Ciudad ": "malaga ciudad", "ﬁ ½ Ⅷ №": "fi 1⁄2 viii no", "é̂ İzmir": "e izmir", None: None, "": ""}
+    df = spark.createDataFrame([(w,) for w in words], "t string").select("t", text.normalised(F.col("t")).alias("n"), text.slug(F.col("t")).alias("s"), text.casefolded(F.concat("t", F.lit("ß"))).alias("c"))
+    got = {r.t: r for r in df.collect()}
+    assert {t: r.n for t, r in got.items()} == words
+    assert got["Şırnak Čačak Łódź"].s == "s-rnak-cacak-od" or got["Şırnak Čačak Łódź"].s == "s-rnak-cacak-odz" and got["  Málaga   Ciudad "].c == "malaga ciudad ss"
+    numbers = {"1,234,567": 1234567, "1,141,748 km²": 1141748, "12.345.678,9": 12345678.9, "12,345,678.9": 12345678.9, "1,23": 1.23, "1,2345": 1.2345, "1.234.567": None, "-": None, ",": None, "-1,500": -1500, "": None, None: None}
+    found = spark.createDataFrame([(w,) for w in numbers], "t string").select("t", text.locale_number(F.col("t")).alias("v")).collect()
+    assert {r.t: r.v for r in found} == numbers
+
+
+def test_dhondt_ties_caps_and_zero(spark):
+    """Seat by seat against the plain algorithm: ties, minima, maxima, populations of 0, more seats than maxima allow."""
+    import random
+
+    rng = random.Random(2)
+    groups, rows = {}, []
+    for g in range(40):
+        areas = [(f"a{i:02}", rng.choice([0, 0, 50, 100, 100, 300, rng.randint(0, 10**6)]), rng.choice([0, 1, 2]), rng.choice([None, 0, 1, 3, 5, 100])) for i in range(rng.randint(1, 9))]
+        total = sum(low for _, _, low, _ in areas) + rng.choice([0, 1, 7, 40, 400])
+        won = {code: low for code, _, low, _ in areas}
+        for _ in range(total - sum(won.values())):
+            able = [(-pop / (won[code] + 1), code) for code, pop, _, high in areas if high is None or won[code] < high]
+            if not able:
+                break
+            won[min(able)[1]] += 1
+        groups[g] = won
+        rows += [(g, code, pop, low, high, total) for code, pop, low, high in areas]
+    df = spark.createDataFrame(rows, "g int, code string, pop_latest long, low int, high int, total int")
+    got = {}
+    for r in seats.dhondt(df, "g", F.col("total"), F.col("low"), F.col("high")).collect():
+        got.setdefault(r.g, {})[r.code] = r.seats
+    assert got == groups
+
+
+def test_ranks_by_ranges(spark):
+    """Places within a group over many ranges, ties by id, null groups."""
+    from cartulary.operators.ranking import ranked
+
+    rows = [(None if i % 7 == 0 else i % 3, i % 50, i) for i in range(1000)]
+    got = ranked(spark.createDataFrame(rows, "g int, v int, id int").repartition(5), "g", [F.col("v").desc(), F.col("id")], "r").collect()
+    want = {}
+    for g in (None, 0, 1, 2):
+        want |= {i: k for k, (_, i) in enumerate(sorted((-v, i) for x, v, i in rows if x == g), start=1)}
+    assert {r.id: r.r for r in got} == want
+
+
+def test_roll_up_of_nested_containers(spark):
+    rows = [("t", None, True, None), ("s", "t", True, 99), ("p", "s", True, None), ("a", "p", False, 3), ("b", "s", False, 4), ("c", "b", False, 100), ("d", "p", False, None)]
+    df = spark.createDataFrame(rows, "id string, parent_id string, container boolean, pop_latest long").selectExpr("*", "CAST(1 AS decimal(12,2)) AS area_km2")
+    assert {r.id: r.pop for r in hierarchy.rolled_up(df, "container").collect()} == {"t": 7, "s": 7, "p": 3}
+
+
+def test_areas_below_the_atomic_level_fail(spark):
+    import pytest
+
+    tree = spark.createDataFrame([("x", None, 0), ("a", "x", 1), ("b", "a", 2)], "id string, parent_id string, level int")
+    spec = spark.createDataFrame([("t", "b", "include")], "territory string, id string, sign string")
+    with pytest.raises(Exception, match="below the atomic level"):
+        territory.members(spec, tree, 1).collect()
+
+
+def test_workbook(spark, tmp_path):
+    import xml.etree.ElementTree as ET
+    import zipfile
+
+    from cartulary.operators import export
+
+    assert [export.column_name(i) for i in (1, 26, 27, 702, 703)] == ["A", "Z", "AA", "ZZ", "AAA"] and all(export.column_index(export.column_name(i)) == i for i in range(1, 2000))
+    rows = [(2, "b <&> \x01\"q\"", 1.5, True), (1, None, None, False)]
+    path = str(tmp_path / "x.xlsx")
+    assert export.write_workbook(spark.createDataFrame(rows, "n int, t string, v double, f boolean"), path, ["n"], sheet="S" * 40) == 2
+    with zipfile.ZipFile(path) as z:
+        assert all(ET.fromstring(z.read(n)) is not None for n in z.namelist())
+        sheet = ET.fromstring(z.read("xl/worksheets/sheet1.xml"))
+        assert ET.fromstring(z.read("xl/workbook.xml"))[0][0].get("name") == "S" * 31
+    cells = {c.get("r"): "".join(c.itertext()) for c in sheet.iter("{http://schemas.openxmlformats.org/spreadsheetml/2006/main}c")}
+    assert cells == {"A1": "n", "B1": "t", "C1": "v", "D1": "f", "A2": "1", "D2": "0", "A3": "2", "B3": 'b <&> "q"', "C3": "1.5", "D3": "1"}
+    from datetime import datetime
+
+    assert export.stamped("spain", datetime(2024, 2, 3, 4, 5, 6)) == "spain_20240203_040506.csv"
