@@ -42,6 +42,16 @@ def rewritten(df: DataFrame, name: str, old: DataFrame) -> DataFrame:
     return new
 
 
+#: Ids that are broadcast at most: 16 MB of them.
+BROADCAST_IDS = 2_000_000
+
+
+def sized(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """A table of ids as the side of a join: broadcast if there are at most `most`, so that the other side stays where it
+    is; else both are shuffled."""
+    return F.broadcast(ids) if ids.count() <= most else ids.hint("shuffle_hash")
+
+
 def small(batches, rows: int = 512):
     """The Arrow batches, cut to at most `rows` rows: what a task makes of one stays small beside its text."""
     for batch in batches:

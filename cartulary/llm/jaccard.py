@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartulary.llm import voronoi
-from cartulary.llm.common import connected_components, written
+from cartulary.llm.common import connected_components, sized, written
 
 CLASSES, PAIRS = 256, 20_000
 #: Holders of a hash in a slice, about; a task compares two. Buckets of more rows than WIDE are searched row by row.
@@ -279,6 +279,10 @@ def components(docs: DataFrame, k: int, num: int, den: int, slice_holders: int =
 
 def near_duplicates_removed(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """The columns of docs; of each component only the document with the smallest doc_id stays, once if its row is
-    repeated (each of its texts, if it has several). Documents with a null doc_id stay."""
-    kept = components(docs, k, num, den).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id IS NULL"))
+    repeated (each of its texts, if it has several; one that has a component of its own keeps the others). Documents with a null doc_id stay."""
+    of_id = components(docs, k, num, den).groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    gone = written(of_id.where("NOT stays").select("doc_id"), "gone")
+    twice = written(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id"), "twice")
+    left = docs.join(sized(gone), "doc_id", "left_anti")
+    once, more = left.join(sized(twice), "doc_id", "left_anti"), left.join(sized(twice), "doc_id", "left_semi")
+    return once.unionByName(more.dropDuplicates(["doc_id", "text"])).select(*docs.columns)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartulary.llm.common import connected_components, written
+from cartulary.llm.common import connected_components, sized, written
 
 #: Pivots of a cell at each level (for cells above MANY documents more, with the root of their number), documents of a
 #: cell that one task joins, and of a slice.
@@ -167,8 +167,8 @@ def joined(docs: DataFrame, regions: DataFrame, sets_of, num: int, den: int, piv
     """
     eps, columns = 1 - num / den, ["cell", "node", "doc_id"]
     cells = regions.withColumnRenamed("region", "cell").select(*columns, F.col("node").alias("part"))
-    ids = cells.select("doc_id").distinct()
-    docs = written(docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi"), "region-texts")
+    ids = written(cells.select("doc_id").distinct(), "region-ids")
+    docs = written(docs.join(sized(ids), "doc_id", "left_semi"), "region-texts")
     found, leaves, pairs, level = [], [], [], 0
     while True:
         by = Window.partitionBy("cell")
