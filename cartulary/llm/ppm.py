@@ -9,8 +9,11 @@ The trie is never gathered in one place. Documents are dealt by hash into blocks
 distinct (context, symbol) grams, with how often its training documents hold them, to the cell that owns the last two
 bytes of the context; a cell sees all counts behind its contexts, finds escapes and exclusions of orders 2 and up, and
 answers each block with one probability per gram. Orders 0 and 1 are a table of 256 x 256 counts that every
-cell gets. Words for the base score travel alike. So no task holds more than a block or a cell, and both are bounded by
-their numbers, which grow with the input.
+cell gets. Words for the base score travel alike.
+
+A cell never meets more than FAN blocks. Beyond that the blocks are dealt into slices, each of which adds up its blocks'
+counts per cell, asks for its own distinct grams as a block does, and passes the answers on; slices are dealt likewise. So a
+task holds a block, or the tables that at most FAN blocks or slices have of one cell.
 """
 
 from collections.abc import Iterator
@@ -27,6 +30,8 @@ ORDER = 5
 START, END = 0xFE, 0xFF
 #: Bytes of text of a block, and of the slices in which it is read; blocks for each cell.
 BLOCK_BYTES, SLICE_BYTES, BLOCKS_A_CELL = 20 << 20, 4 << 20, 0.5
+#: Blocks, or slices of them, whose tables of a cell one task brings together.
+FAN = 256
 
 
 def grams(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -189,30 +194,67 @@ def low_orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"pair": np.append(at, -1).astype(np.int32), "n": np.append(total[at], words)})
 
 
-def answers(tables: DataFrame, low: np.ndarray, order: int) -> DataFrame:
-    """For each block and cell one float per key, in the keys' order: a gram's log10 probability, a word's count in
-    training; n: of a cell's first words row, the number of distinct training words that the cell owns."""
+def table_of(group: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+    """The keys of each row, and the counts of all rows; counts are of four or of eight bytes."""
+    raw = list(zip(group.column("keys").to_pylist(), group.column("counts").to_pylist(), strict=True))
+    counts = [unpacked(n, "<i8" if len(n) == len(k) else "<i4").astype(np.int64) for k, n in raw]
+    return [unpacked(k, "<u8") for k, _ in raw], np.concatenate(counts)
+
+
+ANSWERS = "block long, cell long, words boolean, n long, answers binary"
+PLACES = ["cell", "words", "slice"]
+
+
+def replied(group: pa.Table, n: list[int], parts: list[np.ndarray]) -> dict:
+    return {c: group.column(c) for c in ("block", "cell", "words")} | {"n": pa.array(n, pa.int64()), "answers": pa.array([packed(p) for p in parts], pa.binary())}
+
+
+def answers(tables: DataFrame, low: np.ndarray, order: int, blocks: int, fan: int = FAN, keyed: bool = False) -> DataFrame:
+    """For each block and cell one number per key (and, if keyed, the keys), in the keys' order: a gram's log10 probability (four bytes), a word's
+    count in training; n: of one words row of a cell, the number of distinct training words that the cell owns."""
+    if blocks > fan:
+        slices = -(-blocks // fan)
+        columns = ["block", "cell", "words", "n", "answers", *["keys"] * keyed]
+        dealt = written(tables.withColumn("slice", F.col("block") % slices), "ppm-tables")
+        sums = dealt.groupBy(*PLACES).applyInArrow(summed, BLOCKS)
+        upper = answers(sums, low, order, slices, fan, True).withColumnRenamed("block", "slice")
+        return dealt.groupBy(*PLACES).cogroup(upper.groupBy(*PLACES)).applyInArrow(passed_on, ANSWERS + ", keys binary").select(*columns)
     shipped = tables.sparkSession.sparkContext.broadcast(low)  # 256 x 256 counts
 
     def answer(group: pa.Table) -> pa.Table:
         is_words = group.column("words")[0].as_py()
-        keys = [unpacked(x, "<u8") for x in group.column("keys").to_pylist()]
-        counts = np.concatenate([unpacked(x, "<i4") for x in group.column("counts").to_pylist()])
+        keys, counts = table_of(group)
         codes, distinct = pd.factorize(np.concatenate(keys))
         total = np.bincount(codes, counts, len(distinct))
         values = (total.astype("<i8") if is_words else log_probabilities(distinct, total, shipped.value, order).astype("<f4"))[codes]
-        parts = np.split(values, np.cumsum([len(k) for k in keys])[:-1])
         n = [int((total > 0).sum()) if is_words and i == 0 else 0 for i in range(len(keys))]
-        columns = [group.column(c) for c in ("block", "cell", "words")]
-        return pa.Table.from_arrays([*columns, pa.array(n, pa.int64()), pa.array([packed(p) for p in parts], pa.binary())], names=["block", "cell", "words", "n", "answers"])
+        made = replied(group, n, np.split(values, np.cumsum([len(k) for k in keys])[:-1]))
+        return pa.table(made | {"keys": group.column("keys")} if keyed else made)
+
+    return tables.groupBy("cell", "words").applyInArrow(answer, ANSWERS + ", keys binary" if keyed else ANSWERS)
+
+
+def summed(group: pa.Table) -> pa.Table:
+    """A slice's distinct keys of a cell in order, with the sums of its blocks' counts; the slice stands as the block."""
+    keys, counts = table_of(group)
+    distinct, back = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(back, counts, len(distinct)).astype("<i8")
+    row = [group.column("slice")[:1], *(group.column(c)[:1] for c in ("cell", "words")), pa.array([packed(distinct)], pa.binary()), pa.array([packed(total)], pa.binary())]
+    return pa.Table.from_arrays(row, names=BLOCKS.replace(",", "").split()[::2])
+
 
-    return tables.groupBy("cell", "words").applyInArrow(answer, "block long, cell long, words boolean, n long, answers binary")
+def passed_on(group: pa.Table, upper: pa.Table) -> pa.Table:
+    """The answers to a slice, which has all keys of its blocks in order, as answers to these blocks."""
+    kind = "<i8" if group.column("words")[0].as_py() else "<f4"
+    known, values = unpacked(upper.column("keys")[0].as_py(), "<u8"), unpacked(upper.column("answers")[0].as_py(), kind)
+    parts = [values[np.searchsorted(known, unpacked(k, "<u8"))] for k in group.column("keys").to_pylist()]
+    return pa.table(replied(group, [upper.column("n")[0].as_py(), *[0] * (len(parts) - 1)], parts) | {"keys": group.column("keys")})
 
 
 SCORES = "doc_id long, n_tokens long, n_known long, sum_log double, score double"
 
 
-def score(docs: DataFrame, learn: str, order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, learn: str, order: int = ORDER, block_bytes: int = BLOCK_BYTES, fan: int = FAN) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every document; `learn` is a SQL condition for
     training documents (null: not).
 
@@ -232,7 +274,7 @@ def score(docs: DataFrame, learn: str, order: int = ORDER, block_bytes: int = BL
             low[pair >> 8, pair & 255] = n
     ends = float(low[:, END].sum())  # training documents
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.col("text")), F.lit(blocks)).cast("long"))
-    replies = written(answers(block_tables(rows, cells, order), low, order), "ppm-answers")
+    replies = written(answers(block_tables(rows, cells, order), low, order, blocks, fan), "ppm-answers")
     tokens = int(words + ends)
     distinct = replies.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] + int(ends > 0)
 

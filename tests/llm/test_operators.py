@@ -149,14 +149,16 @@ def brute_ppm(train, text, order):
     return total
 
 
-def test_ppm_equals_brute_force(spark):
+@pytest.mark.parametrize("fan", [2, ppm.FAN])
+def test_ppm_equals_brute_force(spark, fan):
+    """Many blocks, which a cell meets at once, or through slices of two, level by level."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 900")
-    got = {r.doc_id: r for r in ppm.score(docs, "crc32(CAST(CAST(doc_id AS string) AS binary)) % 7 <> 2", block_bytes=20_000).collect()}
+    got = {r.doc_id: r for r in ppm.score(docs, "crc32(CAST(CAST(doc_id AS string) AS binary)) % 7 <> 2", block_bytes=4000, fan=fan).collect()}
     rows = {r.doc_id: r.text for r in docs.collect()}
     train = {d: t.encode() for d, t in rows.items() if zlib.crc32(str(d).encode()) % 7 != 2}
     words = Counter(w for t in train.values() for w in t.lower().split())
     n, v = sum(words.values()) + len(train), len(words) + 1
-    assert len(rows) > 20 and got.keys() == rows.keys()
+    assert len(rows) > 20 and got.keys() == rows.keys() and sum(map(len, rows.values())) > 4 * 4000
     for d, text in rows.items():
         tokens = text.encode().lower().split()
         base = sum(math.log10((words[w] + 1) / (n + v + 1)) for w in tokens) + math.log10((len(train) + 1) / (n + v + 1))
