@@ -30,13 +30,18 @@ def grams(text: Column) -> Column:
 
 
 def containing(labels: DataFrame, areas: DataFrame, column: str) -> DataFrame:
-    """(label, id, level): areas whose normalised column contains the normalised label. Exact: such a text holds the
-    label's last gram, on which both sides join, and the join is then checked."""
+    """(label, id, level): areas whose normalised column contains the normalised label. Exact: such a text holds all
+    grams of the label, so both sides join on the one that fewest texts hold, and the join is then checked. A label with
+    a gram that no text holds is contained in none."""
     texts = areas.select("id", "level", normalised(F.col(column)).alias("text")).where("text <> ''")
     held = texts.select("id", "level", "text", F.explode(grams(F.col("text"))).alias("gram"))
     sought = labels.withColumn("part", normalised(F.col("label"))).where("part <> ''")
-    sought = sought.withColumn("gram", F.expr(f"right(part, {GRAM})"))
-    return held.join(sought, "gram").where(F.contains("text", "part")).select("label", "id", "level")
+    longest = F.filter(grams(F.col("part")), lambda g: F.char_length(g) == F.least(F.char_length("part"), F.lit(GRAM)))
+    asked = sought.select("label", "part", F.explode(longest).alias("gram"))
+    holders = held.groupBy("gram").agg(F.count("*").alias("n"))
+    ranked = asked.join(holders, "gram", "left").groupBy("label", "part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least"))
+    rarest = ranked.where("least.n > 0").select("label", "part", "least.gram")
+    return held.join(rarest, "gram").where(F.contains("text", "part")).select("label", "id", "level")
 
 
 def resolve(labels: DataFrame, areas: DataFrame) -> DataFrame:
