@@ -115,9 +115,10 @@ def demultiplex(media: bytes) -> dict[int, list[tuple[bytes, float | None]]]:
 
 
 def read(media: bytes) -> tuple[bytes, dict]:
-    """The payload, and what was seen: pages, streams, packets, seconds, and whether all timestamps agree."""
+    """The payload, and what was seen: pages, streams, packets, and seconds by the last granule. Timestamps that don't
+    agree with the samples before them raise ValueError."""
     streams = demultiplex(media)
-    by_turn, total, timed = {}, 0, True
+    by_turn, total, timed, last = {}, 0, True, 0.0
     for packets in streams.values():
         if packets[0][0][:4] != _CODEC:
             raise ValueError("unknown stream header")
@@ -125,12 +126,14 @@ def read(media: bytes) -> tuple[bytes, dict]:
         for i, (packet, seconds) in enumerate(packets[1:]):
             start = (i * of + k) * block
             by_turn[start] = packet
-            timed &= seconds is None or seconds == (start + len(packet)) / RATE
+            if seconds is not None:
+                timed &= seconds == (start + len(packet)) / RATE
+                last = max(last, seconds)
     payload = b"".join(by_turn[k] for k in sorted(by_turn))
     if len(payload) != total or not timed:
         raise ValueError("samples or timestamps don't agree")
     n = sum(map(len, streams.values()))
-    return payload, {"pages": sum(1 for _ in pages(media)), "streams": len(streams), "packets": n, "seconds": total / RATE}
+    return payload, {"pages": sum(1 for _ in pages(media)), "streams": len(streams), "packets": n, "seconds": last}
 
 
 def padded(text: str | None) -> tuple[int, bytes]:

@@ -1,5 +1,6 @@
 """Operators against brute force, round trips and held-out accuracy, on small tables and on odd ones."""
 
+import functools
 import hashlib
 import itertools
 import math
@@ -281,6 +282,18 @@ def test_ogg_checksum_and_round_trip():
             ogg.read(media[:-1])
 
 
+def brute_feature(media):
+    """Streams, pages, packets and seconds, read off the page heads alone."""
+    at, serials, pages, packets, last = 0, set(), 0, 0, 0
+    while at < len(media):
+        lacing = media[at + 27 : at + 27 + media[at + 26]]
+        serials.add(media[at + 14 : at + 18])
+        last = max(last, int.from_bytes(media[at + 6 : at + 14], "little", signed=True))
+        pages, packets = pages + 1, packets + sum(n < 255 for n in lacing)
+        at += 27 + len(lacing) + sum(lacing)
+    return len(serials), pages, packets, last / 8000
+
+
 def test_ogg_query(spark, odd_docs):
     docs = {r.doc_id: r.text for r in odd_docs.collect()}
     rows = ogg.features(ogg.stored(odd_docs, ["doc_id", "size"]), ["doc_id", "n_bytes", "size"]).collect()
@@ -290,6 +303,7 @@ def test_ogg_query(spark, odd_docs):
         whole = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-64:]))
         assert r.media_sha256 == hashlib.sha256(ogg.write(whole)).hexdigest()
+        assert r.feature == "ogg:{} streams,{} pages,{} packets,{:.6f} s".format(*brute_feature(ogg.write(whole)))
     assert ogg.features(ogg.stored(odd_docs.limit(0), ["doc_id"]), ["doc_id"]).count() == 0
 
 
@@ -817,6 +831,57 @@ def test_language_id(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_language_query_equals_brute_force(spark):
+    import sentencepiece
+
+    path = entries.tokenizer_file("piece_bpe_32k.model")
+    cutter = sentencepiece.SentencePieceProcessor(model_file=path)
+    vocabulary = {cutter.id_to_piece(i): i for i in range(cutter.get_piece_size()) if not (cutter.is_control(i) or cutter.is_unknown(i) or cutter.is_byte(i))}
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+
+    def runs(text):
+        """Letters with their marks, in pieces of at most 24."""
+        out, open_run = [], ""
+        for c in (text or "").lower():
+            kind = unicodedata.category(c)[0]
+            if kind == "L" or kind == "M" and open_run:
+                open_run += c
+            else:
+                out, open_run = [*out, open_run], ""
+        return [part for run in [*out, open_run] if run for part in [run[i : i + 24] for i in range(0, len(run), 24)]]
+
+    counts, priors = {}, Counter()
+    for r in docs.values():
+        if zlib.crc32(str(r.doc_id).encode()) % 5 and r.lang is not None:
+            priors[r.lang] += 1
+            own = counts.setdefault(r.lang, Counter())
+            for word in runs(r.text):
+                own.update(cutter.encode(word))
+
+    @functools.cache
+    def word_score(word, lang):
+        own, whole = counts[lang], counts[lang].total() + 0.05 * len(cutter)
+        sums = [1.0] + [0.0] * len(word)
+        for j in range(1, len(word) + 1):
+            for i in range(j):
+                if word[i:j] in vocabulary:
+                    sums[j] += sums[i] * (own[vocabulary[word[i:j]]] + 0.05) / whole
+                elif j == i + 1:
+                    sums[j] += sums[i] * 1e-7
+        return math.log(sums[-1])
+
+    got = entries.op10_language_id(spark, SF).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        words = runs(docs[r.doc_id].text)
+        if not words:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        total = {lang: math.log((priors[lang] + 1) / (priors.total() + len(priors))) + sum(word_score("▁" + w, lang) for w in words) for lang in counts}
+        best = max(sorted(total), key=total.get)
+        assert r.lang_pred == best and r.score == pytest.approx(1 / sum(math.exp(v - total[best]) for v in total.values()), rel=1e-6)
+
+
 def test_language_of_odd_rows(spark, odd_docs):
     fitted = langid.learn(odd_docs, entries.tokenizer_file("piece_bpe_32k.model"))
     assert fitted.langs == ["de", "en", "fr"]
