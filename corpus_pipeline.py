@@ -10,11 +10,19 @@ from pyspark.sql import functions as F
 from cartulary.llm import entries, jaccard, langid, mixing, pii
 from cartulary.llm.common import documents, remainder, written
 
+#: Posterior probability of the likeliest language that a document needs: that of all the others together, or more.
+LEAST_POSTERIOR = 0.5
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in which a language was recognised. Texts that are null or have no letter go."""
+    """Keeps documents in which a language was recognised: texts that are null or have no letter go, and those for which
+    no language reaches LEAST_POSTERIOR. Where no document has a language to learn from, all stay."""
     fitted = langid.learn(docs.where(remainder("doc_id", 5) != 0), entries.tokenizer_file("piece_bpe_32k.model"))
-    return langid.predict(docs, fitted, docs.columns).where("lang_pred <> 'und'").select(*docs.columns)
+    if not fitted.langs:
+        return docs
+    # Outputs' names are kept apart from columns of docs that have the same
+    named = langid.predict(docs.select(F.struct(*docs.columns).alias("row"), "text"), fitted, ["row"])
+    return named.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_POSTERIOR)).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
