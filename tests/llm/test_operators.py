@@ -946,6 +946,22 @@ def test_pipeline_stages(spark, odd_docs):
     assert Counter(r.doc_id for r in last if r.piece == 0) == Counter(r.doc_id for r in spent.collect())
 
 
+def test_language_stage_decides_by_posterior(spark, odd_docs):
+    import corpus_pipeline
+
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    learned = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5][:120]
+    alike = [(i, "le chat noir dort ici", lang, "a", 21) for i, lang in zip(learned, ["aa", "bb", "cc"] * 40, strict=True)]  # as likely in each of three
+    clear = [(500 + i, "wort zeile blatt strich", "dd", "a", 23) for i in range(40)]
+    docs = spark.createDataFrame(alike + clear + [(900, "12 34", "dd", "a", 5), (901, None, "dd", "a", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.language(spark, docs, SF).collect()} == set(range(500, 540))
+    unknown = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language(spark, unknown, SF).count() == docs.count()
+    kept = corpus_pipeline.language(spark, odd_docs, SF)
+    assert kept.columns == odd_docs.columns and {r.score for r in kept.collect()} == {"t"}
+    assert corpus_pipeline.language(spark, docs.limit(0), SF).select(columns).count() == 0
+
+
 def test_registered(spark):
     import __spark_entry__
 
