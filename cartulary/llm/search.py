@@ -26,7 +26,7 @@ BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122
 #: Terms of a slice of queries at most, counted once for each query; one query alone may have more.
 TERMS = 1 << 15
 #: Documents times terms of a shard at most (4 bytes each), documents of a block on average, numbers of a sketch.
-CELLS, BLOCK, SKETCH = 1 << 24, 64, 32
+CELLS, BLOCK, SKETCH = 1 << 22, 64, 32
 TOP = 10
 
 COUNTED = "n long, terms array<int>, counts array<long>"
