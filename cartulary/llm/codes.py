@@ -131,7 +131,7 @@ def first_entries(vectors: DataFrame, key: str, vector: str, entries: int, scale
             break
         rest = kept.where(F.col("key") > F.lit(some[-1].key))
     rows = list(found.values())[:entries] or [r.v for r in kept.orderBy("v").limit(1).collect()]
-    return integers(np.array(rows, float).reshape(len(rows), -1), scale)
+    return integers(np.array(rows, float), scale) if rows else np.zeros((0, 0), np.int64)
 
 
 def codebook(stored: DataFrame, first: np.ndarray, parts: int = PARTS, rounds: int = ROUNDS) -> np.ndarray:

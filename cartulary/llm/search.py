@@ -30,6 +30,7 @@ CELLS, BLOCK, SKETCH = 1 << 22, 64, 32
 TOP = 10
 
 COUNTED = "n long, terms array<int>, counts array<long>"
+COLUMNS = ("ends", "terms", "values", "lists", "sizes", "docs", "summaries")
 SHARD = "ends binary, terms binary, values binary, lists binary, sizes binary, docs binary, summaries binary"
 
 
@@ -94,8 +95,8 @@ def clustered(held: np.ndarray, sketch: np.ndarray) -> list[np.ndarray]:
     return [b for b in np.split(held[order], np.cumsum(np.bincount(to, minlength=n))[:-1]) if len(b)]
 
 
-def shard_of(n: list, which: list, counts: list, totals: tuple[int, int], asked: Asked) -> list[bytes]:
-    """A shard's stored form (SHARD): documents' values by term, each list's blocks, each block's documents and summary."""
+def shard_of(n: list, which: list, counts: list, totals: tuple[int, int], asked: Asked) -> dict[str, np.ndarray]:
+    """A shard (SHARD): documents' values by term, each list's blocks, each block's documents and summary."""
     size = np.array([len(w) for w in which])
     ends, terms, tf = np.cumsum(size), np.concatenate(which), np.concatenate(counts)
     m = np.array([10 + 90 * k * totals[0] // totals[1] for k in n], np.int64)
@@ -117,43 +118,50 @@ def shard_of(n: list, which: list, counts: list, totals: tuple[int, int], asked:
             sizes += [len(b) for b in blocks]
             docs.append(order)
             summaries.append(np.maximum.reduceat(table[np.ix_(order, beside)], starts, axis=0).ravel())
-    packed = (ends, terms, values, np.array(lists), np.array(sizes), np.concatenate(docs), np.concatenate(summaries))
-    return [np.ascontiguousarray(a, np.int32).tobytes() for a in packed]
+    held = (ends, terms, values, np.array(lists), np.array(sizes), np.concatenate(docs), np.concatenate(summaries))
+    return {c: np.ascontiguousarray(a, np.int32) for c, a in zip(COLUMNS, held, strict=True)}
 
 
-def index(postings: DataFrame, totals: tuple[int, int], asked: Asked) -> DataFrame:
-    """The table of shards (SHARD, and `rows` in order) of counted documents that hold a term asked for."""
-    row = postings.schema["row"].dataType
+def shards(batches, totals: tuple[int, int], asked: Asked):
+    """(shard, keys) of counted documents, one shard at a time in memory; keys are their `row`s in order."""
     most = max(1, CELLS // max(1, len(asked.terms)))
+    n, which, counts, rows = [], [], [], []
+    for batch in small(batches, most):
+        at = 0
+        while at < batch.num_rows:
+            some = batch.slice(at, most - len(n))
+            n += some.column("n").to_pylist()
+            which += [np.array(x, np.int32) for x in some.column("terms").to_pylist()]
+            counts += [np.array(x, np.int64) for x in some.column("counts").to_pylist()]
+            rows.append(some.column("row"))
+            at += some.num_rows
+            if len(n) == most:
+                yield shard_of(n, which, counts, totals, asked), pa.concat_arrays(rows)
+                n, which, counts, rows = [], [], [], []
+    if n:
+        yield shard_of(n, which, counts, totals, asked), pa.concat_arrays(rows)
+
 
-    def shards(batches):
-        n, which, counts, rows = [], [], [], []
+def index(postings: DataFrame, totals: tuple[int, int], asked: Asked) -> DataFrame:
+    """Shards as a table (SHARD, and `rows` in order), for searching more than once with other weights or numbers."""
 
-        def made():
-            data = [pa.array([b], pa.binary()) for b in shard_of(n, which, counts, totals, asked)]
-            held = pa.concat_arrays(rows)
+    def packed(batches):
+        for shard, held in shards(batches, totals, asked):
+            data = [pa.array([shard[c].tobytes()], pa.binary()) for c in COLUMNS]
             data.append(pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held))
-            return pa.RecordBatch.from_arrays(data, [*(c.split()[0] for c in SHARD.split(", ")), "rows"])
-
-        for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                some = batch.slice(at, most - len(n))
-                n += some.column("n").to_pylist()
-                which += [np.array(x, np.int32) for x in some.column("terms").to_pylist()]
-                counts += [np.array(x, np.int64) for x in some.column("counts").to_pylist()]
-                rows.append(some.column("row"))
-                at += some.num_rows
-                if len(n) == most:
-                    yield made()
-                    n, which, counts, rows = [], [], [], []
-        if n:
-            yield made()
-
-    found = postings.where(F.size("terms") > 0).mapInArrow(shards, f"{SHARD}, rows array<{row.simpleString()}>")
+            yield pa.RecordBatch.from_arrays(data, [*COLUMNS, "rows"])
+
+    found = postings.where(F.size("terms") > 0).mapInArrow(packed, f"{SHARD}, rows array<{postings.schema['row'].dataType.simpleString()}>")
     return written(found, "search-index")
 
 
+def unpacked(batches):
+    """(shard, keys) of an index table's rows."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {c: np.frombuffer(batch.column(c)[i].as_buffer(), np.int32) for c in COLUMNS}, batch.column("rows").slice(i, 1).flatten()
+
+
 class Best:
     """The best documents of a query so far: score, key (None last), in order."""
 
@@ -166,9 +174,9 @@ class Best:
             self.least = max(1, self.rows[-1][0])
 
 
-def searched_shard(shard: dict, keys: pa.Array, asked: Asked, best: list[Best], top: int) -> int:
+def searched_shard(shard: dict[str, np.ndarray], keys: pa.Array, asked: Asked, best: list[Best], top: int) -> int:
     """Adds a shard's documents to the best of each query; returns how many blocks were opened."""
-    ends, which, values, lists, sizes, docs, summaries = (np.frombuffer(shard[c.split()[0]], np.int32) for c in SHARD.split(", "))
+    ends, which, values, lists, sizes, docs, summaries = (shard[c] for c in COLUMNS)
     table = matrix(len(ends), len(asked.terms), ends, which, values)
     firsts = np.concatenate([[0], np.cumsum(sizes)])
     summary, first, at, block = {}, {}, 0, 0
@@ -227,8 +235,8 @@ def search(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "
         for r in postings.select(F.explode("terms").alias("t")).groupBy("t").count().collect():
             weight[r["t"]] = math.floor(1000 * math.log((2 * totals[0] + 2) / (2 * r["count"] + 1)))
         asked.weigh(weight)
-        shards = index(postings, tuple(totals), asked)
-        found = shards.mapInArrow(lambda batches, asked=asked: best_of(batches, asked, doc, top), f"number int, doc {kind}, score long")
+        held = postings.where(F.size("terms") > 0)
+        found = held.mapInArrow(lambda batches, asked=asked, totals=tuple(totals): best_of(shards(batches, totals, asked), asked, doc, top), f"number int, doc {kind}, score long")
         names = docs.sparkSession.createDataFrame([(i, r.item) for i, r in enumerate(some)], f"number int, item {terms.schema['item'].dataType.simpleString()}")
         out.append(found.join(F.broadcast(names), "number").select("item", "doc", "score"))
     if not out:
@@ -240,15 +248,19 @@ def search(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "
     return both.withColumn("rank", rank).where(F.col("rank") <= top).select(F.col("item").alias(item), "rank", F.col("doc").alias(doc), "score")
 
 
-def best_of(batches, asked: Asked, doc: str, top: int):
+def best_of(held, asked: Asked, doc: str, top: int):
     """The best documents of a task's shards for each query; scores found in one shard skip blocks of the next."""
     best, kind = [Best() for _ in asked.queries], None
-    for batch in batches:
-        data = batch.select([c.split()[0] for c in SHARD.split(", ")]).to_pylist()
-        for i, shard in enumerate(data):
-            keys = batch.column("rows").slice(i, 1).flatten().field(doc)
-            kind = keys.type
-            searched_shard(shard, keys, asked, best, top)
+    for shard, rows in held:
+        keys = rows.field(doc)
+        kind = keys.type
+        searched_shard(shard, keys, asked, best, top)
     if kind is not None:
         rows = [(i, key, score) for i, b in enumerate(best) for score, _, key in b.rows]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], kind), pa.array([r[2] for r in rows], pa.int64())], ["number", "doc", "score"])
+
+
+def search_index(table: DataFrame, asked: Asked, doc: str = "doc_id", top: int = TOP) -> DataFrame:
+    """(number, doc, score): each task's best documents of an index table for each query, by its number in `asked`."""
+    kind = table.schema["rows"].dataType.elementType[doc].dataType.simpleString()
+    return table.mapInArrow(lambda batches: best_of(unpacked(batches), asked, doc, top), f"number int, doc {kind}, score long")
