@@ -30,14 +30,14 @@ def _folds() -> tuple[str, str, str, dict[str, str]]:
 
 
 _ONE, _TO, _MARKS, _MANY = _folds()
-_RARE = "[" + "".join(_MANY) + "]"
 
 
 def folded(text: Column) -> Column:
-    """Compatibility decomposition without marks: 'Şırnak ﬁ' becomes 'Sırnak fi'."""
+    """Compatibility decomposition without marks: 'Şırnak ﬁ' becomes 'Sırnak fi'. ASCII texts stay as they are."""
     known = F.from_json(F.lit(json.dumps(_MANY)), "map<string,string>")  # folded to a literal
     spelt = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(known, c), c)), "")
-    return F.translate(F.when(text.rlike(_RARE), spelt).otherwise(text), _ONE + _MARKS, _TO)
+    plain = F.translate(F.when(F.translate(text, "".join(_MANY), "") != text, spelt).otherwise(text), _ONE + _MARKS, _TO)
+    return F.when(text.rlike(r"[^\x00-\x7F]"), plain).otherwise(text)
 
 
 def normalised(text: Column) -> Column:
@@ -46,7 +46,8 @@ def normalised(text: Column) -> Column:
 
 
 def casefolded(text: Column) -> Column:
-    """As normalised, for comparing: sharp s counts as ss, final sigma as sigma."""
+    """As normalised, for comparing: sharp s counts as ss, final sigma as sigma. Other foldings of Unicode that neither
+    decomposition nor lower case gives (Cherokee, some Greek with iota below) are left out."""
     return F.translate(F.replace(normalised(text), F.lit("ß"), F.lit("ss")), "ς", "σ")
 
 

@@ -29,36 +29,39 @@ def grams(text: Column) -> Column:
     return F.array_distinct(F.concat(*of))
 
 
-def containing(labels: DataFrame, areas: DataFrame, column: str) -> DataFrame:
-    """(label, id, level): areas whose normalised column contains the normalised label. Exact: such a text holds all
-    grams of the label, so both sides join on the one that fewest texts hold, and the join is then checked. A label with
-    a gram that no text holds is contained in none."""
-    texts = areas.select("id", "level", normalised(F.col(column)).alias("text")).where("text <> ''")
-    held = texts.select("id", "level", "text", F.explode(grams(F.col("text"))).alias("gram"))
+def containing(labels: DataFrame, areas: DataFrame, column: str, by: list[str]) -> DataFrame:
+    """(by..., label, id, level): areas whose normalised column contains the normalised label. Exact: such a text holds
+    all grams of the label, so both sides join on the one that fewest texts hold, and the join is then checked. A label
+    with a gram that no text holds is contained in none. Only texts of the groups that labels ask for are taken apart."""
+    texts = areas.select(*by, "id", "level", normalised(F.col(column)).alias("text")).where("text <> ''")
+    texts = texts.join(labels.select(*by).distinct(), by, "left_semi") if by else texts
+    held = texts.select(*by, "id", "level", "text", F.explode(grams(F.col("text"))).alias("gram"))
     sought = labels.withColumn("part", normalised(F.col("label"))).where("part <> ''")
     longest = F.filter(grams(F.col("part")), lambda g: F.char_length(g) == F.least(F.char_length("part"), F.lit(GRAM)))
-    asked = sought.select("label", "part", F.explode(longest).alias("gram"))
-    holders = held.groupBy("gram").agg(F.count("*").alias("n"))
-    ranked = asked.join(holders, "gram", "left").groupBy("label", "part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least"))
-    rarest = ranked.where("least.n > 0").select("label", "part", "least.gram")
-    return held.join(rarest, "gram").where(F.contains("text", "part")).select("label", "id", "level")
+    asked = sought.select(*by, "label", "part", F.explode(longest).alias("gram"))
+    holders = held.groupBy(*by, "gram").agg(F.count("*").alias("n"))
+    ranked = asked.join(holders, [*by, "gram"], "left").groupBy(*by, "label", "part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least"))
+    rarest = ranked.where("least.n > 0").select(*by, "label", "part", "least.gram")
+    return held.join(rarest, [*by, "gram"]).where(F.contains("text", "part")).select(*by, "label", "id", "level")
 
 
-def resolve(labels: DataFrame, areas: DataFrame) -> DataFrame:
-    """(label, id, tier) of labels (label) against areas (id, code, name, level).
+def resolve(labels: DataFrame, areas: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., label, id, tier) of labels (by..., label) against areas (by..., id, code, name, level) of the same group;
+    `by` are columns such as a country and a level that both have.
 
     Tiers: id; code, name without case; code, name normalised; name, code containing the label. Within the equal tiers
     the lowest id wins, within the containing ones the deepest level, then the lowest id. Blank labels contain nothing.
     Labels without an area are left out.
     """
-    labels = labels.select("label").where("label IS NOT NULL").distinct()
-    own = keyed(areas, equal_tiers(F.col("code"), F.col("name"), F.col("id")), "id")
-    asked = keyed(labels, [F.col("label"), F.lower("label"), F.lower("label"), normalised(F.col("label")), normalised(F.col("label"))], "label")
-    equal = asked.join(own, ["tier", "key"]).select("label", "tier", F.lit(0).alias("depth"), "id")
-    rest = labels.join(equal, "label", "left_anti")
-    parts = [containing(rest, areas, c).select("label", F.lit(t).alias("tier"), (-F.col("level")).alias("depth"), "id") for t, c in ((6, "name"), (7, "code"))]
-    best = equal.unionByName(parts[0]).unionByName(parts[1]).groupBy("label").agg(F.min(F.struct("tier", "depth", "id")).alias("best"))
-    return best.select("label", "best.id", "best.tier")
+    by = list(by)
+    labels = labels.select(*by, "label").where("label IS NOT NULL").distinct()
+    own = keyed(areas, equal_tiers(F.col("code"), F.col("name"), F.col("id")), *by, "id")
+    asked = keyed(labels, [F.col("label"), F.lower("label"), F.lower("label"), normalised(F.col("label")), normalised(F.col("label"))], *by, "label")
+    equal = asked.join(own, [*by, "tier", "key"]).select(*by, "label", "tier", F.lit(0).alias("depth"), "id")
+    rest = labels.join(equal, [*by, "label"], "left_anti")
+    parts = [containing(rest, areas, c, by).select(*by, "label", F.lit(t).alias("tier"), (-F.col("level")).alias("depth"), "id") for t, c in ((6, "name"), (7, "code"))]
+    best = equal.unionByName(parts[0]).unionByName(parts[1]).groupBy(*by, "label").agg(F.min(F.struct("tier", "depth", "id")).alias("best"))
+    return best.select(*by, "label", "best.id", "best.tier")
 
 
 def missing(labels: DataFrame, areas: DataFrame) -> DataFrame:

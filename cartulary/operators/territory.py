@@ -6,22 +6,23 @@ from pyspark.sql import functions as F
 from cartulary.operators.hierarchy import closure
 
 
-def expanded(chosen: DataFrame, areas: DataFrame, atomic: int) -> DataFrame:
-    """(territory, node): the chosen (territory, id) as areas of the atomic level. An area below that level fails."""
-    levels = areas.select("id", "level")
+def expanded(chosen: DataFrame, areas: DataFrame, atomic: int | str) -> DataFrame:
+    """(territory, node): the chosen (territory, id) as areas of the atomic level, a number or a column of areas. An area
+    below that level fails."""
+    levels = areas.select("id", "level", (F.col(atomic) if isinstance(atomic, str) else F.lit(atomic)).alias("atomic"))
     deeper = F.raise_error(F.concat(F.lit("below the atomic level: "), F.col("id"))).cast("int")
-    dist = F.when(F.col("level") > atomic, deeper).otherwise(F.lit(atomic) - F.col("level"))
-    steps = chosen.join(levels, "id").select("territory", F.col("id").alias("ancestor"), dist.alias("dist"))
+    dist = F.when(F.col("level") > F.col("atomic"), deeper).otherwise(F.col("atomic") - F.col("level"))
+    steps = chosen.select("territory", "id").join(levels, "id").select("territory", F.col("id").alias("ancestor"), dist.alias("dist"))
     return steps.join(closure(areas), ["ancestor", "dist"]).select("territory", "node").distinct()
 
 
-def members(spec: DataFrame, areas: DataFrame, atomic: int) -> DataFrame:
+def members(spec: DataFrame, areas: DataFrame, atomic: int | str) -> DataFrame:
     """(territory, node) of spec (territory, id, sign): what `include` rows hold less what `subtract` rows hold."""
     plus = expanded(spec.where("sign = 'include'"), areas, atomic)
     return plus.join(expanded(spec.where("sign = 'subtract'"), areas, atomic), ["territory", "node"], "left_anti")
 
 
-def totals(spec: DataFrame, areas: DataFrame, atomic: int) -> DataFrame:
+def totals(spec: DataFrame, areas: DataFrame, atomic: int | str) -> DataFrame:
     """(territory, pop, area, density): published values of included areas less those of subtracted atomic areas.
 
     Areas included twice, by themselves and inside another, count twice, and subtracted ones outside count too.
