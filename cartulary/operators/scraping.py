@@ -99,26 +99,21 @@ def unlinked(rows: DataFrame) -> DataFrame:
     return rows
 
 
-def with_places(areas: DataFrame, jobs: DataFrame) -> DataFrame:
-    """areas with the most populated place of each below it, by its country's legal level (jobs: country_code,
-    legal_level); where none is found the old one stays. Levels are few, so countries go together by their legal level."""
-    out = []
+def places(areas: DataFrame, jobs: DataFrame) -> DataFrame:
+    """(id, place): the most populated place below each area, by its country's legal level (jobs: country_code,
+    legal_level). Levels are few, so countries go together by their legal level."""
+    found = areas.select("id", F.lit(None).cast("string").alias("most_populated")).limit(0)
     for r in jobs.select("legal_level").distinct().collect():
         some = jobs.where(F.col("legal_level").eqNullSafe(F.lit(r.legal_level))).select("country_code")
-        out.append(most_populated(areas.join(F.broadcast(some), "country_code", "left_semi"), r.legal_level))
-    if not out:
-        return areas
-    found = out[0]
-    for more in out[1:]:
-        found = found.unionByName(more)
-    return areas.join(found.withColumnRenamed("most_populated", "place_found"), "id", "left").withColumn("most_populated", F.coalesce("place_found", "most_populated")).drop("place_found")
+        found = found.unionByName(most_populated(areas.join(F.broadcast(some), "country_code", "left_semi"), r.legal_level))
+    return found.withColumnRenamed("most_populated", "place")
 
 
-def with_seats(areas: DataFrame, rules: DataFrame) -> DataFrame:
-    """areas with seats by D'Hondt at the level of their country's rule (country_code, seat_level, total, minimum)."""
+def seats(areas: DataFrame, rules: DataFrame) -> DataFrame:
+    """(country_code, code, seats) by D'Hondt at the level of a country's rule (country_code, seat_level, total,
+    minimum)."""
     rows = areas.join(F.broadcast(rules), "country_code").where("level = seat_level")
-    seats = dhondt(rows.select("country_code", "code", "pop_latest", "total", "minimum"), "country_code", F.col("total"), F.col("minimum"))
-    return areas.join(seats, ["country_code", "code"], "left").withColumn("representatives", F.coalesce("seats", "representatives")).drop("seats")
+    return dhondt(rows.select("country_code", "code", "pop_latest", "total", "minimum"), "country_code", F.col("total"), F.col("minimum"))
 
 
 def found_on(plan: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -143,5 +138,8 @@ def run(pages: DataFrame, found: DataFrame, old: DataFrame, jobs: DataFrame, rew
     rows = saved(checkpointed(new), old)
     alive = rows.where("status <> 'deleted'")
     ran = jobs.join(new.select("country_code").distinct(), "country_code", "left_semi")
-    done = with_seats(with_places(alive, ran), ran.where("seat_level IS NOT NULL").select("country_code", "seat_level", "total", "minimum"))
+    rules = ran.where("seat_level IS NOT NULL").select("country_code", "seat_level", "total", "minimum")
+    # Both start from the saved rows, so neither's plan stands inside the other's; where they find nothing the old stays
+    done = alive.join(places(alive, ran), "id", "left").join(seats(alive, rules), ["country_code", "code"], "left")
+    done = done.withColumns({"most_populated": F.coalesce("place", "most_populated"), "representatives": F.coalesce("seats", "representatives")})
     return done.select(*rows.columns).unionByName(rows.where("status = 'deleted'"))

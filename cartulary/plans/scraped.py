@@ -61,7 +61,7 @@ def page_data(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     roots = tree.where("level = 1").select(F.col("id").alias("slug"), F.lit(0).cast("long").alias("place"), F.lit("info").alias("path"), F.lit("infosection").alias("layout"), F.lit(0).alias("lowest_level"), about.alias("html"))
     odd = spark.createDataFrame([("r3", -1, "odd", "mosaic", 0, "<html></html>")], "slug string, place long, path string, layout string, lowest_level int, html string")
     both = pages.unionByName(roots).unionByName(odd).withColumn("country_code", F.col("slug")).withColumn("url", scraping.page_url(F.lit(BASE), F.concat("slug", F.lit("/"), "path")))
-    both = checkpointed(both)
+    both = checkpointed(both.repartition(spark.sparkContext.defaultParallelism, "url"))
     plan = both.select("slug", "country_code", "place", "path", "layout", "lowest_level", "url")
     refused = (F.col("slug") == "r3") & (F.col("layout") == "double")
     store = both.where("slug <> 'r3' OR path <> 'info'").select("url", F.when(refused, 403).otherwise(200).alias("code"), "html")

@@ -6,8 +6,11 @@ A small parser turns a page's HTML into nested columns (its head section and the
 
 from html.parser import HTMLParser
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from cartulary.functions.text import locale_number, year
 from cartulary.operators.hierarchy import parent_by_stack
@@ -126,6 +129,26 @@ def described(html: str | None) -> dict | None:
     return {"section": section_of(root), "header": header and {"name": text_of(name), "description": text_of(about)}, "tables": list(tables.values())}
 
 
+#: Pages whose nested columns a task holds at once.
+PAGES = 32
+
+
+def parsed(pages: DataFrame) -> DataFrame:
+    """pages with `page`, what `described` finds in their html, in place of it; a task parses a few pages at a time."""
+    kind = to_arrow_type(StructType.fromDDL(SCHEMA))
+    others = [f for f in pages.schema.fields if f.name != "html"]
+
+    def read(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, PAGES):
+                some = batch.slice(at, PAGES)
+                found = pa.array([described(h) for h in some.column("html").to_pylist()], kind)
+                yield pa.RecordBatch.from_arrays([*(some.column(f.name) for f in others), found], [*(f.name for f in others), "page"])
+
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
+    return pages.mapInArrow(read, f"{names}, page struct<{SCHEMA}>")
+
+
 KEYS = ("page_id", "page_url", "country_code", "page_level", "layout")
 ENTITY = ("code", "name", "entity_type", "area_km2", "density", "pop_latest", "pop_latest_date", "last_census_year", "url")
 
@@ -135,6 +158,11 @@ def filled(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def once(value: Column, use) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def first_cell(cells: Column, name: str) -> Column:
     return F.get(F.filter(cells, lambda c: F.array_contains(c["classes"], name)), F.lit(0))
 
@@ -149,7 +177,10 @@ def digits(c: Column) -> Column:
 
 def singular(heading: Column) -> Column:
     """A heading without its mark, the last word in the singular."""
-    clean = filled(F.trim(F.regexp_replace(F.regexp_replace(heading, r"(?i)^Contents:\s*", ""), r"\s+", " ")))
+    return once(filled(F.trim(F.regexp_replace(F.regexp_replace(heading, r"(?i)^Contents:\s*", ""), r"\s+", " "))), singular_of)
+
+
+def singular_of(clean: Column) -> Column:
     word, low = F.element_at(F.split(clean, " "), -1), F.lower(F.element_at(F.split(clean, " "), -1))
     cut = lambda n, end="": F.concat(F.left(clean, F.char_length(clean) - n), F.lit(end))
     long = F.char_length(word) > 3
@@ -157,19 +188,34 @@ def singular(heading: Column) -> Column:
 
 
 def joined_url(base: Column, href: Column) -> Column:
-    """href seen from base; dot segments stay as they are."""
+    """href seen from base, its path without dot segments; addresses with a scheme of their own stay as they are."""
     origin = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)", 1)
     folder = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*(?:/[^?#]*/|/)?)", 1)
     beside = F.when(folder.endswith("/"), F.concat(folder, href)).otherwise(F.concat(folder, F.lit("/"), href))
     return (
         F.when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), href)
         .when(href.startswith("//"), F.concat(F.regexp_extract(base, "^([^:]*:)", 1), href))
-        .when(href.startswith("/"), F.concat(origin, href))
+        .when(href.startswith("/"), once(F.concat(origin, href), without_dots))
         .when(href.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), href))
-        .otherwise(beside)
+        .when(href.startswith("?"), F.concat(F.regexp_replace(base, "[?#].*$", ""), href))
+        .otherwise(once(beside, without_dots))
     )
 
 
+def without_dots(url: Column) -> Column:
+    """An address whose path has no segments . and .. any more (RFC 3986, 5.2.4); query and fragment stay.
+
+    Segments are a stack: a segment is put on it, .. takes the last one off, . does nothing. A path that ends with a dot
+    segment ends with a slash.
+    """
+    pattern = r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)([^?#]*)(.*)$"
+    front, path, back = (F.regexp_extract(url, pattern, i) for i in (1, 2, 3))
+    parts = F.split(F.substring(path, 2, 1 << 30), "/")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda held, p: F.when(p == "..", F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(0)))).when(p == ".", held).otherwise(F.concat(held, F.array(p))))
+    end = F.when(F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0), "/").otherwise("")
+    return F.when(path.rlike(r"/\.{1,2}(/|$)"), F.concat(front, F.lit("/"), F.array_join(kept, "/"), end, back)).otherwise(url)
+
+
 def population(cells: Column, heads: Column) -> Column:
     """struct(pop, date): the rightmost shown column with digits; with none shown all are; without one the last cell."""
     numbered = F.transform(heads, lambda h, i: F.struct(i.alias("i"), F.coalesce(F.lower(F.replace(h["style"], F.lit(" "), F.lit(""))).contains("display:table-cell"), F.lit(False)).alias("shown"), h["date"].alias("date")))
@@ -193,22 +239,22 @@ def parsed_rows(read: DataFrame) -> DataFrame:
     click = F.coalesce(filled(F.col("onclick")), attr("onclick"))
     by_click = F.coalesce(filled(F.regexp_extract(click, r"sym\('([^']+)'\)", 1)), F.when(~ts, filled(F.regexp_extract(click, r"symArea\('([^']+)'", 1))))
     code = F.coalesce(filled(F.regexp_replace(attr("id"), "^i", "")), by_click)
-    default = F.when(wide & ~foot, singular(F.col("heading")))
+    default = F.when(wide & ~foot, once(F.col("heading"), singular))
     status = first_cell(F.col("cells"), "rstatus")
     kind = F.when(status.isNotNull(), status["text"]).otherwise(F.coalesce(F.when(~ts, filled(attr("title"))), filled(attr("data-status")), default))
     divisor = F.when(wide & (~foot | (F.col("layout") == "table")) & F.lower("unit").contains("hect"), 100).otherwise(1)
-    area = F.coalesce(number(attr("data-area")), F.when(~ts, locale_number(first_cell(F.col("cells"), "rarea")["text"]) / divisor), locale_number(first_cell(F.col("cells"), "noviz")["text"]) / 100)
+    area = F.coalesce(number(attr("data-area")), F.when(~ts, once(first_cell(F.col("cells"), "rarea")["text"], locale_number) / divisor), once(first_cell(F.col("cells"), "noviz")["text"], locale_number) / 100)
     origin = F.regexp_extract("page_url", r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)", 1)
     base = F.when(wide & ~foot, F.col("page_url")).otherwise(origin)
     href = filled(F.coalesce(first_cell(F.col("cells"), "sc")["href"], F.col("main")["href"]))
     own = F.concat(F.lit("#"), filled(attr("id")))
     script = F.coalesce(own, F.concat(F.lit("#i"), filled(F.regexp_extract(href, r"sym(?:Area)?\((\d+)", 1))))
-    target = F.when(href.isNull(), own).when(href.startswith("javascript:"), script).otherwise(href)
+    target = once(href, lambda h: F.when(h.isNull(), own).when(h.startswith("javascript:"), script).otherwise(h))
     name = F.coalesce(F.col("main")["name"], F.col("main")["text"])
     last_shown = F.col("found.date")
     out = rows.select(
         *KEYS, "tbl", "at", "part", "body", "body_index", "cells", code.alias("code"), name.alias("name"), kind.alias("entity_type"), area.alias("area_km2"),
-        number(attr("data-density")).alias("given"), F.col("found.pop").alias("pop_latest"), last_shown.alias("pop_latest_date"), year(last_shown).alias("last_census_year"), joined_url(base, target).alias("url"),
+        number(attr("data-density")).alias("given"), F.col("found.pop").alias("pop_latest"), last_shown.alias("pop_latest_date"), year(last_shown).alias("last_census_year"), once(target, lambda t: joined_url(base, t)).alias("url"),
     )
     density = F.coalesce("given", F.try_divide(F.col("pop_latest").cast("double"), F.nullif(F.col("area_km2"), F.lit(0.0))))
     return out.where("code IS NOT NULL").withColumn("density", density).drop("given")
@@ -227,15 +273,21 @@ def roots(read: DataFrame, rows: DataFrame) -> DataFrame:
     h = F.col("page.header")
     title = F.regexp_replace(F.coalesce(h["name"], country), r"\s+", " ")
     of_header = F.when(h.isNotNull() & (title != ""), shaped(country, title, none("string"), none("double"), none("double"), none("long"), none("string"), none("int"), F.col("page_url")))
-    plain = both.withColumn("root", F.coalesce(of_admin, of_header))
-    ending = F.concat(F.lit(" of "), F.lower(F.col("root.name")))
     about = filled(F.trim(F.regexp_replace(h["description"], r"\s+", " ")))
-    told = F.when(F.lower(about).endswith(ending), F.trim(F.left(about, F.char_length(about) - F.char_length(ending)))).otherwise(about)
-    kind = F.coalesce(filled(F.col("root.entity_type")), told)
-    backed = F.col("foot").withField("entity_type", F.coalesce(filled(F.col("foot.entity_type")), kind)).withField("url", F.coalesce(F.col("foot.url"), F.col("root.url")))
-    of_table = F.when(F.col("foot").isNotNull(), backed).when(F.col("root").isNotNull(), F.col("root").withField("entity_type", kind))
-    chosen = F.when(F.col("layout") == "table", of_table).when(F.col("layout") == "admin", of_admin).when(F.col("layout").isin("cities", "infosection"), F.coalesce(of_admin, F.when(F.col("foot").isNotNull(), as_country)))
-    return plain.select(*KEYS, chosen.alias("root")).where("root IS NOT NULL")
+
+    def of_table(root: Column) -> Column:
+        ending = F.concat(F.lit(" of "), F.lower(root["name"]))
+        told = F.when(F.lower(about).endswith(ending), F.trim(F.left(about, F.char_length(about) - F.char_length(ending)))).otherwise(about)
+        kind = F.coalesce(filled(root["entity_type"]), told)
+        backed = F.col("foot").withField("entity_type", F.coalesce(filled(F.col("foot.entity_type")), kind)).withField("url", F.coalesce(F.col("foot.url"), root["url"]))
+        return F.when(F.col("foot").isNotNull(), backed).when(root.isNotNull(), root.withField("entity_type", kind))
+
+    def chosen(admin: Column) -> Column:
+        table = once(F.coalesce(admin, of_header), of_table)
+        other = F.coalesce(admin, F.when(F.col("foot").isNotNull(), as_country))
+        return F.when(F.col("layout") == "table", table).when(F.col("layout") == "admin", admin).when(F.col("layout").isin("cities", "infosection"), other)
+
+    return both.select(*KEYS, once(of_admin, chosen).alias("root")).where("root IS NOT NULL")
 
 
 def extracted(pages: DataFrame) -> DataFrame:
@@ -245,7 +297,8 @@ def extracted(pages: DataFrame) -> DataFrame:
     Null or table-less HTML gives no row; an unknown layout is an error; page_id must be unique.
     """
     known = F.when(F.col("layout").isin(*LAYOUTS), F.col("layout")).otherwise(F.raise_error(F.concat(F.lit("unknown layout: "), F.coalesce("layout", F.lit("null")))))
-    read = checkpointed(pages.select("page_id", F.col("url").alias("page_url"), "country_code", F.col("level").cast("int").alias("page_level"), known.alias("layout"), F.udf(described, SCHEMA, useArrow=True)("html").alias("page")))
+    read = pages.select("page_id", F.col("url").alias("page_url"), "country_code", F.col("level").cast("int").alias("page_level"), known.alias("layout"), "html")
+    read = checkpointed(parsed(read))
     rows = checkpointed(parsed_rows(read))
     root = roots(read, rows)
     top = root.select(*KEYS, F.lit(-1).cast("long").alias("row"), F.col("page_level").alias("level"), *(F.col(f"root.{c}").alias(c) for c in ENTITY))
