@@ -89,6 +89,11 @@ class Model:
         self.prob = n / n.sum(0)
         self.prob[-1] = 1e-7  # a letter that no piece covers
         self.prior = np.log(priors / priors.sum())
+        # A language's numbers grow with every character, midway between its rarest piece and 1, so that no product of a
+        # longest run leaves the range of doubles however many pieces were counted
+        self.step = self.prob.min(0) ** -0.5 if len(at) else np.ones(0)
+        size = np.array([min(len(p), LONGEST_RUN + 1) if p else 1 for p in pieces] + [1])
+        self.grown = self.prob * self.step ** size[:, None]
         #: Piece ids by text, and -1 for texts that only begin pieces.
         self.ids = {p[:n]: -1 for p in pieces if p for n in range(1, len(p))} | {p: i for i, p in enumerate(pieces) if p}
 
@@ -116,8 +121,9 @@ class Model:
             found = np.array(hits[j], np.int64)
             w, i, k = found >> 21, found >> 16 & 31, found & 0xFFFF
             starts = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-            alpha[j, w[starts]] = np.add.reduceat(alpha[i, w] * self.prob[k], starts)
-        return np.log(alpha[[len(x) for x in new], np.arange(len(new))])
+            alpha[j, w[starts]] = np.add.reduceat(alpha[i, w] * self.grown[k], starts)
+        size = np.array([len(x) for x in new], np.int64)
+        return np.log(alpha[size, np.arange(len(new))]) - size[:, None] * np.log(self.step)
 
 
 def vocabulary(model: str) -> list[str | None]:
