@@ -206,7 +206,7 @@ def joined(docs: DataFrame, regions: DataFrame, sets_of, num: int, den: int, piv
             own = rows.column("node").to_pylist()
             made = [
                 pa.array(pivot), pa.array(home, pa.int32()), pa.array([np.flatnonzero(h).tolist() for h in holds], pa.list_(pa.int32())),
-                pa.array([[names[k] for k in np.flatnonzero(x) if names[k] != me] for me, x in zip(own, links, strict=True)], pa.list_(pa.int64())),
+                pa.array([[names[k] for k in ks] for ks in pivots_met(links, [names.index(me) if p else None for me, p in zip(own, pivot, strict=True)])], pa.list_(pa.int64())),
             ]
             kept = [rows.column(c) for c in ("cell", "node", "doc_id", "part", "main", "others", "p")]
             return pa.Table.from_arrays([*kept, *made], names=schema.replace(",", "").split()[::2])
@@ -246,6 +246,31 @@ def joined(docs: DataFrame, regions: DataFrame, sets_of, num: int, den: int, piv
     return union(found)
 
 
+def pivots_met(links: np.ndarray, selves: list[int | None]) -> list[list[int]]:
+    """For each row of links (rows x pivots) pivots that connect what all its links connect: a row's first one, and those
+    that no earlier row has connected with it; in all at most rows + pivots of them. `selves` are rows' own pivots."""
+    group, left, out = list(range(links.shape[1])), links.shape[1] - 1, []
+
+    def top(k: int) -> int:
+        while group[k] != k:
+            group[k] = group[group[k]]
+            k = group[k]
+        return k
+
+    for row, own in zip(links, selves, strict=True):
+        first = own if own is not None else int(row.argmax()) if row.any() else None
+        kept = [first] if first is not None and own is None else []
+        if left and first is not None:
+            for k in np.flatnonzero(row):
+                a, b = top(first), top(int(k))
+                if a != b:
+                    group[b] = a
+                    left -= 1
+                    kept.append(int(k))
+        out.append(kept)
+    return out
+
+
 def by_slices(docs: DataFrame, rows: DataFrame, sets_of, num: int, den: int, slice_docs: int) -> DataFrame:
     """EDGES of cells that pivots don't split: their documents in slices, of one connected part (main) or of the others;
     each two slices are a task, but those of two main ones."""

@@ -256,3 +256,39 @@ def test_verdicts_without_pages_or_rules(spark):
 def test_hosts_with_words(spark):
     pages = spark.createDataFrame([("http://spam-farm.example.org/",), ("http://spammer.org",), ("http://x.SPAM.org/a",), (None,)], "url string")
     assert {r.key for r in urls.hosts_with_words(pages, entries.HOST_WORDS).collect()} == {"spam-farm.example.org", "x.spam.org"}
+
+
+# earlier operators
+
+
+def test_pivot_links_span_without_being_all():
+    from cartulary.llm import voronoi
+
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        n, p = int(rng.integers(1, 60)), int(rng.integers(0, 9))
+        links = rng.random((n, p)) < rng.choice([0.05, 0.4, 0.95])
+        selves = [k if k < p else None for k in range(n)]
+        for k in range(min(n, p)):
+            links[k, k] = True
+
+        def parts(pairs, n=n, p=p):
+            group = list(range(n + p))
+            for a, b in pairs:
+                group = [group[a] if g == group[b] else g for g in group]
+            return {frozenset(i for i in range(n + p) if group[i] == g) for g in group}
+
+        same = [(k, n + k) for k in range(min(n, p))]  # a pivot's row is the pivot
+        got = voronoi.pivots_met(links, selves)
+        assert parts([(i, n + k) for i, ks in enumerate(got) for k in ks] + same) == parts([(i, n + k) for i, k in zip(*np.nonzero(links), strict=True)] + same)
+        assert sum(map(len, got)) <= n + p
+
+
+def test_language_scores_of_very_many_pieces():
+    from cartulary.llm import langid
+
+    pieces = [None, "▁", *"abcdefghijklmnopqrstuvwxyz", "ab"]
+    for count in (10**13, 10**18):
+        m = langid.Model([("x", 1, count), ("x", 2, count), ("y", 1, count), ("y", 3, count), ("x", -1, 1), ("y", -1, 1)], pieces)
+        scores = m.word_scores(["▁" + "z" * 24, "▁" + "a" * 24, "▁q" + "ω" * 23, "▁"])
+        assert np.isfinite(scores).all() and scores[1, 0] > scores[1, 1] + 400
