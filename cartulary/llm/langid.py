@@ -12,6 +12,7 @@ Learning: pieces are counted per task (at most vocabulary x languages rows each)
 import re
 import sys
 import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -138,6 +139,21 @@ def learn(docs: DataFrame, model: str) -> Model:
     return Model([tuple(r) for r in piece_counts(docs, model).collect()], vocabulary(model))
 
 
+#: What a worker process keeps from one task to the next: the model in use and the words that it has scored.
+_HELD: dict = {}
+
+
+def held_words(token: str, shipped) -> dict:
+    """The model of a prediction with the words scored by it so far (at most CACHED_WORDS and a batch's) in this worker;
+    another prediction's are dropped."""
+    if _HELD.get("token") != token:
+        m = Model.__new__(Model)
+        m.__dict__.update(shipped.value)
+        _HELD.clear()
+        _HELD.update(token=token, model=m, known={}, table=np.zeros((0, len(m.langs))))
+    return _HELD
+
+
 def predict(docs: DataFrame, fitted: Model, keep: list[str]) -> DataFrame:
     """Columns `keep` of docs, then lang_pred and score: the likeliest language and its posterior probability.
 
@@ -145,22 +161,22 @@ def predict(docs: DataFrame, fitted: Model, keep: list[str]) -> DataFrame:
     sorts first. A column of docs named like an output is replaced.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(vars(fitted))  # vocabulary x languages numbers
+    token = uuid.uuid4().hex
     keep = [c for c in keep if c not in ("lang_pred", "score")]
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model.__new__(Model)
-        m.__dict__.update(shipped.value)
-        known: dict[str, int] = {}
-        table = np.zeros((0, len(m.langs)))
+        held = held_words(token, shipped)
+        m, known, table = held["model"], held["known"], held["table"]
         for batch in small(batches):
             texts = [words(t) for t in batch.column("__text").to_pylist()]
             new = list({w for t in texts for w in t if w not in known})
             if len(known) + len(new) > CACHED_WORDS:
                 known, new, table = {}, list({w for t in texts for w in t}), table[:0]
             if new and m.langs:
-                known.update({w: len(known) + i for i, w in enumerate(new)})
                 parts = [m.word_scores([MARK + w for w in new[i : i + 20_000]]) for i in range(0, len(new), 20_000)]
                 table = np.concatenate([table, *parts])
+                known.update({w: len(known) + i for i, w in enumerate(new)})
+            held["known"], held["table"] = known, table
             lang, score = [], []
             for t in texts:
                 if not t or not m.langs:
