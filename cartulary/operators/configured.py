@@ -55,12 +55,15 @@ def districts(areas: DataFrame, configs: DataFrame) -> DataFrame:
 
 
 def communes(asked: DataFrame, areas: DataFrame, configs: DataFrame) -> DataFrame:
-    """(city, label, id) of asked (city, label), configs (city, city_level, from_id): of the children that a label names
-    that of an area the city is made from, at the deepest level up to the city's; else a child of the city itself."""
-    own = areas.select("id", "code", "name", "level", "ordinal", "parent_id")
-    parents = configs.select("city", "city_level", F.col("from_id").alias("parent_id")).join(areas.select(F.col("id").alias("parent_id"), F.col("level").alias("above")), "parent_id")
+    """(city, label, id) of asked (city, label), configs (city, city_level, from_id, and types where only areas of these
+    count): of the children that a label names that of an area the city is made from, at the deepest level up to the
+    city's; else a child of the city itself."""
+    own = areas.select("id", "code", "name", "level", "ordinal", "parent_id", "entity_type")
+    configs = configs if "types" in configs.columns else configs.withColumn("types", F.array().cast("array<string>"))
+    parents = configs.select("city", "city_level", "types", F.col("from_id").alias("parent_id")).join(areas.select(F.col("id").alias("parent_id"), F.col("level").alias("above")), "parent_id")
     children = own.join(parents, "parent_id").where("level = above + 1 AND id <> city").withColumn("kind", F.lit(0))
-    inner = own.join(configs.select("city", "city_level", F.col("city").alias("parent_id")).distinct(), "parent_id").where("level = city_level + 1").withColumn("kind", F.lit(1))
+    inner = own.join(configs.select("city", "city_level", "types", F.col("city").alias("parent_id")).distinct(), "parent_id").where("level = city_level + 1").withColumn("kind", F.lit(1))
+    children, inner = (rows.where(of_types(F.col("entity_type"), F.col("types"))) for rows in (children, inner))
     columns = ["city", "city_level", "id", "code", "name", "level", "ordinal", "kind"]
     candidates = children.select(*columns).unionByName(inner.select(*columns))
     hits = matches(asked, candidates, ["city"]).join(candidates, ["city", "id"]).where("kind = 1 OR level <= city_level")

@@ -38,6 +38,29 @@ def subdivisions(areas: DataFrame, units: DataFrame) -> DataFrame:
     return out.select("id", F.coalesce("children", F.nullif(F.col("units"), F.lit(0))).alias("n"))
 
 
+def scan(areas: DataFrame, root: str, capitals: DataFrame, places: DataFrame, units: DataFrame, most: int | None = None) -> DataFrame:
+    """What an export reads of a country in one scan: the root and its areas down to level `most`, with `capitals`, an
+    array<struct<name, id, pop>> by name, `city`, the most populated place as such a struct, and `units`, how many source
+    areas it is made of.
+
+    capitals (area, id), places (area, id) and units (area, id) are links; areas (country, id, code, name, level,
+    parent_id, pop_latest, ...). Rows aren't sorted: order by level and code is the reader's.
+    """
+    level = areas.where(F.col("id") == root).select("level").first()
+    wanted = areas.where((F.col("id") == root) | (F.col("country") == root) & (F.col("level") > (level[0] if level else 0)))
+    wanted = wanted.where(F.col("level") <= most) if most is not None else wanted
+    about = areas.select("id", F.struct("name", "id", F.col("pop_latest").alias("pop")).alias("place"))
+    asked = wanted.select(F.col("id").alias("area"))
+    held = capitals.join(asked, "area", "left_semi").distinct().join(about, "id").groupBy("area").agg(F.array_sort(F.collect_list("place")).alias("capitals"))
+    city = places.join(asked, "area", "left_semi").join(about, "id").groupBy("area").agg(F.min("place").alias("city"))
+    number = units.join(asked, "area", "left_semi").groupBy("area").agg(F.count("*").alias("units"))
+    out = wanted
+    for links in (held, city, number):
+        out = out.join(links.withColumnRenamed("area", "id"), "id", "left")
+    none = F.array().cast("array<struct<name string, id string, pop long>>")
+    return out.withColumns({"capitals": F.coalesce("capitals", none), "units": F.coalesce("units", F.lit(0).cast("long"))})
+
+
 def stamped(country: str, at: datetime) -> str:
     """Name of a country's export."""
     return f"{country}_{at:%Y%m%d_%H%M%S}.csv"

@@ -5,10 +5,12 @@ from pyspark.sql import functions as F
 
 from cartulary.functions import text
 from cartulary.operators import build, capitals, changes, cities, configured, export, hierarchy, territory
+from cartulary.operators.city_program import applied as cities_of
 from cartulary.plans.catalogue import SPEC, spec
 from cartulary.sources.areas import areas, table, with_areas
 
 QUERIES, ORACLES = {}, {}
+NAMED = ", named AS (SELECT 'n'||s_nationkey AS area, 'c'||s_suppkey AS capital FROM supplier UNION SELECT 'r'||(s_suppkey % 5), 'c'||s_suppkey FROM supplier UNION SELECT 'zz', 'c1'), good AS (SELECT area, capital FROM named JOIN closure ON ancestor = area AND node = capital)"
 
 
 def query(sql: str):
@@ -97,7 +99,34 @@ def city_fold(spark, sf_dir):
     return out.select("id", "name", "level", "parent_id", "entity_type", F.col("pop_latest").alias("pop"), F.round(F.col("area_km2").cast("double"), 2).alias("area"))
 
 
-NAMED = ", named AS (SELECT 'n'||s_nationkey AS area, 'c'||s_suppkey AS capital FROM supplier UNION SELECT 'r'||(s_suppkey % 5), 'c'||s_suppkey FROM supplier UNION SELECT 'zz', 'c1'), good AS (SELECT area, capital FROM named JOIN closure ON ancestor = area AND node = capital)"
+@query(with_areas(NAMED + """, top AS (SELECT ancestor AS id, arg_min(node, struct_pack(p := -pop, n := node)) AS node FROM closure JOIN area ON id = node WHERE dist > 0 AND level = 3 AND pop IS NOT NULL GROUP BY 1),
+c AS (SELECT g.area, string_agg(name||':'||id||':'||coalesce(CAST(pop AS VARCHAR), ''), '|' ORDER BY name, id) AS c FROM good g JOIN area ON id = capital GROUP BY 1), u AS (SELECT 'n'||s_nationkey AS area, count(*) AS n FROM supplier GROUP BY 1)
+SELECT a.id, a.level, a.name, a.parent_id, coalesce(c, '') AS capitals, t.name||':'||t.id||':'||t.pop AS city, coalesce(u.n, 0) AS units FROM area a LEFT JOIN c ON c.area = a.id LEFT JOIN u ON u.area = a.id LEFT JOIN top ON top.id = a.id LEFT JOIN area t ON t.id = top.node WHERE a.level <= 2"""))
+def export_scan(spark, sf_dir):
+    """An export's scan: areas with their capitals, most populated place and number of source units nested."""
+    tree = areas(spark, sf_dir)
+    units = table(spark, sf_dir, "supplier").select(F.concat(F.lit("n"), "s_nationkey").alias("area"), F.concat(F.lit("s"), "s_suppkey").alias("id"))
+    held = capitals.valid(named(spark, sf_dir), tree).withColumnRenamed("capital", "id")
+    places = hierarchy.most_populated(tree).select(F.col("id").alias("area"), F.col("most_populated").alias("id"))
+    out = export.scan(tree.withColumns({"country": F.lit("w"), "code": F.col("id")}), "w", held, places, units, 2)
+    text = lambda p: F.concat(p["name"], F.lit(":"), p["id"], F.lit(":"), F.coalesce(p["pop"].cast("string"), F.lit("")))
+    return out.select("id", "level", "name", "parent_id", F.array_join(F.transform("capitals", text), "|").alias("capitals"), F.when(F.col("city").isNotNull(), text(F.col("city"))).alias("city"), "units")
+
+
+@query(ORACLES["city_fold"])
+def city_program(spark, sf_dir):
+    """The same cities out of a table of thirty configurations, in two layers: those of the nations, then the regions'."""
+    tree = areas(spark, sf_dir)
+    dates = {"pop_latest_date": F.lit(None).cast("date"), "last_census_year": F.lit(None).cast("int"), "code": F.col("id")}
+    tree = tree.withColumns(dates | {"ordinal": F.col("level").cast("long")})
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    shape = lambda rows, key, sign, name, level, of, types, place: rows.select((F.col(key) + place).cast("long").alias("place"), F.concat(F.lit(f"{name.lower()}-{sign}"), key).alias("city"), F.lit(name).alias("name"), F.lit(level).alias("level"), F.lit(name).alias("entity_type"), F.array(F.lit(types)).alias("district_types"), F.create_map(F.lit(level - 1), F.array(of)).alias("parent_from"), F.array().cast("array<string>").alias("communes"))
+    configs = shape(nation, "n_nationkey", "n", "City", 3, F.lower("n_name"), "building", 0)
+    configs = configs.unionByName(shape(region, "r_regionkey", "r", "Metro", 2, F.concat(F.lit("r"), "r_regionkey"), "CITY", 1000))
+    out, _ = cities_of(tree, configs)
+    return out.select("id", "name", "level", "parent_id", "entity_type", F.col("pop_latest").alias("pop"), F.round(F.col("area_km2").cast("double"), 2).alias("area"))
+
+
 
 
 def named(spark, sf_dir):

@@ -11,7 +11,7 @@ import pytest
 
 import __spark_entry__
 from cartulary.operators import hierarchy, seats, territory
-from cartulary.plans import catalogue, derived, pages
+from cartulary.plans import catalogue, derived, pages, recipes, scraped
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,10 +31,14 @@ def rows(frame):
     return list(frame.columns), sorted(clean, key=str)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.ORACLES | derived.ORACLES | pages.ORACLES))
+PLANS = (catalogue, derived, pages, recipes, scraped)
+QUERIES, ORACLES = ({k: v for plan in PLANS for k, v in getattr(plan, kind).items()} for kind in ("QUERIES", "ORACLES"))
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, duck, name):
-    got = rows((catalogue.QUERIES | derived.QUERIES | pages.QUERIES)[name](spark, SF).toPandas())
-    want = rows(duck.sql((catalogue.ORACLES | derived.ORACLES | pages.ORACLES)[name]).df())
+    got = rows(QUERIES[name](spark, SF).toPandas())
+    want = rows(duck.sql(ORACLES[name]).df())
     assert got[0] == want[0] and got[1] == want[1]
 
 

@@ -63,3 +63,22 @@ def test_configurations(spark, tmp_path):
         (tmp_path / "bad.toml").write_text(bad)
         with pytest.raises(ValueError):
             configs.configurations(spark, str(tmp_path))
+
+
+def test_links_as_browsers_read_them(spark):
+    import itertools
+    from urllib.parse import urljoin
+
+    from pyspark.sql import functions as F
+
+    from cartulary.sources.layouts import joined_url
+
+    bases = ["https://a.example/b/c/d", "https://a.example/b/c/", "https://a.example/b?x=1/2#f", "https://a.example"]
+    parts = ["..", ".", "g", "h..", ".i"]
+    links = ["/".join(p) + end for n in (1, 2, 3) for p in itertools.product(parts, repeat=n) for end in ("", "/")]
+    links += ["/" + link for link in links[:40]] + ["../../../g", "/./g", "g?y/../x", "g#s/../x", "?q=../z", "#top", "//h.example/a/../b", "http://o.example/a/../b"]
+    rows = spark.createDataFrame([(b, link) for b in bases for link in links], "b string, h string")
+    same = [(r.b, r.h, r.u) for r in rows.select("b", "h", joined_url(F.col("b"), F.col("h")).alias("u")).collect() if "h.example/a" not in r.h and "o.example" not in r.h]
+    assert [(b, h, u) for b, h, u in same if u != urljoin(b, h)] == []
+    got = {r.h: r.u for r in rows.where("h LIKE '%example%'").select("h", joined_url(F.col("b"), F.col("h")).alias("u")).collect()}
+    assert got["http://o.example/a/../b"] == "http://o.example/a/../b" and got["//h.example/a/../b"] == "https://h.example/a/../b"
