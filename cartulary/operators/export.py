@@ -12,7 +12,7 @@ def shown_once(rows: DataFrame, order: str, keys: list[str], blocks: dict[str, l
     out = rows
     for key in keys:
         first = rows.groupBy(key).agg(F.min(order).alias(f"__{key}"))
-        out = out.join(first, key)
+        out = out.join(first, key, "left")  # paths may be shorter than the deepest
     top = rows.agg(F.min(order)).first()[0]
     columns = []
     for c in rows.columns:

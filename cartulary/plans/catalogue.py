@@ -320,6 +320,27 @@ def path_report(spark, sf_dir):
     return report.path_report(areas(spark, sf_dir), range(1, 4))
 
 
+def shown_sql(sql: str) -> str:
+    """A path report with each block on the first row of its area only."""
+    once = ", ".join(f"CASE WHEN row_number() OVER (PARTITION BY L{n}_id ORDER BY path) = 1 THEN L{n}_{f} END AS L{n}_{f}" for n in (1, 2) for f in report.FIELDS)
+    last = ", ".join(f"L3_{f}" for f in report.FIELDS)
+    return f"SELECT path, leaf, CASE WHEN row_number() OVER (ORDER BY path) = 1 THEN root END AS root, CASE WHEN row_number() OVER (ORDER BY path) = 1 THEN root_pop END AS root_pop, {once}, {last} FROM (SELECT *, L1_id||'>'||L2_id||'>'||L3_id AS path FROM ({sql}))"
+
+
+@query(shown_sql(ORACLES["path_report"]))
+def path_report_levels(spark, sf_dir):
+    """The report with as many blocks as the tree has levels, repeated cells blank; ties by id."""
+    return report.shown_report(areas(spark, sf_dir))
+
+
+@query(shown_sql(ORACLES["path_report"].replace("coalesce(pop, 0) DESC, id", "coalesce(pop, 0) DESC, name DESC, id").replace("coalesce(km2, 0) DESC, id", "coalesce(km2, 0) DESC, name DESC, id")))
+def path_report_ties(spark, sf_dir):
+    """The same with ties by another order, here by a code that runs against the names."""
+    tree = areas(spark, sf_dir)
+    against = F.transform(F.split("name", ""), lambda c: -F.ascii(c))
+    return report.shown_report(tree.withColumn("order", against), ("order", "id"))
+
+
 @query(with_areas(SPEC + """, m AS (SELECT territory, node FROM grown WHERE sign = 'include' EXCEPT SELECT territory, node FROM grown WHERE sign = 'subtract')
 SELECT s.territory, s.capital, m.node IS NOT NULL AS valid FROM (SELECT 't'||s_suppkey % 40 AS territory, 'c'||s_suppkey AS capital FROM supplier) s LEFT JOIN m ON m.territory = s.territory AND m.node = s.capital"""))
 def territory_capital_valid(spark, sf_dir):

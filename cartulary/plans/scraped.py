@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cartulary.operators import scraping
 from cartulary.plans.pages import BLOCK, HEAD, row, safe
 from cartulary.sources.areas import areas, checkpointed, table, with_areas
+from cartulary.sources.configs import page_url
 
 QUERIES, ORACLES = {}, {}
 BASE = "https://pages.example/"
@@ -60,7 +61,7 @@ def page_data(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     about = text("<html><body><section class='infosection mainsection'><div class='infoname'>", safe(F.col("name")), "</div><div class='infotext'>Region</div><p data-newpop='", F.coalesce(F.col("pop_latest").cast("string"), F.lit("")), "' data-newdate='2021-07-01'></p></section></body></html>")
     roots = tree.where("level = 1").select(F.col("id").alias("slug"), F.lit(0).cast("long").alias("place"), F.lit("info").alias("path"), F.lit("infosection").alias("layout"), F.lit(0).alias("lowest_level"), about.alias("html"))
     odd = spark.createDataFrame([("r3", -1, "odd", "mosaic", 0, "<html></html>")], "slug string, place long, path string, layout string, lowest_level int, html string")
-    both = pages.unionByName(roots).unionByName(odd).withColumn("country_code", F.col("slug")).withColumn("url", scraping.page_url(F.lit(BASE), F.concat("slug", F.lit("/"), "path")))
+    both = pages.unionByName(roots).unionByName(odd).withColumn("country_code", F.col("slug")).withColumn("url", page_url(F.lit(BASE), F.concat("slug", F.lit("/"), "path")))
     both = checkpointed(both.repartition(spark.sparkContext.defaultParallelism, "url"))
     plan = both.select("slug", "country_code", "place", "path", "layout", "lowest_level", "url")
     refused = (F.col("slug") == "r3") & (F.col("layout") == "double")

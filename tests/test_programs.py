@@ -12,7 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cartulary.operators import city_program, derive, scraping
-from cartulary.sources import fetching, recipes
+from cartulary.sources import configs, fetching, recipes
+from cartulary.sources.configs import page_url
 from cartulary.sources.versions import Conflict, Versions
 
 # versions
@@ -120,7 +121,7 @@ def test_pages_stand_in_files(spark, tmp_path):
 
 def test_page_urls(spark):
     rows = spark.createDataFrame([("https://x.example/", "/a/b/"), ("https://x.example", "a"), ("https://x.example", "https://y.example/q//")], "base string, path string")
-    assert [r[0] for r in rows.select(scraping.page_url(F.col("base"), F.col("path"))).collect()] == ["https://x.example/a/b/", "https://x.example/a/", "https://y.example/q/"]
+    assert [r[0] for r in rows.select(page_url(F.col("base"), F.col("path"))).collect()] == ["https://x.example/a/b/", "https://x.example/a/", "https://y.example/q/"]
 
 
 # saving
@@ -333,3 +334,31 @@ def test_codes_place_what_has_no_parent(spark):
     table = spark.createDataFrame([(0, "m", "M", 2, "City", [], {1: ["t1"]}, [])], "place long, city string, name string, level int, entity_type string, district_types array<string>, parent_from map<int,array<string>>, communes array<string>")
     out, _ = city_program.applied(areas, table)
     assert {r.id: (r.level, r.parent_id) for r in out.collect()} == {"t": (0, None), "t1": (1, "t"), "m": (2, "t1"), "t11": (3, "m"), "t1101": (4, "t11"), "t1201": (3, None)}
+
+
+# configurations
+
+
+def test_configurations_are_checked_as_a_whole(spark, tmp_path):
+    files = {
+        "good": '[[pages]]\nsource = "admin"\npath = ["a", "/good/b/", "https://x.example/c"]\n[[cities]]\nid = "m"\ncity = "M"\nlevel = 2\ntype = "City"\nfrom = { 1 = "A" }\n[representation]\nlevel = 2\nsystem = "dhondt"\ntotal = 9\n',
+        "bad": '[[pages]]\nsource = "mosaic"\nlowest_level = 7\n[[pages]]\nsource = "table"\npath = []\n[[cities]]\nid = "m"\nlevel = 9\nfrom = ["x"]\n[[cities]]\nid = "m"\ncity = "M"\nlevel = 1\ntype = "T"\nfrom = { one = "x" }\n[representation]\nlevel = 1\nsystem = "other"\ntotal = 1\nhabitant = 0\n',
+        "broken": "[[pages",
+        "_left": "x = 1",
+        "none": "",
+    }
+    for name, text in files.items():
+        (tmp_path / f"{name}.toml").write_text(text)
+    report, bad = configs.checked(spark, str(tmp_path))
+    assert {tuple(r) for r in report.collect()} == {("good", True, 3, 1, True), ("bad", False, 0, 2, True), ("broken", False, 0, 0, False), ("none", False, 0, 0, False)}
+    assert sorted((r.slug, r.place, r.rule) for r in bad.collect()) == sorted(
+        [("bad", "cities[0]", r) for r in ("a city without city", "a city without type", "from maps no levels to labels", "level out of range")]
+        + [("bad", "cities[1]", "level is no number"), ("bad", "m", "two cities of one id"), ("bad", "pages[0]", "a page without a path"), ("bad", "pages[0]", "level out of range"), ("bad", "pages[0]", "unknown page layout"), ("bad", "pages[1]", "no path in a list of paths")]
+        + [("bad", "representation", r) for r in ("inhabitants for a seat must be more than none", "seats need either a total or a number of inhabitants", "unknown seat system")]
+        + [("broken", "", "not TOML"), ("none", "pages", "no pages")]
+    )
+    pages, cities, seats = configs.configurations(spark, str(tmp_path), skip=True)
+    assert [(r.place, r.url) for r in configs.plan(pages, "https://y.example/").collect()] == [(0, "https://y.example/good/a/"), (1, "https://y.example/good/b/"), (2, "https://x.example/c/")]
+    assert cities.count() == seats.count() == 1
+    with pytest.raises(ValueError, match="broken|bad"):
+        configs.configurations(spark, str(tmp_path))
