@@ -119,7 +119,7 @@ def loaded(spark: SparkSession, folder: str) -> list[tuple[str, dict | None]]:
 
 def checked(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(report, violations): a row for every configuration (slug, ok, pages, cities, seats), and one for everything that
-    is wrong with one (VIOLATIONS). Files without a byte have no pages."""
+    is wrong with one (VIOLATIONS). Files without a byte are left out, as Spark leaves them out."""
     report, bad = [], []
     for slug, data in loaded(spark, folder):
         found = [(slug, "not TOML", "")] if data is None else problems(slug, data)

@@ -346,16 +346,17 @@ def test_configurations_are_checked_as_a_whole(spark, tmp_path):
         "broken": "[[pages",
         "_left": "x = 1",
         "none": "",
+        "few": "x = 1",
     }
     for name, text in files.items():
         (tmp_path / f"{name}.toml").write_text(text)
     report, bad = configs.checked(spark, str(tmp_path))
-    assert {tuple(r) for r in report.collect()} == {("good", True, 3, 1, True), ("bad", False, 0, 2, True), ("broken", False, 0, 0, False), ("none", False, 0, 0, False)}
+    assert {tuple(r) for r in report.collect()} == {("good", True, 3, 1, True), ("bad", False, 0, 2, True), ("broken", False, 0, 0, False), ("few", False, 0, 0, False)}
     assert sorted((r.slug, r.place, r.rule) for r in bad.collect()) == sorted(
         [("bad", "cities[0]", r) for r in ("a city without city", "a city without type", "from maps no levels to labels", "level out of range")]
         + [("bad", "cities[1]", "level is no number"), ("bad", "m", "two cities of one id"), ("bad", "pages[0]", "a page without a path"), ("bad", "pages[0]", "level out of range"), ("bad", "pages[0]", "unknown page layout"), ("bad", "pages[1]", "no path in a list of paths")]
         + [("bad", "representation", r) for r in ("inhabitants for a seat must be more than none", "seats need either a total or a number of inhabitants", "unknown seat system")]
-        + [("broken", "", "not TOML"), ("none", "pages", "no pages")]
+        + [("broken", "", "not TOML"), ("few", "pages", "no pages")]
     )
     pages, cities, seats = configs.configurations(spark, str(tmp_path), skip=True)
     assert [(r.place, r.url) for r in configs.plan(pages, "https://y.example/").collect()] == [(0, "https://y.example/good/a/"), (1, "https://y.example/good/b/"), (2, "https://x.example/c/")]
