@@ -64,7 +64,7 @@ def parts(areas: DataFrame, configs: DataFrame, origins: DataFrame) -> tuple[Dat
     rule = configs.select("city", F.col("level").alias("city_level"), F.col("district_types").alias("types"), "communes")
     listed = rule.where("size(communes) > 0")
     asked = listed.select("city", F.explode("communes").alias("label")).distinct()
-    hits = configured.communes(asked, areas, listed.join(origins, "city").drop("communes"))
+    hits = checkpointed(configured.communes(asked, areas, listed.join(origins, "city").drop("communes")))
     lost = asked.join(hits, ["city", "label"], "left_anti").select("city", F.lit("no commune of this label").alias("rule"), "label")
     free = rule.where("size(communes) = 0")
     kids = areas.select("id", "level", "entity_type", F.col("parent_id").alias("city")).join(free, "city").where((F.col("level") > F.col("city_level")) & configured.of_types(F.col("entity_type"), F.col("types")) & (F.col("id") != F.col("city")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cartulary.functions.text import casefolded
 from cartulary.operators import cities
 from cartulary.operators.hierarchy import climbed
+from cartulary.sources.areas import checkpointed
 
 
 def matches(asked: DataFrame, areas: DataFrame, by: list[str]) -> DataFrame:
@@ -65,7 +66,7 @@ def communes(asked: DataFrame, areas: DataFrame, configs: DataFrame) -> DataFram
     inner = own.join(configs.select("city", "city_level", "types", F.col("city").alias("parent_id")).distinct(), "parent_id").where("level = city_level + 1").withColumn("kind", F.lit(1))
     children, inner = (rows.where(of_types(F.col("entity_type"), F.col("types"))) for rows in (children, inner))
     columns = ["city", "city_level", "id", "code", "name", "level", "ordinal", "kind"]
-    candidates = children.select(*columns).unionByName(inner.select(*columns))
+    candidates = checkpointed(children.select(*columns).unionByName(inner.select(*columns)))  # read three times
     hits = matches(asked, candidates, ["city"]).join(candidates, ["city", "id"]).where("kind = 1 OR level <= city_level")
     return hits.groupBy("city", "label").agg(F.min_by("id", F.struct("kind", -F.col("level"), "ordinal")).alias("id"))
 

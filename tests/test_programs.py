@@ -220,103 +220,6 @@ def test_derived_violations(spark, places):
 # configured cities
 
 
-def one_after_another(rows, configs):
-    """Configurations applied in turn to a list of areas (dicts in order), as their rules say."""
-    norm = lambda t: " ".join((t or "").casefold().split())
-    wrong = []
-
-    def match(label, among):
-        return next((a for a in among if label in (a["id"], a["name"])), None) or next((a for a in among if norm(label) in (norm(a["id"]), norm(a["name"]))), None)
-
-    for c in configs:
-        by = {a["id"]: a for a in rows}
-
-        def chain(i, by=by):
-            out = []
-            while i in by and i not in out:
-                out.append(i)
-                i = by[i]["parent"]
-            return out
-
-        ends = [(label, match(label, [a for a in rows if a["level"] == level])) for level, labels in c["from"].items() for label in labels]
-        if any(a is None for _, a in ends):
-            wrong += [(c["city"], label) for label, a in ends if a is None]
-            continue
-        ends = [a for _, a in ends]
-        shared = set.intersection(*(set(chain(a["id"])) for a in ends))
-        head = max(shared, key=lambda i: by[i]["level"])
-        fits = lambda a, c=c: not c["types"] or norm(a["type"]) in map(norm, c["types"])
-        real = [a for a in rows if a["id"] != c["city"] and fits(a)]
-        if c["communes"]:
-            children = [a for a in real if any(a["parent"] == e["id"] and a["level"] == e["level"] + 1 for e in ends) or (a["parent"] == c["city"] and a["level"] == c["level"] + 1)]
-            found = []
-            for label in c["communes"]:
-                of_ends = [e for e in ends if match(label, [a for a in children if a["parent"] == e["id"] and a["level"] == e["level"] + 1 and a["level"] <= c["level"]])]
-                hits = [match(label, [a for a in children if a["parent"] == e["id"] and a["level"] <= c["level"]]) for e in of_ends]
-                hits = sorted(hits, key=lambda a: -a["level"]) or [x for x in [match(label, [a for a in children if a["parent"] == c["city"]])] if x]
-                if hits:
-                    found.append(hits[0])
-                else:
-                    wrong.append((c["city"], label))
-            if len(found) < len(c["communes"]):
-                continue
-        else:
-            found = [a for a in real if a["parent"] == c["city"] and a["level"] > c["level"]]
-            found = found or [a for a in real if any(e["id"] in chain(a["parent"]) and a["level"] > e["level"] for e in ends)]
-            found = [a for a in found if a["level"] == min(b["level"] for b in found)]
-        shifts = {a["id"]: c["level"] + 1 - a["level"] for a in found}
-        stale = {a["id"] for a in rows if a["parent"] == c["city"] and a["level"] > c["level"] and not fits(a)}
-        out = []
-        for a in rows:
-            if a["id"] == c["city"]:
-                continue
-            up = chain(a["id"]) if a["parent"] in by or a["parent"] is None else [a["id"]]
-            if any(i in stale for i in up):
-                out.append(a | {"level": a["level"] - 1, "parent": head if a["id"] in stale else a["parent"]})
-            elif any(i in shifts for i in up):
-                move = next(shifts[i] for i in up if i in shifts)
-                out.append(a | {"level": a["level"] + move, "parent": c["city"] if a["id"] in shifts else a["parent"]})
-            else:
-                out.append(a)
-        areas = [a["area"] for a in found if a["area"] is not None]
-        rows = [*out, {"id": c["city"], "name": c["name"], "level": c["level"], "parent": head, "type": c["type"], "pop": sum(a["pop"] or 0 for a in found), "area": sum(areas) if areas else None, "year": max((a["year"] for a in found if a["year"] is not None), default=None)}]
-    return rows, wrong
-
-
-def random_tree(rng):
-    rows = [{"id": "t", "name": "Top", "level": 0, "parent": None, "type": "Land", "pop": 9, "area": None, "year": None}]
-    for level, n in ((1, 3), (2, 8), (3, 30)):
-        above = [a for a in rows if a["level"] == level - 1]
-        for i in range(n):
-            rows.append({"id": f"a{level}{i:02}", "name": f"Área {level} {i}", "level": level, "parent": rng.choice(above)["id"], "type": rng.choice(["Zone", "zone ", "Town"]), "pop": rng.choice([None, rng.randint(1, 99)]), "area": rng.choice([None, rng.randint(1, 9)]), "year": rng.choice([None, 2000 + i])})
-    return rows
-
-
-@pytest.mark.parametrize("seed", range(2))
-def test_cities_in_layers_equal_one_after_another(spark, seed):
-    rng = random.Random(seed)
-    rows = random_tree(rng)
-    deep = [a for a in rows if a["level"] == 2]
-    one = lambda city, level, froms, **more: {"city": city, "name": f"City {city}", "level": level, "type": "City", "types": [], "from": froms, "communes": []} | more
-    first = rng.sample(deep, 4)
-    kids = lambda a: [b["name"].upper() for b in rows if b["parent"] == a["id"]][:2]
-    configs = [one("m1", 3, {2: [first[0]["name"]]}, types=["Zone"]), one("m2", 3, {2: [first[1]["id"]]}), one(first[2]["id"], 2, {2: [" " + first[2]["name"].upper()]}, types=["zone"])]
-    configs += [one("m3", 3, {2: [first[3]["name"]]}, communes=kids(first[3])[:1]), one("m4", 3, {2: [first[3]["name"]]}, communes=[*kids(first[3])[1:], "nobody"])]
-    configs += [one("m5", 2, {1: sorted({a["parent"] for a in first[:2]})}, types=["City"]), one("m6", 3, {2: ["nowhere"]})]
-    columns = "id string, name string, level int, parent_id string, entity_type string, pop_latest long, area int, last_census_year int, ordinal long"
-    areas = spark.createDataFrame([(*(a[k] for k in ("id", "name", "level", "parent", "type", "pop", "area", "year")), i) for i, a in enumerate(rows)], columns)
-    areas = areas.withColumns({"code": F.col("id"), "area_km2": F.col("area").cast("decimal(12,2)"), "pop_latest_date": F.lit(None).cast("date")})
-    kinds = "place long, city string, name string, level int, entity_type string, district_types array<string>, parent_from map<int,array<string>>, communes array<string>"
-    table = spark.createDataFrame([(i, c["city"], c["name"], c["level"], c["type"], c["types"], c["from"], c["communes"]) for i, c in enumerate(configs)], kinds)
-    assert 1 < len(city_program.layers(areas, table)) < len(configs)
-    out, bad = city_program.applied(areas, table)
-    want, wrong = one_after_another(rows, configs)
-    shown = lambda a: (a["id"], a["level"], a["parent"], a["pop"], a["area"], a["year"])
-    got = sorted((r.id, r.level, r.parent_id, r.pop_latest, None if r.area_km2 is None else int(r.area_km2), r.last_census_year) for r in out.collect())
-    assert got == sorted(map(shown, want))
-    assert sorted((r.city, r.label) for r in bad.collect()) == sorted(wrong)
-
-
 def test_fifty_configurations_are_one_layer(spark):
     areas = spark.createDataFrame([("t", "Top", 0, None)] + [(f"n{i}", f"N{i}", 1, "t") for i in range(50)] + [(f"l{i}", f"L{i}", 2, f"n{i % 50}") for i in range(150)], "id string, name string, level int, parent_id string")
     none = {"entity_type": "string", "pop_latest": "long", "area_km2": "decimal(12,2)", "pop_latest_date": "date", "last_census_year": "int"}
