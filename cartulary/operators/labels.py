@@ -4,7 +4,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartulary.functions.text import normalised
+from cartulary.sources.areas import checkpointed
 
+#: Labels that are broadcast at most, about 10 MB of them; tables of areas and of all labels never are, whatever size
+#: their files or compressed shuffles suggest.
+BROADCAST_LABELS = 50_000
 #: Longest gram that stands for a label in the search for names that contain it.
 GRAM = 3
 
@@ -40,9 +44,10 @@ def containing(labels: DataFrame, areas: DataFrame, column: str, by: list[str])
     longest = F.filter(grams(F.col("part")), lambda g: F.char_length(g) == F.least(F.char_length("part"), F.lit(GRAM)))
     asked = sought.select(*by, "label", "part", F.explode(longest).alias("gram"))
     holders = held.groupBy(*by, "gram").agg(F.count("*").alias("n"))
-    ranked = asked.join(holders, [*by, "gram"], "left").groupBy(*by, "label", "part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least"))
-    rarest = ranked.where("least.n > 0").select(*by, "label", "part", "least.gram")
-    return held.join(rarest, [*by, "gram"]).where(F.contains("text", "part")).select(*by, "label", "id", "level")
+    ranked = asked.join(holders.hint("merge"), [*by, "gram"], "left").groupBy(*by, "label", "part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least"))
+    rarest = checkpointed(ranked.where("least.n > 0").select(*by, "label", "part", "least.gram"))
+    few = rarest.count() <= BROADCAST_LABELS  # then texts are taken apart and met where they stand, not shuffled with each gram
+    return held.join(F.broadcast(rarest) if few else rarest.hint("merge"), [*by, "gram"]).where(F.contains("text", "part")).select(*by, "label", "id", "level")
 
 
 def resolve(labels: DataFrame, areas: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -57,8 +62,8 @@ def resolve(labels: DataFrame, areas: DataFrame, by: tuple[str, ...] = ()) -> Da
     labels = labels.select(*by, "label").where("label IS NOT NULL").distinct()
     own = keyed(areas, equal_tiers(F.col("code"), F.col("name"), F.col("id")), *by, "id")
     asked = keyed(labels, [F.col("label"), F.lower("label"), F.lower("label"), normalised(F.col("label")), normalised(F.col("label"))], *by, "label")
-    equal = asked.join(own, [*by, "tier", "key"]).select(*by, "label", "tier", F.lit(0).alias("depth"), "id")
-    rest = labels.join(equal, [*by, "label"], "left_anti")
+    equal = asked.join(own.hint("merge"), [*by, "tier", "key"]).select(*by, "label", "tier", F.lit(0).alias("depth"), "id")
+    rest = labels.join(equal.hint("merge"), [*by, "label"], "left_anti")
     parts = [containing(rest, areas, c, by).select(*by, "label", F.lit(t).alias("tier"), (-F.col("level")).alias("depth"), "id") for t, c in ((6, "name"), (7, "code"))]
     best = equal.unionByName(parts[0]).unionByName(parts[1]).groupBy(*by, "label").agg(F.min(F.struct("tier", "depth", "id")).alias("best"))
     return best.select(*by, "label", "best.id", "best.tier")
@@ -66,7 +71,7 @@ def resolve(labels: DataFrame, areas: DataFrame, by: tuple[str, ...] = ()) -> Da
 
 def missing(labels: DataFrame, areas: DataFrame) -> DataFrame:
     """Labels that no tier resolves."""
-    return labels.select("label").where("label IS NOT NULL").distinct().join(resolve(labels, areas), "label", "left_anti")
+    return labels.select("label").where("label IS NOT NULL").distinct().join(resolve(labels, areas).hint("merge"), "label", "left_anti")
 
 
 def overridden(areas: DataFrame, overrides: DataFrame, default: Column) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cartulary.operators import changes, cities, hierarchy, labels, seats, territory
+from cartulary.plans.catalogue import QUERIES
 
 AREAS = "id string, code string, name string, level int, parent_id string, entity_type string, pop_latest long, a string"
 
@@ -25,6 +26,14 @@ def test_label_tiers(spark, tree):
     assert labels.resolve(asked.limit(0), tree).count() == 0 and labels.resolve(asked, tree.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["label_missing", "label_resolve_tiers"])
+def test_labels_and_areas_are_not_broadcast(spark, name):
+    """Files of a million areas are under Spark's threshold, which measures them compressed; their hash tables fill the driver."""
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "HashJoin" in line]
+    assert all("[gram#" in line for line in joins) and "SortMergeJoin" in plan
+
+
 def test_overrides(spark, tree):
     given = spark.createDataFrame([("MALAGA", 5), ("x1", 3), ("x1", 2), ("b", 8), (None, 1)], "key string, value int")
     got = {r.id: r.value for r in labels.overridden(tree, given, F.lit(0)).collect()}
