@@ -34,12 +34,16 @@ def spec_capitals(asked: DataFrame, legal: DataFrame, members: DataFrame, macros
     """(territory, label, id) of asked (territory, label): a candidate at the legal level, legal (label, id), counts if
     one of the territory's members is it or lies below it, or if it is one of the territory's macro areas; else a member
     of that name; else a macro area of that name. A label found nowhere fails."""
-    up = climbed(areas).select(F.col("node").alias("member"), F.explode("steps.id").alias("id"))
-    held = members.select("territory", F.col("id").alias("member")).join(up, "member").select("territory", "id").distinct()
-    good = held.unionByName(macros.select("territory", "id")).distinct()
     named = areas.select("id", F.explode(F.array_distinct(F.array(F.lower("name"), F.lower("code")))).alias("key"))
-    by_name = asked.withColumn("key", F.lower(F.trim("label"))).join(named, "key").select("territory", "label", "id")
-    tiers = [asked.join(legal, "label").join(good, ["territory", "id"], "left_semi"), by_name.join(members, ["territory", "id"], "left_semi"), by_name.join(macros, ["territory", "id"], "left_semi")]
+    by_name = asked.withColumn("key", F.lower(F.trim("label"))).join(named.hint("merge"), "key").select("territory", "label", "id")
+    at_legal = asked.join(legal.hint("merge"), "label").select("territory", "label", "id")
+    # Members climb to candidates alone, and are read once, past a hash table of areas instead of sorted
+    candidates = at_legal.unionByName(by_name).select("territory", "id").distinct()
+    up = climbed(areas).select(F.col("node").alias("member"), F.explode("steps").alias("s")).select("member", F.col("s.id").alias("id"), F.col("s.dist").alias("dist"))
+    up = up.join(candidates.select("id").distinct(), "id", "left_semi")
+    held = members.select("territory", F.col("id").alias("member")).join(up.hint("shuffle_hash"), "member").groupBy("territory", "id").agg(F.min("dist").alias("dist"))
+    good = held.select("territory", "id").unionByName(macros.select("territory", "id")).distinct()
+    tiers = [at_legal.join(good, ["territory", "id"], "left_semi"), by_name.join(held.where("dist = 0"), ["territory", "id"], "left_semi"), by_name.join(macros, ["territory", "id"], "left_semi")]
     hits = None
     for place, rows in enumerate(tiers):
         rows = rows.select("territory", "label", "id", F.lit(place).alias("place"))

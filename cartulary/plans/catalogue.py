@@ -346,7 +346,7 @@ SELECT s.territory, s.capital, m.node IS NOT NULL AS valid FROM (SELECT 't'||s_s
 def territory_capital_valid(spark, sf_dir):
     """Whether each named capital lies in its territory."""
     named = table(spark, sf_dir, "supplier").select(F.concat(F.lit("t"), F.col("s_suppkey") % 40).alias("territory"), F.concat(F.lit("c"), "s_suppkey").alias("capital"))
-    held = territory.members(spec(spark, sf_dir), areas(spark, sf_dir), 3).select("territory", F.col("node").alias("capital"), F.lit(True).alias("held"))
+    held = territory.members_among(named.withColumnRenamed("capital", "node"), spec(spark, sf_dir), areas(spark, sf_dir), 3).select("territory", F.col("node").alias("capital"), F.lit(True).alias("held"))
     return named.join(held, ["territory", "capital"], "left").select("territory", "capital", F.col("held").isNotNull().alias("valid"))
 
 

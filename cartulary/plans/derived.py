@@ -7,7 +7,7 @@ from cartulary.functions import text
 from cartulary.operators import build, capitals, changes, cities, configured, export, hierarchy, territory
 from cartulary.operators.city_program import applied as cities_of
 from cartulary.plans.catalogue import SPEC, spec
-from cartulary.sources.areas import areas, table, with_areas
+from cartulary.sources.areas import areas, checkpointed, table, with_areas
 
 QUERIES, ORACLES = {}, {}
 NAMED = ", named AS (SELECT 'n'||s_nationkey AS area, 'c'||s_suppkey AS capital FROM supplier UNION SELECT 'r'||(s_suppkey % 5), 'c'||s_suppkey FROM supplier UNION SELECT 'zz', 'c1'), good AS (SELECT area, capital FROM named JOIN closure ON ancestor = area AND node = capital)"
@@ -171,8 +171,8 @@ def territory_capitals(spark, sf_dir):
     """Capitals of territories: at the legal level where a member lies below the candidate, else a member by name."""
     tree = areas(spark, sf_dir)
     held = territory.members(spec(spark, sf_dir), tree, 3).withColumnRenamed("node", "id")
-    ends = held.groupBy("territory").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-    own = tree.select(F.col("id").alias("last"), "name")
+    ends = checkpointed(held.groupBy("territory").agg(F.min("id").alias("first"), F.max("id").alias("last")))
+    own = tree.select(F.col("id").alias("last"), "name").hint("merge")
     asked = ends.select("territory", F.concat(F.lit("nation of "), "first").alias("label")).unionByName(ends.join(own, "last").select("territory", F.concat(F.lit(" "), F.upper("name")).alias("label")))
     legal = tree.where("level = 3").select(F.concat(F.lit("nation of "), "id").alias("label"), F.col("parent_id").alias("id"))
     macros = held.limit(0).select("territory", "id")

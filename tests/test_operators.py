@@ -1,5 +1,7 @@
 """Rules of the label, city, code, merge and output operators on small trees."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,3 +160,32 @@ def test_export_parts(spark, tmp_path):
     files = sorted(f for f in (tmp_path / "spain_20240203_040506.csv").iterdir() if f.name.startswith("part-"))
     lines = [f.read_text(encoding="utf-8").splitlines() for f in files]
     assert all(part[0] == "n;t" and len(part) <= 11 for part in lines) and [line for part in lines for line in part[1:]] == [f"{i};é{i}" if i % 2 else f"{i};" for i in range(25)]
+
+
+def test_members_equal_brute_force(spark):
+    """On trees whose levels skip, with areas chosen inside others; no member is made twice or sorted to find that out."""
+    rng = random.Random(4)
+    nodes = [("a0", 0, None)]
+    for i in range(1, 60):
+        up = rng.choice([n for n in nodes if n[1] < 4])
+        nodes.append((f"a{i}", min(4, up[1] + rng.choice([1, 1, 1, 2])), up[0]))
+    pop = {n[0]: rng.randint(1, 9) for n in nodes}
+    parent, level = {n[0]: n[2] for n in nodes}, {n[0]: n[1] for n in nodes}
+    areas = spark.createDataFrame([(*n, pop[n[0]]) for n in nodes], "id string, level int, parent_id string, pop_latest long").withColumn("area_km2", F.lit(None).cast("decimal(12,2)"))
+    rows = {(f"t{rng.randint(0, 5)}", rng.choice([n[0] for n in nodes if n[1] <= 3]), rng.choice(["include", "subtract"])) for _ in range(80)}
+    spec = spark.createDataFrame(sorted(rows), "territory string, id string, sign string")
+
+    def above(n, hops):
+        for _ in range(hops):
+            n = parent.get(n)
+        return n
+
+    grown = {s: {(t, n) for t, i, sign in rows if sign == s for n in level if above(n, 3 - level[i]) == i} for s in ("include", "subtract")}
+    want = grown["include"] - grown["subtract"]
+    got = territory.members(spec, areas, 3)
+    assert sorted((r.territory, r.node) for r in got.collect()) == sorted(want)
+    assert "keys=[territory" not in "".join(x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "node#" in x.split("functions=")[0])
+    asked = spark.createDataFrame([(f"t{t}", n) for t in range(6) for n in level], "territory string, node string")
+    assert sorted((r.territory, r.node) for r in territory.members_among(asked, spec, areas, 3).collect()) == sorted(want)
+    sums = {t: sum(pop[i] for x, i, s in rows if (x, s) == (t, "include")) - sum(pop[n] for x, n in grown["subtract"] if x == t) for t, _, _ in rows}
+    assert {r.territory: r["pop"] for r in territory.totals(spec, areas, 3).collect()} == sums
