@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartulary.operators import build, labels, territory
-from cartulary.operators.hierarchy import climbed
 from cartulary.sources import recipes
 from cartulary.sources.areas import checkpointed
 
@@ -30,10 +29,19 @@ class Derived:
 def resolved(asked: DataFrame, areas: DataFrame) -> DataFrame:
     """Rows of recipes.labels with the id of the area that each names in its source country and level, null for none."""
     found = labels.resolve(asked.select("source", "level", "label").distinct(), areas, ("source", "level")).select("source", "level", "label", "id")
-    return asked.join(found, ["source", "level", "label"], "left")
+    return asked.join(found.hint("merge"), ["source", "level", "label"], "left")
 
 
-def capitals(asked: DataFrame, spec: DataFrame, members: DataFrame, areas: DataFrame, legal: DataFrame) -> DataFrame:
+def among_members(asked: DataFrame, hits: DataFrame, own: territory.Held) -> DataFrame:
+    """(territory, label, tier, depth, id) of asked (territory, label): the hits (label, tier, depth, id) that are members
+    of the territory. Both sides meet by label and included area, so hits elsewhere make no rows."""
+    placed = hits.withColumnRenamed("id", "node").join(own.nodes.hint("merge"), "node")
+    parts = asked.select("territory", "label").join(own.parts.select("territory", "id").hint("merge"), "territory")
+    met = territory.members_of(parts.join(placed.hint("merge"), ["label", "id"]), own, "label", "tier", "depth")
+    return met.withColumnRenamed("node", "id").select("territory", "label", "tier", "depth", "id")
+
+
+def capitals(asked: DataFrame, spec: DataFrame, own: territory.Held, areas: DataFrame, legal: DataFrame) -> DataFrame:
     """(territory, label, id, place) of asked (territory, label), id null for a label that no tier finds.
 
     Tiers: an area of a source country's legal level (legal: source, legal_level) that is a member, or has one below it,
@@ -44,16 +52,22 @@ def capitals(asked: DataFrame, spec: DataFrame, members: DataFrame, areas: DataF
     at_legal = areas.join(F.broadcast(legal), "source").where("level = legal_level")
     first = labels.resolve(asked.join(sources, "territory").select("source", "label"), at_legal, ("source",)).select("source", "label", "id")
     macros = spec.where("sign = 'include' AND level < atomic").select("territory", "id").distinct()
-    up = climbed(areas).select(F.col("node").alias("member"), F.explode("steps.id").alias("id"))
-    inside = members.select("territory", F.col("id").alias("member")).join(up, "member").select("territory", "id").unionByName(macros).distinct()
-    one = asked.join(sources, "territory").join(first, ["source", "label"]).join(inside, ["territory", "id"], "left_semi").select("territory", "label", "id", F.lit(0).alias("place"), "source")
-    tiers = [one]
-    for place, among in ((1, members), (2, macros)):
-        some = areas.join(among.join(asked.select("territory").distinct(), "territory", "left_semi"), "id")
-        tiers.append(labels.resolve(asked, some, ("territory",)).select("territory", "label", "id", F.lit(place).alias("place"), F.lit("").alias("source")))
+    wanted = checkpointed(asked.join(sources, "territory").join(first.hint("merge"), ["source", "label"]).select("territory", "label", "source", "id"))
+    inside = territory.holding(wanted, own, areas).unionByName(macros)
+    one = checkpointed(wanted.join(inside.hint("merge"), ["territory", "id"], "left_semi").select("territory", "label", "id", F.lit(0).alias("place"), "source"))
+    rest = checkpointed(asked.join(one.hint("merge"), ["territory", "label"], "left_anti"))
+    two = labels.equals(rest.select("label").distinct(), areas, [])
+    two = checkpointed(among_members(rest, two, own))
+    rest = checkpointed(rest.join(two.hint("merge"), ["territory", "label"], "left_anti"))
+    if not rest.isEmpty():
+        two = two.unionByName(among_members(rest, labels.contained(rest.select("label").distinct(), areas, []), own))
+    two = two.groupBy("territory", "label").agg(F.min(F.struct("tier", "depth", "id"))["id"].alias("id"))
+    tiers = [one, two.withColumns({"place": F.lit(1), "source": F.lit("")})]
+    some = areas.join(macros.join(rest.select("territory").distinct(), "territory", "left_semi").hint("merge"), "id")
+    tiers.append(labels.resolve(rest, some, ("territory",)).select("territory", "label", "id", F.lit(2).alias("place"), F.lit("").alias("source")))
     every = tiers[0].unionByName(tiers[1]).unionByName(tiers[2])
     best = every.groupBy("territory", "label").agg(F.min(F.struct("place", "source", "id")).alias("best"))
-    return asked.join(best, ["territory", "label"], "left").select("territory", "label", "best.id", "best.place")
+    return asked.join(best.hint("merge"), ["territory", "label"], "left").select("territory", "label", "best.id", "best.place")
 
 
 def largest(among: DataFrame, areas: DataFrame) -> DataFrame:
@@ -80,13 +94,14 @@ def derived(texts: DataFrame, areas: DataFrame, atomic: DataFrame, legal: DataFr
 
     leveled = areas.join(F.broadcast(atomic), "source")
     chosen = checkpointed(spec.select("territory", "id", "sign", "level", "atomic", "source").distinct())
-    members = checkpointed(territory.members(chosen, leveled, "atomic").withColumnRenamed("node", "id"))
+    held_parts = territory.held(chosen, leveled, "atomic")  # members in a row each are the product of territories and areas
+    full = checkpointed(held_parts.parts.where("left > 0").select("territory").distinct())
     macros = chosen.where("sign = 'include' AND level < atomic").select("territory", "id").distinct()
-    units = members.select("territory").unionByName(macros.select("territory")).distinct()
+    units = full.unionByName(macros.select("territory")).distinct()
     specs = nodes.where("kind = 'spec'").withColumn("territory", F.col("id"))
     empty = specs.join(units, "territory", "left_anti").select("country", "path", "code", F.lit("no units").alias("rule"), F.lit(None).cast("string").alias("label"))
     wanted = specs.select("country", "path", "code", "territory", F.explode("capitals").alias("label")).withColumn("label", F.trim("label")).where("label <> ''")
-    seats = checkpointed(capitals(wanted.select("territory", "label").distinct(), chosen, members, areas, legal))
+    seats = checkpointed(capitals(wanted.select("territory", "label").distinct(), chosen, held_parts, areas, legal))
     lost = wanted.join(seats.where("id IS NULL"), ["territory", "label"]).select("country", "path", "code", F.lit("capital outside the territory").alias("rule"), "label")
     bad = checkpointed(bad.unionByName(empty.select(*columns)).unionByName(lost.select(*columns)))
     nodes = nodes.join(bad.select("country").distinct(), "country", "left_anti")
@@ -97,8 +112,8 @@ def derived(texts: DataFrame, areas: DataFrame, atomic: DataFrame, legal: DataFr
     rows = nodes.select("id", "name", parent.alias("parent_id"), "level", "entity_type", F.when(F.col("kind") == "spec", F.col("id")).alias("territory"))
     root = nodes.select(F.col("country").alias("id")).distinct().select("id", F.initcap(F.replace("id", F.lit("-"), F.lit(" "))).alias("name"), F.lit(None).cast("string").alias("parent_id"), F.lit(0).alias("level"), F.lit("Country").alias("entity_type"))
     tree = build.tree(rows, forced, root)
-    top = largest(members, areas)
-    spare = largest(macros.join(members, "territory", "left_anti"), areas)
+    top = territory.largest_member(held_parts, areas)
+    spare = largest(macros.join(full, "territory", "left_anti"), areas)
     auto = nodes.where("kind = 'spec' AND auto_most_populated").select(F.col("id").alias("territory"))
     best = top.unionByName(spare).join(auto, "territory", "left_semi").withColumnRenamed("territory", "id")
     held = seats.where("id IS NOT NULL").groupBy(F.col("territory").alias("key")).agg(F.sort_array(F.collect_set("id")).alias("capitals")).withColumnRenamed("key", "id")
@@ -106,4 +121,5 @@ def derived(texts: DataFrame, areas: DataFrame, atomic: DataFrame, legal: DataFr
     out = tree.join(names, "id", "left").join(held, "id", "left").join(best, "id", "left")
     out = out.withColumns({"country": F.coalesce("country", "id"), "code": F.coalesce("code", "id"), "capitals": F.coalesce("capitals", F.array().cast("array<string>"))})
     held_by = nodes.select(F.col("id").alias("territory"))
-    return Derived(out, members.join(held_by, "territory", "left_semi"), bad)
+    members = territory.members(chosen.join(held_by, "territory", "left_semi"), leveled, "atomic").withColumnRenamed("node", "id")
+    return Derived(out, members, bad)

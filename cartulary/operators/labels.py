@@ -50,6 +50,19 @@ def containing(labels: DataFrame, areas: DataFrame, column: str, by: list[str])
     return held.join(F.broadcast(rarest) if few else rarest.hint("merge"), [*by, "gram"]).where(F.contains("text", "part")).select(*by, "label", "id", "level")
 
 
+def equals(labels: DataFrame, areas: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., label, tier, depth, id): all areas that a label equals, in each of the equal tiers."""
+    own = keyed(areas, equal_tiers(F.col("code"), F.col("name"), F.col("id")), *by, "id")
+    asked = keyed(labels, [F.col("label"), F.lower("label"), F.lower("label"), normalised(F.col("label")), normalised(F.col("label"))], *by, "label")
+    return asked.join(own.hint("merge"), [*by, "tier", "key"]).select(*by, "label", "tier", F.lit(0).alias("depth"), "id")
+
+
+def contained(labels: DataFrame, areas: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., label, tier, depth, id): all areas whose name or code contains a label."""
+    name, code = (containing(labels, areas, c, by).select(*by, "label", F.lit(t).alias("tier"), (-F.col("level")).alias("depth"), "id") for t, c in ((6, "name"), (7, "code")))
+    return name.unionByName(code)
+
+
 def resolve(labels: DataFrame, areas: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(by..., label, id, tier) of labels (by..., label) against areas (by..., id, code, name, level) of the same group;
     `by` are columns such as a country and a level that both have.
@@ -60,12 +73,9 @@ def resolve(labels: DataFrame, areas: DataFrame, by: tuple[str, ...] = ()) -> Da
     """
     by = list(by)
     labels = labels.select(*by, "label").where("label IS NOT NULL").distinct()
-    own = keyed(areas, equal_tiers(F.col("code"), F.col("name"), F.col("id")), *by, "id")
-    asked = keyed(labels, [F.col("label"), F.lower("label"), F.lower("label"), normalised(F.col("label")), normalised(F.col("label"))], *by, "label")
-    equal = asked.join(own.hint("merge"), [*by, "tier", "key"]).select(*by, "label", "tier", F.lit(0).alias("depth"), "id")
+    equal = equals(labels, areas, by)
     rest = labels.join(equal.hint("merge"), [*by, "label"], "left_anti")
-    parts = [containing(rest, areas, c, by).select(*by, "label", F.lit(t).alias("tier"), (-F.col("level")).alias("depth"), "id") for t, c in ((6, "name"), (7, "code"))]
-    best = equal.unionByName(parts[0]).unionByName(parts[1]).groupBy(*by, "label").agg(F.min(F.struct("tier", "depth", "id")).alias("best"))
+    best = equal.unionByName(contained(rest, areas, by)).groupBy(*by, "label").agg(F.min(F.struct("tier", "depth", "id")).alias("best"))
     return best.select(*by, "label", "best.id", "best.tier")
 
 

@@ -189,3 +189,19 @@ def test_members_equal_brute_force(spark):
     assert sorted((r.territory, r.node) for r in territory.members_among(asked, spec, areas, 3).collect()) == sorted(want)
     sums = {t: sum(pop[i] for x, i, s in rows if (x, s) == (t, "include")) - sum(pop[n] for x, n in grown["subtract"] if x == t) for t, _, _ in rows}
     assert {r.territory: r["pop"] for r in territory.totals(spec, areas, 3).collect()} == sums
+
+
+def test_members_held_without_a_row_each(spark):
+    """Thirty territories of one country less some areas: tables grow with areas and specifications, not their product."""
+    leaves = [(f"l{i:02}", 2, f"r{i % 4}", 100 - i) for i in range(40)]
+    areas = spark.createDataFrame([("w", 0, None, None), *((f"r{i}", 1, "w", None) for i in range(4)), *leaves], "id string, level int, parent_id string, pop_latest long")
+    less = {f"t{t}": {f"l{i:02}" for i in (range(0, 40, 4) if t == 0 else range(t % 5))} for t in range(30)}
+    rows = [(t, "w", "include") for t in less] + [(t, n, "subtract") for t, some in less.items() for n in some]
+    own = territory.held(spark.createDataFrame(rows, "territory string, id string, sign string"), areas, 2)
+    assert (own.parts.count(), own.nodes.count(), own.gone.count()) == (30, 40, len(rows) - 30)
+    members = {t: {x[0] for x in leaves} - some for t, some in less.items()}
+    assert {r.territory: r.most_populated for r in territory.largest_member(own, areas).collect()} == {t: min(m) for t, m in members.items()}
+    asked = [(t, i) for t in ("t0", "t1", "t4") for i in ("w", "r0", "r1", "l00", "l03", "l04")]
+    inside = {x[0]: {x[0], x[2], "w"} for x in leaves}
+    want = sorted((t, i) for t, i in asked if any(i in inside[n] for n in members[t]))
+    assert sorted((r.territory, r.id) for r in territory.holding(spark.createDataFrame(asked, "territory string, id string"), own, areas).collect()) == want
