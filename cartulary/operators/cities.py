@@ -17,7 +17,12 @@ def city_rows(areas: DataFrame, communes: DataFrame, cities: DataFrame) -> DataF
 def collapsed(areas: DataFrame, communes: DataFrame, cities: DataFrame) -> DataFrame:
     """As city_rows, with the latest date and census year of the communes, for areas that have them; a city without any
     commune has no inhabitants and no area."""
-    sums = communes.distinct().join(areas, "id").groupBy("city").agg(F.sum("pop_latest").alias("pop"), F.round(F.sum("area_km2"), 2).cast(areas.schema["area_km2"].dataType).alias("area_km2"), F.max("pop_latest_date").alias("pop_latest_date"), F.max("last_census_year").alias("last_census_year"))
+    return summed(communes.distinct().join(areas, "id"), cities)
+
+
+def summed(communes: DataFrame, cities: DataFrame) -> DataFrame:
+    """As collapsed, of communes that are areas with the city of each."""
+    sums = communes.groupBy("city").agg(F.sum("pop_latest").alias("pop"), F.round(F.sum("area_km2"), 2).cast(communes.schema["area_km2"].dataType).alias("area_km2"), F.max("pop_latest_date").alias("pop_latest_date"), F.max("last_census_year").alias("last_census_year"))
     rows = cities.join(sums, "city", "left").withColumn("pop_latest", F.coalesce("pop", F.lit(0)))
     return rows.select(F.col("city").alias("id"), "name", "level", "parent_id", "entity_type", "pop_latest", "area_km2", "pop_latest_date", "last_census_year")
 

@@ -115,11 +115,14 @@ def export_scan(spark, sf_dir):
 
 @query(ORACLES["city_fold"])
 def city_program(spark, sf_dir):
-    """The same cities out of a table of thirty configurations, in two layers: those of the nations, then the regions'."""
+    """The same cities out of a table of configurations, in two layers: one for each nation that has such parts, for a city
+    without any would be made too, then one for each region of such a nation."""
     tree = areas(spark, sf_dir)
     dates = {"pop_latest_date": F.lit(None).cast("date"), "last_census_year": F.lit(None).cast("int"), "code": F.col("id")}
     tree = tree.withColumns(dates | {"ordinal": F.col("level").cast("long")})
-    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    held = tree.where("level = 3 AND entity_type = 'BUILDING'").select("parent_id").distinct()
+    nation = table(spark, sf_dir, "nation").withColumn("parent_id", F.concat(F.lit("n"), "n_nationkey")).join(held, "parent_id", "left_semi")
+    region = table(spark, sf_dir, "region").join(nation, F.col("r_regionkey") == F.col("n_regionkey"), "left_semi")
     shape = lambda rows, key, sign, name, level, of, types, place: rows.select((F.col(key) + place).cast("long").alias("place"), F.concat(F.lit(f"{name.lower()}-{sign}"), key).alias("city"), F.lit(name).alias("name"), F.lit(level).alias("level"), F.lit(name).alias("entity_type"), F.array(F.lit(types)).alias("district_types"), F.create_map(F.lit(level - 1), F.array(of)).alias("parent_from"), F.array().cast("array<string>").alias("communes"))
     configs = shape(nation, "n_nationkey", "n", "City", 3, F.lower("n_name"), "building", 0)
     configs = configs.unionByName(shape(region, "r_regionkey", "r", "Metro", 2, F.concat(F.lit("r"), "r_regionkey"), "CITY", 1000))
